@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize
 
-STATES = 6
-ROUNDS = 5
+STATES = 4
+ROUNDS = 4
 FREQUENT = 60_000
 SHAPES = 4096
 SEGMENT = 256
 PRIOR = 2000.0
 BATCH_TOKENS = 1 << 19
 FLUSH_WORDS = 1 << 18
+#: Codes of words without a class of their own that a task remembers at a time.
+KNOWN_CODES = 1 << 20
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -87,12 +89,32 @@ class Vocabulary:
         self.n_tokens, self.distinct = n_tokens, distinct
         self.log_total = math.log10(n_tokens + 0.5 * (distinct + 1))
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(ids == 0):
-            ids[i] = self.first_shape + shape(words[i])
-        return np.append(ids, 0)
+    def coder(self) -> Callable[[list[bytes]], np.ndarray]:
+        """Words -> classes, with the end token; for use within one task."""
+        codes = _Codes(self)
+
+        def encode(words: list[bytes]) -> np.ndarray:
+            if len(codes) > len(self.ids) + KNOWN_CODES:
+                codes.start()
+            out = np.zeros(len(words) + 1, "<u2")
+            out[:-1] = np.fromiter(map(codes.__getitem__, words), "<u2", len(words))
+            return out
+
+        return encode
+
+
+class _Codes(dict):
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.start()
+
+    def start(self):
+        self.clear()
+        self.update(self.vocab.ids)
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.vocab.first_shape + shape(word)
+        return code
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
@@ -115,7 +137,7 @@ def start_model(weight: np.ndarray, states: int = STATES) -> dict:
     return {"emit": emit / emit.sum(0), "move": stay / stay.sum(1, keepdims=True), "start": np.full((2, states), 1.0 / states)}
 
 
-def expected_counts(model: dict, segments: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: dict, segments: list[np.ndarray], first: np.ndarray, kind_of=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected emissions (class x state), moves and starts of the segments, and their log likelihood."""
     order = np.argsort([-len(s) for s in segments], kind="stable")
     sizes = np.array([len(segments[i]) for i in order])
@@ -124,17 +146,17 @@ def expected_counts(model: dict, segments: list[np.ndarray], first: np.ndarray)
     for col, i in enumerate(order):
         seen[: sizes[col], col] = segments[i]
     active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(T)]  # segments longer than t
-    emit, move = model["emit"], model["move"]
-    alpha, scale = np.zeros((T, S, K)), np.ones((T, S))
+    emit, move, start = (model[k].astype(kind_of) for k in ("emit", "move", "start"))
+    alpha, scale = np.zeros((T, S, K), kind_of), np.ones((T, S), kind_of)
     kind = first[order].astype(int)
-    now = model["start"][kind] * emit[seen[0]]
+    now = start[kind] * emit[seen[0]]
     for t in range(T):
         m = active[t]
         if t:
             now = (alpha[t - 1, :m] @ move) * emit[seen[t, :m]]
         total = now.sum(1)
         alpha[t, :m], scale[t, :m] = now / total[:, None], total
-    beta = np.ones((S, K))
+    beta = np.ones((S, K), kind_of)
     moves, gamma = np.zeros((K, K)), alpha  # gamma overwrites alpha from the end
     for t in range(T - 1, -1, -1):
         m = active[t + 1] if t + 1 < T else 0
@@ -147,7 +169,7 @@ def expected_counts(model: dict, segments: list[np.ndarray], first: np.ndarray)
     by_state = gamma.reshape(-1, K)
     emitted = np.stack([np.bincount(flat[real], by_state[real, k], len(emit)) for k in range(K)], axis=1)
     starts = np.stack([gamma[0][kind == i].sum(0) for i in (0, 1)])
-    return emitted, moves * move, starts, float(np.log(scale).sum())
+    return emitted, moves * move, starts, float(np.log(scale).sum(dtype=float))
 
 
 def _segments(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -166,7 +188,7 @@ def baum_welch_round(encoded: DataFrame, model: dict) -> tuple[np.ndarray, np.nd
         held, kinds, size = [], [], 0
 
         def add():
-            for i, x in enumerate(expected_counts(own, held, np.array(kinds))):
+            for i, x in enumerate(expected_counts(own, held, np.array(kinds), np.float32)):
                 sums[i] = sums[i] + x
 
         for batch in batches:
@@ -232,68 +254,68 @@ def forward(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
 def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; ``training`` marks the rows to learn from."""
     spark = docs.sparkSession
-    learned = docs.where(F.coalesce(training, F.lit(False)))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
+    learned = marked.where("learn")
     counts = materialize(word_counts(learned), "words")
     words = vocabulary(counts, learned.count())
     shared = spark.sparkContext.broadcast(words)
 
     def encode(batches):
+        vocab = shared.value
+        coder, logs = vocab.coder(), np.log10(vocab.weight)
         for batch in batches:
-            codes = [shared.value.encode(tokens(t)).astype("<u2").tobytes() for t in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary())], names=["codes"])
-
-    encoded = materialize(learned.select("text").mapInArrow(encode, "codes binary"), "codes")
-    model = spark.sparkContext.broadcast(train(encoded, words.weight, states, rounds))
-
-    def run(batches):
-        vocab, own = shared.value, model.value
-        logs = np.log10(vocab.weight)
-
-        def part(ids, texts):
-            sequences, rare, base, known, shared_class = [], [], [], [], []
-            for text in texts:
+            codes, rare, base, rest, known = [], [], [], [], []
+            for text in as_bytes(batch["text"]):
                 split = tokens(text)
-                codes = vocab.encode(split)
-                frequent = codes < vocab.first_shape
-                sequences.append(codes)
-                rare.append(list(Counter(split[i] for i in np.flatnonzero(~frequent)).items()))
-                base.append(logs[codes[frequent]].sum())
-                shared_class.append(logs[codes[~frequent]].sum())
-                known.append(int(frequent.sum()) - (vocab.n_tokens == 0))
-            likely = forward(own, sequences)
-            n = [len(s) for s in sequences]
-            columns = [ids, n, known, base, likely - np.array(shared_class), [[{"word": w.decode(), "tf": c} for w, c in r] for r in rare]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
+                own = coder(split)
+                few = np.flatnonzero(own >= vocab.first_shape)
+                mine = logs[own]
+                codes.append(own.tobytes())
+                rare.append([{"word": w, "tf": n} for w, n in Counter([split[i] for i in few]).items()])
+                rest.append(float(mine[few].sum()))
+                base.append(float(mine.sum()) - rest[-1])
+                known.append(len(own) - len(few) - (vocab.n_tokens == 0))
+            made = [pa.array(c, t) for c, t in zip((codes, base, rest, known), (pa.binary(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+            found = pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+            found = found.cast(pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["learn"], *made, found], names=names)
+
+    schema = "doc_id long, learn boolean, codes binary, base double, shared double, n_known long, rare array<struct<word:string,tf:long>>"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    encoded = materialize(marked.mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "codes")
+    model = spark.sparkContext.broadcast(train(encoded.where("learn").select("codes"), words.weight, states, rounds))
+
+    def likelihoods(batches):
         for batch in batches:
-            texts, at = as_bytes(batch["text"]), 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size < 8 << 20):
-                    size += len(texts[end] or b"")
+            sequences = [np.frombuffer(c.as_buffer(), "<u2") for c in batch["codes"]]
+            at = 0
+            while at < len(sequences):
+                end, size = at, 0
+                while end < len(sequences) and (end == at or size < 4 * BATCH_TOKENS):
+                    size += len(sequences[end])
                     end += 1
-                yield part(batch["doc_id"].slice(at, end - at).to_pylist(), texts[at:end])
+                logs = forward(model.value, sequences[at:end])
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(at, end - at), pa.array([len(s) for s in sequences[at:end]]), pa.array(logs),
+                                                  *[batch[c].slice(at, end - at) for c in kept]], names=["row", "n_tokens", "likely", *kept])
                 at = end
 
-    names = ["doc_id", "n_tokens", "n_known", "base", "likely", "rare"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-             pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))]
-    schema = "doc_id long, n_tokens long, n_known long, base double, likely double, rare array<struct<word:string,tf:long>>"
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    kept = ["doc_id", "base", "shared", "n_known"]
+    scored = encoded.select("row", "codes", *kept).mapInArrow(
+        likelihoods, "row long, n_tokens long, likely double, doc_id long, base double, shared double, n_known long"
+    )
 
     few = counts.where(F.col("n") < F.lit(max(1.0, words.n_tokens / FREQUENT)))
-    met = scored.select("row", F.inline("rare")).join(few, "word", "left")
+    met = encoded.select("row", F.inline("rare")).join(few, "word", "left")
     sums = met.groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more"),
     )
     rest = F.coalesce("rest", F.lit(0.0))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(words.n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + rest - F.col("n_tokens") * F.lit(words.log_total)).alias("base_score"),
-        (F.col("likely") + rest).alias("score"),
+        (F.col("likely") - F.col("shared") + rest).alias("score"),
     )

@@ -428,7 +428,7 @@ def test_probabilities_of_one_token_add_up():
     vocab = hmm.Vocabulary([(b"a", 900), (b"b", 90)], np.bincount([hmm.shape(b"cc"), hmm.shape(b"dd")], [5.5, 2.5], hmm.SHAPES), 10, 1007, 5)
     model = hmm.start_model(vocab.weight, 2)
     emit = model["emit"] @ np.array([0.3, 0.7])
-    known = sum(emit[c] * (n + 0.5) / vocab.weight[c] for w, n in counts.items() for c in [vocab.encode([w])[0]])
+    known = sum(emit[c] * (n + 0.5) / vocab.weight[c] for w, n in counts.items() for c in [vocab.coder()([w])[0]])
     unknown = (emit[vocab.first_shape :] * 0.5 / vocab.weight[vocab.first_shape :]).sum()
     assert math.isclose(known + unknown + emit[0], 1.0)
 
