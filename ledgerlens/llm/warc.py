@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared_path
 
-PACK_BYTES = 8 << 20
+PACK_BYTES, PIECE = 8 << 20, 16 << 10
 #: Names of the fields of an ARC header line, by version. Fixed values.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -42,8 +42,8 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def gzip_member(data: bytes) -> bytes:
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+def gzip_member(data: bytes, level: int = 6) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
@@ -54,12 +54,14 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
         return
     at = 0
     while data[at : at + 2] == b"\x1f\x8b":
-        reader = zlib.decompressobj(31)
-        out = reader.decompress(memoryview(data)[at:])
+        reader, parts, end = zlib.decompressobj(31), [], at
+        while not reader.eof and end < len(data):  # by pieces: the rest of the file is copied for no member
+            parts.append(reader.decompress(data[end : end + PIECE]))
+            end = min(end + PIECE, len(data)) - len(reader.unused_data)
         if not reader.eof:
             raise ValueError(f"gzip member at {at} is cut off")
-        yield at, out
-        at = len(data) - len(reader.unused_data)
+        yield at, b"".join(parts)
+        at = end
     if data[at:].strip():
         raise ValueError(f"no gzip member at {at}")
 
@@ -231,7 +233,7 @@ def convert(arcs: DataFrame, whole: bool = True) -> DataFrame:
                     page = http_field(w["head"], "X-Page-Id")
                     row = [w["id"], int(page) if page else None, len(w["payload"]), w["payload_digest"]]
                     if whole:
-                        row += [w["type"], w["date"], w["uri"], w["ip"], w["content"], w["block_digest"], gzip_member(w["block"])]
+                        row += [w["type"], w["date"], w["uri"], w["ip"], w["content"], w["block_digest"], gzip_member(w["block"], 3)]
                     if w["type"] != "warcinfo" or whole:
                         rows.append(row)
                 columns = list(zip(*rows, strict=True)) or [[] for _ in names]
