@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
@@ -23,7 +24,7 @@ def _state(s: StateFilter) -> Column:
     if isinstance(s, Memcmp):
         return memcmp(F.col("data"), s.offset, s.data)
     if isinstance(s, Lamports):
-        have, want = F.col("lamports"), F.lit(s.value)
+        have, want = F.col("lamports"), F.lit(s.value if s.value < 1 << 63 else Decimal(s.value))
         return {"eq": have == want, "ne": have != want, "lt": have < want, "gt": have > want}[s.compare]
     return token_account_state(F.col("data"))
 
