@@ -7,7 +7,7 @@ container, are joined by smoothness capacities that fall with their distance in
 all blocks of a page at once. Each page is labelled by itself within a map over Arrow batches; nothing is shuffled.
 
 Character references are decoded, white space inside a block becomes one space, and the blocks called content are
-joined by one line feed in page order. Null, empty and tagless pages are handled alike: text outside all tags is a
+joined by one line feed in page order. Where a page has an article, blocks outside it start with worse odds. Null, empty and tagless pages are handled alike: text outside all tags is a
 block of its own. Repeated rows give repeated results.
 """
 
@@ -30,23 +30,32 @@ BLOCK_TAGS = frozenset(
     " thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("head title script style noscript template iframe object svg math button select textarea option canvas".split())
+SKIPPED_TAGS = frozenset("head title script style noscript template iframe object svg button select textarea option canvas".split())
 BOILERPLATE_TAGS = frozenset("nav aside footer form menu dialog".split())
 BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie"
-    " cookies copyright disqus footer header login masthead menu nav navbar navigation newsletter notice notices popup promo"
-    " promoted recommended related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored"
-    " subscribe toolbar widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertising announcement banner breadcrumb breadcrumbs comment comments"
+    " complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead"
+    " menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo"
+    " promoted promotion recommended related replies reply respond search searchform share sharing sidebar sidebars sidenav"
+    " signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+# Names that make even an element for articles something else.
+OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo promoted recommended related reply replies sponsored".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTENT_NAMES = frozenset("article articlebody content entry main post story text body".split())
+#: Log odds that an element's names give to all blocks in it.
+BOILERPLATE_HINT, CONTENT_HINT, ARTICLE_HINT = -6.0, 3.0, 4.5
+#: Log odds of blocks outside all articles of a page that has one.
+OUTSIDE_HINT = -4.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ABOUT_OTHERS = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S+", re.I)
+_WORD_START = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -58,18 +67,35 @@ class _Open:
         self.depth = parent.depth + 1 if parent else 0
 
 
+def _names(attributes: str) -> set[str]:
+    """Words of class, id and role. Class names such as has-sidebar tell what is elsewhere and are left out."""
+    names: set[str] = set()
+    for value in _NAMES.findall(attributes):
+        plain = _WORD_START.sub("-", _ABOUT_OTHERS.sub(" ", value.strip("\"'")))
+        names.update(re.split(r"[^a-z0-9]+", plain.lower()))
+    return names
+
+
 def _hint(tag: str, attributes: str, above: float) -> float:
     """What an element says of its content: above 0 for content; the last say of boilerplate holds below it."""
     if above < -1:
         return above
-    names = set()
-    if attributes:
-        for value in _NAMES.findall(attributes):
-            names.update(re.split(r"[^a-z0-9]+", value.strip("\"'").lower()))
-    if tag in BOILERPLATE_TAGS or names & BOILERPLATE_NAMES or tag == "header" and above <= 0:
-        return -4.0
-    if tag in CONTENT_TAGS or names & CONTENT_NAMES:
-        return 3.0
+    names = _names(attributes) if attributes else set()
+    if tag in ("html", "body", "main"):  # their names are about the layout of the page
+        boilerplate = False
+    elif tag == "article":
+        boilerplate = bool(names & OTHER_ARTICLES)
+    else:
+        said = names & BOILERPLATE_NAMES
+        if above > 0:  # an article's own header is part of it
+            said.discard("header")
+        boilerplate = bool(said) or tag in BOILERPLATE_TAGS or tag == "header" and above <= 0
+    if boilerplate:
+        return BOILERPLATE_HINT
+    if tag == "article":
+        return ARTICLE_HINT
+    if tag in CONTENT_TAGS or names & CONTENT_NAMES and tag not in ("html", "body"):
+        return max(CONTENT_HINT, above)
     return above
 
 
@@ -143,7 +169,8 @@ def content_odds(block: dict) -> float:
     odds = block["hint"] + 0.6 * min(math.log2(words), 6.0) - 1.6
     odds += 0.6 if text[-1] in ".!?:;…\"'”»" else 0.0
     odds += {"p": 0.8, "h1": 1.2, "h2": 0.6, "h3": 0.4, "li": -0.6, "pre": 0.8, "blockquote": 0.8}.get(block["tag"], 0.0)
-    return odds - 3.0 * min(1.0, block["linked"] / max(1, len(text)))
+    links = 1.5 if block["hint"] >= ARTICLE_HINT else 3.0  # links within an article tell less
+    return odds - links * min(1.0, block["linked"] / max(1, len(text)))
 
 
 def tree_distance(a: _Open, b: _Open) -> int:
@@ -196,9 +223,20 @@ def min_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
                 del around[j][i]
                 todo.append(j)
             around[i] = {}
-    rest = [i for i in range(n) if side[i] is None]
-    if not rest:
-        return [bool(s) for s in side]
+    for i in range(n):
+        if side[i] is None:
+            _cut_component(i, gain, around, side)
+    return [bool(s) for s in side]
+
+
+def _cut_component(start: int, gain: list[int], around: list[dict[int, int]], side: list[bool | None]) -> None:
+    """Decides the nodes that hang together with ``start``, by augmenting paths."""
+    rest, queue = {start: None}, deque([start])
+    while queue:
+        for j in around[queue.popleft()]:
+            if j not in rest:
+                rest[j] = None
+                queue.append(j)
     left = {i: max(gain[i], 0) for i in rest}  # from the source
     sink = {i: max(-gain[i], 0) for i in rest}
     while True:
@@ -214,7 +252,9 @@ def min_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
                     came[j] = i
                     queue.append(j)
         if end is None:
-            return [i in came if side[i] is None else bool(side[i]) for i in range(n)]
+            for i in rest:
+                side[i] = i in came
+            return
         path = [end]
         while came[path[-1]] is not None:
             path.append(came[path[-1]])
@@ -230,9 +270,9 @@ def main_text(page: bytes | None) -> str:
     blocks = blocks_of(page.decode("utf-8", "replace")) if page else []
     if not blocks:
         return ""
-    gain = []
+    gain, article = [], any(b["hint"] >= ARTICLE_HINT for b in blocks)
     for b in blocks:
-        odds = content_odds(b)  # cost of calling it boilerplate: -log(1 - p); content: -log p
+        odds = content_odds(b) + (OUTSIDE_HINT if article and b["hint"] == 0 else 0.0)  # cost of calling it boilerplate: -log(1 - p); content: -log p
         gain.append(round(1000 * (math.log1p(math.exp(odds)) - math.log1p(math.exp(-odds)))))
     keep = min_cut(gain, smoothness(blocks))
     return "\n".join(b["text"] for b, k in zip(blocks, keep, strict=True) if k)

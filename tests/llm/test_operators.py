@@ -479,6 +479,40 @@ def test_main_text(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "There are many words in this passage, and all of them are about the same thing as before. " * 5
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<body class="single has-sidebar sidebar-right"><article class="post tag-social"><p>Body text of the page.</p></article></body>', "Body text of the page."),
+    ('<article><div class="entry-header"><h1>Head</h1></div><p>One sentence.</p></article>', "Head\nOne sentence."),
+    (f'<article><p>Start.</p><p class="notice">{LONG}</p><p>End.</p></article>', "Start.\nEnd."),
+    (f'<article><p>Start.</p><p>{LONG}</p></article><section id="readerComments"><div><p>{LONG}</p></div></section>', f"Start.\n{LONG.strip()}"),
+    (f'<article><p>Start.</p></article><article class="comment"><p>{LONG}</p></article>', "Start."),
+    ('<article><p>See:</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></article>', "See:\none\ntwo"),
+    (f'<div class="siteHeader"><p>{LONG}</p></div><div id="main-content"><p>This is what the page says.</p><table><tr><td>a</td><td>b c</td></tr></table></div>',
+     "This is what the page says.\na\nb c"),
+    (f'<div role="contentinfo"><p>{LONG}</p></div><p>This is what the page says.</p><p>And so on it goes.</p>', "This is what the page says.\nAnd so on it goes."),
+    (f'<div class="x1"><p>{LONG}</p></div><article><p>Only this one.</p></article>', "Only this one."),
+    ('<article><p>x < y &lt;b&gt; <math><mi>z</mi></math></p></article>', "x < y <b> z"),
+])
+def test_main_text_of_other_layouts(page, want):
+    assert extraction.main_text(page.encode()) == want
+
+
+def test_minimum_cut_of_many_blocks():
+    rng = random.Random(2)
+    n = 20_000
+    gain = [rng.randrange(-900, 900) for _ in range(n)]
+    side = extraction.min_cut(gain, [(i, i + 1, 400) for i in range(n - 1)])
+    best = [(0, 0)]  # least cost of each side, along the chain
+    for g in gain:
+        a, b = best[-1] if len(best) > 1 else (0, 0)
+        step = 400 if len(best) > 1 else 0
+        best.append((min(a, b + step) + max(-g, 0), min(b, a + step) + max(g, 0)))
+    cost = sum(max(-g, 0) if s else max(g, 0) for g, s in zip(gain, side, strict=True)) + 400 * sum(a != b for a, b in itertools.pairwise(side))
+    assert cost == min(best[-1])
+
+
 # all -------------------------------------------------------------------------------------------------------
 
 
