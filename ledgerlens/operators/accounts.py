@@ -89,6 +89,21 @@ def match(accounts: DataFrame, filters: Mapping[str, AccountFilter]) -> DataFram
     return (match_direct if direct else match_by_keys)(accounts, filters)
 
 
+def match_in_force(accounts: DataFrame, requests: Sequence[tuple[int, Mapping[str, AccountFilter]]], order: str = "write_version") -> DataFrame:
+    """Each row against the filters in force at its place in ``order``: the newest of (from, filters) that isn't later.
+
+    Rows before the first request match nothing. A request takes the place of the one before it as a whole.
+    """
+    asked = sorted(requests, key=lambda r: r[0])
+    out = match(accounts, {})
+    for i, (start, filters) in enumerate(asked):
+        own = F.col(order) >= start
+        own = own & (F.col(order) < asked[i + 1][0]) if i + 1 < len(asked) else own
+        if filters:
+            out = out.unionByName(match(accounts.where(own), filters))
+    return out
+
+
 def slice_data(accounts: DataFrame, slices: Sequence[tuple[int, int]]) -> DataFrame:
     """The request's data slices, after its filters."""
     return accounts.withColumn("data", data_slices(F.col("data"), slices))

@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.accounts import named
@@ -48,9 +48,14 @@ def match_all(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def last_versions(accounts: DataFrame) -> DataFrame:
-    """Accounts with the highest write version of their key in their slot; equal highest ones all stay."""
-    top = F.max("write_version").over(Window.partitionBy("slot", "pubkey"))
-    return accounts.withColumn("_top", top).where("write_version = _top").drop("_top")
+    """Accounts with the highest write version of their key in their slot; equal highest ones all stay.
+
+    Highest versions are combined before they are shuffled, and rows meet them by version as well, so the versions of
+    a very busy key are spread over the tasks. Null keys are a key of their own; rows without a version go.
+    """
+    top = accounts.groupBy(F.col("slot").alias("_slot"), F.col("pubkey").alias("_pubkey")).agg(F.max("write_version").alias("_top"))
+    same = F.col("slot").eqNullSafe(F.col("_slot")) & F.col("pubkey").eqNullSafe(F.col("_pubkey")) & (F.col("write_version") == F.col("_top"))
+    return accounts.join(top, same, "left_semi")
 
 
 def completeness(meta: DataFrame, transactions: DataFrame, entries: DataFrame | None = None) -> DataFrame:

@@ -117,5 +117,21 @@ def most_open(intervals: DataFrame, key: str = "key") -> DataFrame:
     return steps.withColumn("open", running).groupBy(key).agg(F.max("open").alias("most_open"))
 
 
+def subscriptions(changes: DataFrame, cap: int, key: str = "key", seq: str = "seq") -> DataFrame:
+    """``changes`` (key, seq, step 1 or -1) with open, the subscriptions of the key after each, and over its cap or not.
+
+    This is the form that only reports: nothing is refused, so a running sum tells.
+    """
+    so_far = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    return changes.withColumn("open", F.sum("step").over(so_far)).withColumn("over", F.col("open") > cap)
+
+
+def resolve(calls: DataFrame, tokens: DataFrame, token: str = "token") -> DataFrame:
+    """``calls`` with the subscription_id of their token, and allowed: whether ``tokens`` (each once) has it."""
+    known = tokens.select(F.col(token).alias("_token"), "subscription_id")
+    joined = calls.join(known, F.col(token) == F.col("_token"), "left")
+    return joined.withColumn("allowed", F.col("_token").isNotNull()).drop("_token")
+
+
 def over_cap(intervals: DataFrame, cap: int, key: str = "key") -> DataFrame:
     return most_open(intervals, key).withColumn("over", F.col("most_open") > cap)

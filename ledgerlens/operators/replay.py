@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from ledgerlens.schema import COMMITMENTS
 PHASES = ("content", "block", "block_meta", "status")
 MAX_RECENT_BLOCKHASHES, MORE_BLOCKHASHES, KEPT_METAS = 300, 32, 3
 CHECKPOINT_BACK = 2
+KEPT_SLOTS = 250
 
 
 def first_available_slot(history: DataFrame) -> DataFrame:
@@ -64,6 +66,11 @@ def kept_lookup_state(meta: DataFrame, finalized_slot: int) -> DataFrame:
     return meta.where(F.col("slot") >= finalized_slot - KEPT_METAS)
 
 
+def kept_hashes(hashes: DataFrame, finalized_slot: int) -> DataFrame:
+    """Hashes (with their slot) that lookups keep once a slot is finalized."""
+    return hashes.where(F.col("slot") >= finalized_slot - MAX_RECENT_BLOCKHASHES - MORE_BLOCKHASHES)
+
+
 def dedup_key() -> Column:
     """What makes an update the same as another of its slot, by kind (columns of a union of kinds)."""
     text = lambda *names: F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names])
@@ -81,24 +88,55 @@ def first_of_each(updates: DataFrame, key: str = "key") -> DataFrame:
     return keyed.unionByName(updates.where(F.col(key).isNull()).select(keyed.columns))
 
 
-def quarantine(updates: DataFrame) -> DataFrame:
+def _created_bank() -> Column:
+    return (F.col("kind") == "slot") & (F.col("status") == "created_bank")
+
+
+def with_epochs(updates: DataFrame) -> DataFrame:
+    """``updates`` with epoch: how often their slot's bank was created so far. Each creation after a rollback starts anew."""
+    so_far = Window.partitionBy("slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return updates.withColumn("epoch", F.count_if(_created_bank()).over(so_far))
+
+
+def first_after_rollbacks(updates: DataFrame, key: str = "key") -> DataFrame:
+    """(slot, epoch, key, seq): the first update of each key of a slot since its bank was last created."""
+    keyed = with_epochs(updates).where(F.col(key).isNotNull())
+    return keyed.groupBy("slot", "epoch", key).agg(F.min("seq").alias("seq"))
+
+
+def remembered_slots(updates: DataFrame, keep: int = KEPT_SLOTS) -> DataFrame:
+    """(slot, first_seen) of the ``keep`` slots that a client still knows: those first seen last, since their last bank.
+
+    A slot that was forgotten and came again counts from its first update.
+    """
+    seen = updates.groupBy("slot").agg(F.coalesce(F.max(F.when(_created_bank(), F.col("seq"))), F.min("seq")).alias("first_seen"))
+    return seen.orderBy(F.desc("first_seen")).limit(keep)
+
+
+def quarantine(updates: DataFrame, reconnects: Sequence[int] = ()) -> DataFrame:
     """Updates (seq, slot, kind, blockhash) with a verdict of the reconnecting client.
 
     A slot's first block meta seals it. Payload after that is held until the next block meta of the slot: with the
     same hash it is discarded, with another it is flushed before that meta; without one it stays held. Statuses pass.
+    ``reconnects``: after each of these seqs the slots seen before and not sealed yet are sealed without a hash, so their
+    payload is held too, and is flushed by any block meta.
     """
     in_order = Window.partitionBy("slot").orderBy("seq")
     meta = F.col("kind") == "block_meta"
     before = F.last(F.when(meta, F.col("blockhash")), True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(meta, F.col("blockhash")), True).over(in_order.rowsBetween(1, Window.unboundedFollowing))
     seen = updates.withColumns({"_before": before, "_after": after})
-    same = F.when(meta, F.col("blockhash") == F.col("_before")).otherwise(F.col("_after") == F.col("_before"))
+    same = F.coalesce(F.when(meta, F.col("blockhash")).otherwise(F.col("_after")) == F.col("_before"), F.lit(False))
+    sealed = F.col("_before").isNotNull()
+    if reconnects:
+        seen = seen.withColumn("_first", F.min("seq").over(Window.partitionBy("slot")))
+        sealed = sealed | F.exists(F.array(*[F.lit(int(r)) for r in reconnects]), lambda r: (F.col("_first") < r) & (r < F.col("seq")))
     verdict = (
-        F.when((F.col("kind") == "slot") | F.col("_before").isNull(), "pass")
+        F.when((F.col("kind") == "slot") | ~sealed, "pass")
         .when(meta & same, "discard").when(meta, "pass")
         .when(F.col("_after").isNull(), "held").when(same, "discard").otherwise("flush")
     )
-    return seen.withColumn("verdict", verdict).drop("_before", "_after")
+    return seen.withColumn("verdict", verdict).drop("_before", "_after", "_first")
 
 
 def resume_slot(updates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import rendering
 from ledgerlens.functions.cuckoo import Cuckoo, sketch_then_exact
 from ledgerlens.operators import accounts, blocks, metering, replay, transactions
 from ledgerlens.plans.request import (
@@ -137,6 +138,24 @@ def account_data_slice(v: Views) -> DataFrame:
     return sliced.select("write_version", F.decode("data", "UTF-8").alias("data"))
 
 
+@query("""SELECT write_version, CASE WHEN write_version < 500 THEN 'few' ELSE 'clicks' END AS filters FROM acc
+WHERE write_version >= 10 AND write_version < 500 AND pubkey IN (1, 2, 3) OR write_version >= 500 AND write_version < 2000 AND owner = 'click'""")
+def filter_replacement(v: Views) -> DataFrame:
+    """Requests that replace each other; the last one asks for nothing."""
+    asked = [(500, {"clicks": AccountFilter(owner=("click",))}), (10, {"few": AccountFilter(account=(1, 2, 3))}), (2000, {})]
+    return accounts.match_in_force(v.account_updates(), asked).select("write_version", F.array_join("filters", ",").alias("filters"))
+
+
+@query("SELECT write_version, base64(encode(data)) AS b64, lower(hex(encode(data))) AS hx FROM acc")
+def account_data_encoded(v: Views) -> DataFrame:
+    return v.account_updates().select("write_version", rendering.encode(F.col("data"), "base64").alias("b64"), rendering.encode(F.col("data"), "hex").alias("hx"))
+
+
+@query("""SELECT concat('{"kind":"slot","slot":', CAST(slot AS VARCHAR), ',"status":"', status, '"}') AS value FROM st""")
+def updates_as_json(v: Views) -> DataFrame:
+    return rendering.json_lines(v.slot_statuses(), "slot")
+
+
 @query("SELECT slot, pubkey, owner, write_version FROM acc WHERE owner NOT IN ('view', 'signup')")
 def account_drop_list(v: Views) -> DataFrame:
     return accounts.drop_owners(v.account_updates(), ["view", "signup"]).select("slot", "pubkey", "owner", "write_version")
@@ -249,6 +268,13 @@ def slot_filter_by_commitment(v: Views) -> DataFrame:
     return blocks.match_slots(_all_statuses(v), {"s": SlotFilter(filter_by_commitment=True)}, "confirmed").select("slot", "status")
 
 
+@query(f"SELECT slot, status, 'all' AS filters FROM {_MIXED} q")
+def deshred_slots(v: Views) -> DataFrame:
+    """The stream before execution has no commitment: filters by commitment never match there."""
+    filters = {"all": SlotFilter(interslot_updates=True), "own": SlotFilter(filter_by_commitment=True, interslot_updates=True)}
+    return blocks.match_slots(_all_statuses(v), filters, None).select("slot", "status", F.array_join("filters", ",").alias("filters"))
+
+
 @query(f"SELECT slot, status, channel FROM {_MIXED} q CROSS JOIN (VALUES ('processed'), ('confirmed'), ('finalized')) c(channel) WHERE status NOT IN ('processed', 'confirmed', 'finalized') OR slot IN (SELECT slot FROM meta WHERE executed_transaction_count > 5)")
 def slot_routing(v: Views) -> DataFrame:
     sealed = v.block_meta().where("executed_transaction_count > 5")
@@ -419,6 +445,41 @@ def replay_quarantine_verdict(v: Views) -> DataFrame:
     return replay.quarantine(v.updates()).select("slot", "seq", "kind", "verdict")
 
 
+_RECONNECTS = (300, 5000)
+
+
+@query(f"""WITH s AS (SELECT *, min(seq) OVER (PARTITION BY slot) AS f, last_value(CASE WHEN kind = 'block_meta' THEN blockhash END IGNORE NULLS) OVER (PARTITION BY slot ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+  first_value(CASE WHEN kind = 'block_meta' THEN blockhash END IGNORE NULLS) OVER (PARTITION BY slot ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM upd WHERE kind <> 'block_meta' OR seq % 4 = 0)
+SELECT slot, seq, kind, CASE WHEN kind = 'slot' OR b IS NULL AND len(list_filter({list(_RECONNECTS)}, lambda r: f < r AND r < seq)) = 0 THEN 'pass'
+  WHEN kind = 'block_meta' THEN CASE WHEN blockhash = b THEN 'discard' ELSE 'pass' END WHEN a IS NULL THEN 'held' WHEN a = b THEN 'discard' ELSE 'flush' END AS verdict FROM s""")
+def quarantine_after_reconnect(v: Views) -> DataFrame:
+    updates = v.updates().where("kind <> 'block_meta' or seq % 4 = 0")
+    return replay.quarantine(updates, _RECONNECTS).select("slot", "seq", "kind", "verdict")
+
+
+def _with_banks(v: Views) -> DataFrame:
+    return v.updates().withColumn("status", F.when(F.col("status") == "finalized", "created_bank").otherwise(F.col("status")))
+
+
+@query("""WITH k AS (SELECT seq, slot, CASE kind WHEN 'slot' THEN concat('slot|', replace(status, 'finalized', 'created_bank')) WHEN 'block_meta' THEN concat('block_meta|', blockhash)
+  ELSE concat('account|', CAST(pubkey AS VARCHAR), '|-') END AS key, count(*) FILTER (WHERE kind = 'slot' AND status = 'finalized') OVER (PARTITION BY slot ORDER BY seq) AS epoch FROM upd)
+SELECT slot, epoch, key, min(seq) AS seq FROM k GROUP BY slot, epoch, key""")
+def dedup_after_rollback(v: Views) -> DataFrame:
+    return replay.first_after_rollbacks(_with_banks(v).withColumn("key", replay.dedup_key()))
+
+
+@query("SELECT slot, coalesce(max(seq) FILTER (WHERE kind = 'slot' AND status = 'finalized'), min(seq)) AS first_seen FROM upd GROUP BY slot ORDER BY first_seen DESC LIMIT 20")
+def dedup_retention(v: Views) -> DataFrame:
+    """A report of the slots still known: the limit is the feature."""
+    return replay.remembered_slots(_with_banks(v), 20)
+
+
+@query("SELECT slot, blockhash FROM meta WHERE slot >= (SELECT arg_max(slot, seq) FROM ev_status WHERE status = 'finalized') - 332")
+def lookup_hashes_kept(v: Views) -> DataFrame:
+    slot = replay.latest_slot(v.status_events(), "finalized").first()[0]
+    return replay.kept_hashes(v.block_meta(), slot).select("slot", "blockhash")
+
+
 @query("SELECT arg_max(slot, seq) - 2 AS from_slot FROM upd WHERE kind = 'block_meta'")
 def resume_slot(v: Views) -> DataFrame:
     return replay.resume_slot(v.updates())
@@ -497,6 +558,20 @@ def connection_cap(v: Views) -> DataFrame:
     return metering.over_cap(spans, 3)
 
 
+@query("""SELECT key, seq, CAST(o AS BIGINT) AS open, o > 3 AS over FROM (SELECT user_id AS key, event_id AS seq,
+  sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS o FROM events) q""")
+def subscription_cap(v: Views) -> DataFrame:
+    step = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    return metering.subscriptions(v.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), step.alias("step")), 3).drop("step")
+
+
+@query("SELECT event_id, 'sub' || CAST(c_custkey % 10 AS VARCHAR) AS subscription_id, c_custkey IS NOT NULL AS allowed FROM events LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 3 <> 0")
+def auth_lookup(v: Views) -> DataFrame:
+    customer = v.table("customer").where("c_custkey % 3 <> 0")
+    tokens = customer.select(F.col("c_custkey").alias("token"), F.concat(F.lit("sub"), F.col("c_custkey") % 10).alias("subscription_id"))
+    return metering.resolve(v.table("events").select("event_id", F.col("user_id").alias("token")), tokens).drop("token")
+
+
 @query("SELECT CASE WHEN n <= 8 THEN CAST(8 AS BIGINT) WHEN n <= 9 THEN 9 WHEN n <= 100 THEN 100 END AS le, count(*) AS n FROM (SELECT octet_length(encode(data)) AS n FROM acc) q GROUP BY 1")
 def data_size_histogram(v: Views) -> DataFrame:
     return metering.size_histogram(v.account_updates(), F.octet_length("data"), [8, 9, 100])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import queries
-from ledgerlens.functions import base58
+from ledgerlens.functions import base58, rendering
 from ledgerlens.functions.bytestrings import data_slices, token_account_state
 from ledgerlens.functions.cuckoo import Cuckoo, KeySet, TableFull
 from ledgerlens.operators import accounts, blocks, metering, replay, transactions
@@ -198,6 +198,39 @@ def test_limits():
 def test_ties_of_the_last_version_stay(spark):
     df = spark.createDataFrame([(1, 1, 5, "a"), (1, 1, 5, "b"), (1, 1, 4, "c"), (2, 1, 1, "d")], "slot long, pubkey long, write_version long, x string")
     assert sorted(r.x for r in blocks.last_versions(df).collect()) == ["a", "b", "d"]
+    nulls = spark.createDataFrame([(1, None, 1, "a"), (1, None, 2, "b"), (None, 7, 3, "c"), (2, 1, None, "d")], df.schema)
+    assert sorted(r.x for r in blocks.last_versions(nulls).collect()) == ["b", "c"]
+    assert blocks.last_versions(df.limit(0)).count() == 0
+
+
+def test_reconnects_seal_slots_in_flight(spark):
+    rows = [(1, 10, "account", None), (2, 10, "account", None), (4, 10, "account", None), (5, 10, "slot", None), (6, 10, "block_meta", "x"),  # seen before 3
+            (7, 11, "account", None), (8, 11, "block_meta", "y"), (9, 11, "account", None),  # first seen after it
+            (1, 12, "block_meta", "z"), (5, 12, "account", None), (6, 12, "block_meta", "z"), (2, 13, "account", None), (9, 13, "account", None)]
+    df = spark.createDataFrame(rows, "seq long, slot long, kind string, blockhash string")
+    got = {(r.slot, r.seq): r.verdict for r in replay.quarantine(df, [3]).collect()}
+    want = {(10, 1): "pass", (10, 2): "pass", (10, 4): "flush", (10, 5): "pass", (10, 6): "pass", (11, 7): "pass", (11, 8): "pass", (11, 9): "held",
+            (12, 1): "pass", (12, 5): "discard", (12, 6): "discard", (13, 2): "pass", (13, 9): "held"}
+    assert got == want
+    assert replay.quarantine(df).where("slot = 10 and verdict <> 'pass'").count() == 0
+
+
+def test_banks_start_slots_anew(spark):
+    rows = [(1, 5, "account", "p", "a"), (2, 5, "account", "p", "a"), (3, 5, "slot", "created_bank", "b"), (4, 5, "account", "p", "a"), (5, 6, "account", "p", None), (6, 7, "account", None, "a")]
+    df = spark.createDataFrame(rows, "seq long, slot long, kind string, status string, key string")
+    got = sorted((r.slot, r.epoch, r.key, r.seq) for r in replay.first_after_rollbacks(df).collect())
+    assert got == [(5, 0, "a", 1), (5, 1, "a", 4), (5, 1, "b", 3), (7, 0, "a", 6)]
+    assert {(r.slot, r.first_seen) for r in replay.remembered_slots(df, 2).collect()} == {(6, 5), (7, 6)}
+    assert {r.first_seen for r in replay.remembered_slots(df).collect()} == {3, 5, 6}
+
+
+def test_text_forms(spark):
+    df = spark.createDataFrame([(1, b"\0abc"), (2, None)], "slot long, data binary")
+    got = [df.orderBy("slot").select(rendering.encode(F.col("data"), e).alias("t")).collect() for e in rendering.ENCODINGS]
+    assert [[r.t for r in part] for part in got] == [["1ZiCa", None], ["AGFiYw==", None], ["00616263", None]]
+    assert [r.value for r in rendering.json_lines(df, "account").collect()] == ['{"kind":"account","slot":1,"data":"AGFiYw=="}', '{"kind":"account","slot":2}']
+    with pytest.raises(ValueError):
+        rendering.encode(F.col("data"), "base32")
 
 
 def test_replay_and_validity(spark):
