@@ -77,26 +77,31 @@ class Quarantine(StatefulProcessor):
         self.sealed = handle.getValueState("sealed", "blockhash string")
         self.held = handle.getListState("held", "seq long, kind string")
 
-    def _let_go(self, key, verdict: str) -> Iterator[pd.DataFrame]:
+    def _let_go(self) -> list[tuple]:
         rows = list(self.held.get()) if self.held.exists() else []
         self.held.clear()
-        if rows:
-            yield pd.DataFrame({"slot": key[0], "seq": [r[0] for r in rows], "kind": [r[1] for r in rows], "verdict": verdict})
+        return rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        was = own = self.sealed.get()[0] if self.sealed.exists() else None
+        out, waiting = [], []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            own = self.sealed.get()[0] if self.sealed.exists() else None
             if r.kind == "block_meta":
+                same = own == r.blockhash
                 if own is not None:
-                    yield from self._let_go(key, "discard" if own == r.blockhash else "flush")
-                verdict = "discard" if own == r.blockhash else "pass"
-                self.sealed.update((r.blockhash,))
+                    out += [(key[0], *x, "discard" if same else "flush") for x in [*self._let_go(), *waiting]]
+                    waiting = []
+                out.append((key[0], r.seq, r.kind, "discard" if same else "pass"))
+                own = r.blockhash
             elif r.kind != "slot" and own is not None:
-                self.held.appendValue((r.seq, r.kind))
-                continue
+                waiting.append((r.seq, r.kind))
             else:
-                verdict = "pass"
-            yield pd.DataFrame({"slot": [key[0]], "seq": [r.seq], "kind": [r.kind], "verdict": [verdict]})
+                out.append((key[0], r.seq, r.kind, "pass"))
+        if own != was:
+            self.sealed.update((own,))
+        if waiting:
+            self.held.appendList(waiting)
+        yield pd.DataFrame(out, columns=["slot", "seq", "kind", "verdict"])
 
     def close(self) -> None:
         pass
@@ -119,14 +124,16 @@ class Bucket(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         level, last = self.state.get() if self.state.exists() else (self.max_hits * self.window, None)
+        out = []
         for r in pd.concat(list(rows)).sort_values(["ts_us", "seq"]).itertuples():
             last = r.ts_us if last is None else last
             level = min(self.max_hits * self.window, level + max(0, r.ts_us - last) * self.max_hits)
             last = max(last, r.ts_us)
             allowed = level >= self.window and self.max_hits > 0
             level -= self.window if allowed else 0
-            yield pd.DataFrame({"key": [key[0]], "seq": [r.seq], "allowed": [allowed]})
+            out.append((key[0], r.seq, allowed))
         self.state.update((int(level), int(last)))
+        yield pd.DataFrame(out, columns=["key", "seq", "allowed"])
 
     def close(self) -> None:
         pass
