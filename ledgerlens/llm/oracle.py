@@ -101,11 +101,12 @@ OP7 = rf"""
 WITH RECURSIVE rules(host, path, own) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
 ), links AS (
-  SELECT DISTINCT regexp_replace(url, '(?s)#.*$', '') AS a, regexp_replace(replace(t, '&amp;', '&'), '(?s)#.*$', '') AS b FROM (
+  SELECT DISTINCT regexp_replace(url, '(?s)#.*$', '') AS a, regexp_replace(replace(t, '&amp;', '&'), '(?s)#.*$', '') AS b FROM (SELECT url,
+    CASE WHEN starts_with(t, '//') THEN concat(regexp_extract(url, '(?s)^(.*?:)//', 1), t) WHEN starts_with(t, '/') THEN concat(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), t) ELSE t END AS t FROM (
     SELECT url, unnest([
       regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
       regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
-    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL) q WHERE contains(t, '://')
+    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL) p) q WHERE contains(t, '://')
 ), both_ways AS (
   SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b
 ), reach AS (

@@ -42,7 +42,7 @@ def path_of(url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's URL and the absolute URL that it redirects to or calls canonical."""
+    """(a, b): a page's URL and the URL that it redirects to or calls canonical, absolute or from the root of its host."""
     tag = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical[^>]*>"
     refresh = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>"
     head = pages.where("url is not null and html is not null").select("url", "html")
@@ -51,7 +51,10 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.regexp_extract(F.regexp_extract("html", tag, 0), r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1),
         F.regexp_extract(F.regexp_extract("html", refresh, 0), r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1),
     )
-    links = head.select("url", F.explode(to).alias("to")).where(F.col("to").contains("://"))
+    found = head.select("url", F.explode(to).alias("to"))
+    scheme, origin = F.regexp_extract("url", r"(?s)^(.*?:)//", 1), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
+    whole = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(scheme, "to")).when(F.startswith(F.col("to"), F.lit("/")), F.concat(origin, "to"))
+    links = found.withColumn("to", whole.otherwise(F.col("to"))).where(F.col("to").contains("://"))
     plain = lambda c: F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
     return links.select(plain(F.col("url")).alias("a"), plain(F.col("to")).alias("b")).where("a <> b")
 

@@ -339,6 +339,23 @@ def test_urls(spark, inline, monkeypatch):
     assert {r.verdict for r in urlfilter.judge(pages, rules.limit(0), pages.limit(0).selectExpr("url a", "url b")).collect()} == {"allow"}
 
 
+def test_urls_against_sql(spark, tmp_path):
+    import duckdb
+
+    from ledgerlens.llm import oracle
+
+    more = [(20, "http://chain.com/1", '<link rel="canonical" href="/2">'), (21, "http://chain.com/2", '<link rel=canonical href="//chain.com/3">'),
+            (22, "http://chain.com/3#x", '<meta http-equiv="refresh" content="0;url=http://a.net/?a=1&amp;b=2">'), (23, "relative", '<link rel=canonical href="/x">'),
+            (24, "http://alone.com/", '<link rel=canonical href="/">'), (25, "http://free.com/1", '<link rel=canonical href="/2">')]
+    spark.createDataFrame(URLS + more, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = by_row(queries.op7_urlfilter(spark, str(tmp_path)), "page_id", "host", "path", "rule", "verdict")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"select page_id, host, path, rule, verdict from ({oracle.OP7}) q").fetchall(), key=repr)
+    verdicts = {r[0]: r[4] for r in got}
+    assert [verdicts[i] for i in range(20, 26)] == ["block", "block", "block", "allow", "allow", "allow"]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------
 
 
