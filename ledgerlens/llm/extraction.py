@@ -7,7 +7,8 @@ container, are joined by smoothness capacities that fall with their distance in
 all blocks of a page at once. Each page is labelled by itself within a map over Arrow batches; nothing is shuffled.
 
 Character references are decoded, white space inside a block becomes one space, and the blocks called content are
-joined by one line feed in page order. Where a page has an article, blocks outside it start with worse odds. Null, empty and tagless pages are handled alike: text outside all tags is a
+joined by one line feed in page order. Where a page has an article, or an element named as a container of content,
+blocks outside it start with worse odds. Null, empty and tagless pages are handled alike: text outside all tags is a
 block of its own. Repeated rows give repeated results.
 """
 
@@ -43,17 +44,24 @@ BOILERPLATE_NAMES = frozenset(
 OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo promoted recommended related reply replies sponsored".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTENT_NAMES = frozenset("article articlebody content entry main post story text body".split())
+# The same roles in names written as one word, such as pagefooter or maincontent.
+BOILERPLATE_COMPOUND = re.compile(
+    "sidebar|footer|navbar|navigation|navlink|comment(?!ar)|cookie|advert|sponsor|newsletter|breadcrumb|masthead|disqus|popup|subscri"
+    "|^(?:google)?ads?(?:bar|block|box|container|frame|slot|space|spot|unit|wrap|wrapper|zone)s?$"
+    "|^(?:bottom|foot|head|left|main|page|right|side|site|sub|top|user)(?:bar|header|links|menu|nav)s?$"
+)
+CONTENT_COMPOUND = re.compile("^(?:article|body|entry|main|news|page|post|story)(?:body|content|text)$")
 #: Log odds that an element's names give to all blocks in it.
 BOILERPLATE_HINT, CONTENT_HINT, ARTICLE_HINT = -6.0, 3.0, 4.5
-#: Log odds of blocks outside all articles of a page that has one.
-OUTSIDE_HINT = -4.5
+#: Log odds of blocks outside all articles of a page that has one; of one that names only a container of content.
+OUTSIDE_HINT, ASIDE_HINT = -4.5, -2.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ABOUT_OTHERS = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S+", re.I)
 _WORD_START = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -68,7 +76,7 @@ class _Open:
 
 
 def _names(attributes: str) -> set[str]:
-    """Words of class, id and role. Class names such as has-sidebar tell what is elsewhere and are left out."""
+    """Words of class, id, role and itemprop. Class names such as has-sidebar tell what is elsewhere and are left out."""
     names: set[str] = set()
     for value in _NAMES.findall(attributes):
         plain = _WORD_START.sub("-", _ABOUT_OTHERS.sub(" ", value.strip("\"'")))
@@ -78,7 +86,7 @@ def _names(attributes: str) -> set[str]:
 
 def _hint(tag: str, attributes: str, above: float) -> float:
     """What an element says of its content: above 0 for content; the last say of boilerplate holds below it."""
-    if above < -1:
+    if above < -1 and tag != "main":  # names of a layout around the main element tell nothing of it
         return above
     names = _names(attributes) if attributes else set()
     if tag in ("html", "body", "main"):  # their names are about the layout of the page
@@ -86,7 +94,7 @@ def _hint(tag: str, attributes: str, above: float) -> float:
     elif tag == "article":
         boilerplate = bool(names & OTHER_ARTICLES)
     else:
-        said = names & BOILERPLATE_NAMES
+        said = {n for n in names if n in BOILERPLATE_NAMES or BOILERPLATE_COMPOUND.search(n)}
         if above > 0:  # an article's own header is part of it
             said.discard("header")
         boilerplate = bool(said) or tag in BOILERPLATE_TAGS or tag == "header" and above <= 0
@@ -94,7 +102,7 @@ def _hint(tag: str, attributes: str, above: float) -> float:
         return BOILERPLATE_HINT
     if tag == "article":
         return ARTICLE_HINT
-    if tag in CONTENT_TAGS or names & CONTENT_NAMES and tag not in ("html", "body"):
+    if tag in CONTENT_TAGS or tag not in ("html", "body") and any(n in CONTENT_NAMES or CONTENT_COMPOUND.match(n) for n in names):
         return max(CONTENT_HINT, above)
     return above
 
@@ -270,9 +278,12 @@ def main_text(page: bytes | None) -> str:
     blocks = blocks_of(page.decode("utf-8", "replace")) if page else []
     if not blocks:
         return ""
-    gain, article = [], any(b["hint"] >= ARTICLE_HINT for b in blocks)
+    gain, best = [], max(b["hint"] for b in blocks)
     for b in blocks:
-        odds = content_odds(b) + (OUTSIDE_HINT if article and b["hint"] == 0 else 0.0)  # cost of calling it boilerplate: -log(1 - p); content: -log p
+        odds = content_odds(b)
+        if b["hint"] == 0 and (best >= ARTICLE_HINT or best > 0 and b["tag"] != "h1"):  # a title can stand before the container
+            odds += OUTSIDE_HINT if best >= ARTICLE_HINT else ASIDE_HINT
+        # cost of calling it boilerplate: -log(1 - p); content: -log p
         gain.append(round(1000 * (math.log1p(math.exp(odds)) - math.log1p(math.exp(-odds)))))
     keep = min_cut(gain, smoothness(blocks))
     return "\n".join(b["text"] for b, k in zip(blocks, keep, strict=True) if k)

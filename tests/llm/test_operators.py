@@ -306,6 +306,13 @@ def test_tiles_lose_no_link(spark, tile):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
+def test_dense_tile_is_folded(monkeypatch):
+    monkeypatch.setattr(simhash, "LINKS", 50)
+    fps = np.array([0b111 << i for i in range(40)] + [1 << i for i in range(40)] + [(1 << 63) - 1], np.uint64)
+    a, b = simhash.tile_links(fps, None, step=8)
+    assert set(a.tolist()) | set(b.tolist()) == set(fps[:-1].tolist()) and len(a) == len(fps) - 2  # one tree, but for the last
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (200, None)]
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -511,6 +518,11 @@ LONG = "There are many words in this passage, and all of them are about the same
     (f'<div role="contentinfo"><p>{LONG}</p></div><p>This is what the page says.</p><p>And so on it goes.</p>', "This is what the page says.\nAnd so on it goes."),
     (f'<div class="x1"><p>{LONG}</p></div><article><p>Only this one.</p></article>', "Only this one."),
     ('<article><p>x < y &lt;b&gt; <math><mi>z</mi></math></p></article>', "x < y <b> z"),
+    (f'<div class="topnav">{LONG}</div><div class="pagecontent"><h1>Head</h1><p>{LONG}</p></div><div class="adbox">{LONG}</div>'
+     f'<div class="cookiebar">{LONG}</div><div class="usercomments"><p>{LONG}</p></div><div class="pagefooter">{LONG}</div>', f"Head\n{LONG.strip()}"),
+    (f'<div class="wrapper sidebar-layout"><main><h1>Head</h1><p>{LONG}</p></main></div>', f"Head\n{LONG.strip()}"),
+    (f'<h1>The head of it</h1><div itemprop="articleBody"><p>{LONG}</p><p>Yes.</p></div><div class="x1">{LONG[:90]}</div>', f"The head of it\n{LONG.strip()}\nYes."),
+    ('<article><div class="commentary"><p>A commentary is a text of its own.</p></div></article>', "A commentary is a text of its own."),
 ])
 def test_main_text_of_other_layouts(page, want):
     assert extraction.main_text(page.encode()) == want
