@@ -6,7 +6,8 @@ XXH64 (seed 42), repeats included.
 
 Links: two fingerprints within ``RADIUS`` = 3 bits agree in one of four 16-bit bands, so rows that share a band are
 compared, all against all, as numpy tiles (exclusive-or and bit counts). Tiles are ordered by population count;
-tile pairs whose counts differ beyond the radius are skipped. A band value with more than ``TILE`` fingerprints is
+tile pairs whose counts differ beyond the radius are skipped, and links are folded into a forest as they come, so a
+tile in which all are alike takes no more memory. A band value with more than ``TILE`` fingerprints is
 cut into tiles by population count and hash, and its tile pairs are dealt out as tasks of their own, so no task
 holds more than two tiles. Equal fingerprints are one row before anything is compared, and a tile gives a
 spanning forest of its links, not all pairs; connected components of these links are those of all links.
@@ -32,7 +33,9 @@ from .components import connected_components
 
 SHINGLE = 3
 RADIUS = 3
-TILE = 4096
+TILE = 16_384
+#: A tile's links are folded into a forest whenever there are so many.
+LINKS = 1 << 20
 
 OUT = T.StructType([T.StructField("fp", T.LongType())])
 
@@ -86,7 +89,7 @@ def tile_links(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, s
     order = np.argsort(pops, kind="stable")
     fps, pops = fps[order], pops[order].astype(np.int64)
     side = side[order] if side is not None else None
-    left, right = [], []
+    left, right, held = [], [], 0
     for i in range(0, len(fps), step):
         a, top = fps[i : i + step], pops[min(i + step, len(fps)) - 1]
         for j in range(i, len(fps), step):
@@ -98,6 +101,10 @@ def tile_links(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, s
             own = x < y if side is None else (x < y) & (side[x] != side[y])
             left.append(x[own])
             right.append(y[own])
+            held += len(left[-1])
+            if held > LINKS:
+                child, parent = _forest(len(fps), np.concatenate(left), np.concatenate(right))
+                left, right, held = [child], [parent], 0
     if not left:
         return fps[:0], fps[:0]
     child, parent = _forest(len(fps), np.concatenate(left), np.concatenate(right))
