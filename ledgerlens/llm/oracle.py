@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import CONTAINMENT, NOTICES, SHINGLE
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = """
@@ -118,4 +120,35 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IS NOT NULL THEN
 FROM ruled LEFT JOIN spread ON regexp_replace(ruled.url, '(?s)#.*$', '') = spread.node
 """
 
-ORACLE_SQL = {"op1_warc": OP1, "op2_decontamination": OP2, "op5_mixing": OP5, "op7_urlfilter": OP7}
+_LEADS = ", ".join(f"lead(word, {j}) OVER own" for j in range(1, SHINGLE))
+_SHINGLES = f"""
+  SELECT id, i - 1 AS i, concat_ws(' ', word, {_LEADS}) AS gram, greatest(1, n - {SHINGLE - 1}) AS last
+  FROM (SELECT id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (
+    SELECT {{id}} AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {{table}}) q) r
+  WINDOW own AS (PARTITION BY id ORDER BY i) QUALIFY i <= last
+"""
+
+#: Containment in every window, without retrieval by MinHash bands; so a window that no band meets would differ.
+OP8 = f"""
+WITH notices(id, name, text) AS (
+  VALUES {", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(NOTICES))}
+), grams AS (
+  SELECT DISTINCT id, gram FROM ({_SHINGLES.format(id="id", table="notices")}) t
+), templates AS (
+  SELECT id, name, m, CAST(2 ** greatest(0, ceil(log2(m))) AS BIGINT) AS step, gram
+  FROM grams JOIN (SELECT id, count(*) AS m FROM grams GROUP BY id) c USING (id) JOIN notices USING (id)
+), places AS (
+  SELECT id AS doc_id, i, gram FROM ({_SHINGLES.format(id="doc_id", table="documents")}) d
+), hits AS (
+  SELECT DISTINCT doc_id, id, name, m, gram, unnest([i // step, greatest(i // step - 1, 0)]) AS k
+  FROM (SELECT p.doc_id, t.id, t.name, t.m, t.gram, p.i, t.step FROM places p JOIN templates t ON p.gram = t.gram) q
+), windows AS (
+  SELECT doc_id, id, name, k FROM hits GROUP BY doc_id, id, name, k, m HAVING count(*) >= {CONTAINMENT}::DOUBLE * m
+), found AS (
+  SELECT doc_id, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_windows FROM windows GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(n_windows, 0) AS n_windows
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op2_decontamination": OP2, "op5_mixing": OP5, "op7_urlfilter": OP7, "op8_licenses": OP8}
