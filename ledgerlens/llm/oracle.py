@@ -31,6 +31,8 @@ FROM firsts
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_NEXT = ", ".join(f"lead(w0, {j}) OVER own AS w{j}" for j in range(1, 10))
+_WANTED = ", ".join(f"CASE WHEN n > {j} THEN w{j} END" for j in range(1, 10))
 OP2 = f"""
 WITH items AS (
   SELECT DISTINCT item_id, {_WORDS} AS words FROM benchmark
@@ -40,9 +42,10 @@ WITH items AS (
 ), docs AS (
   SELECT doc_id, {_WORDS} AS words FROM documents
 ), places AS (
-  SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM patterns) s
+  SELECT *, {_NEXT} FROM (SELECT doc_id, len(words) AS n_words, unnest(words) AS w0, generate_subscripts(words, 1) AS i FROM docs) q
+  WINDOW own AS (PARTITION BY doc_id ORDER BY i)
 ), grams AS (
-  SELECT doc_id, n, i, array_to_string(list_slice(words, i, i + n - 1), ' ') AS gram FROM places
+  SELECT doc_id, n, i, concat_ws(' ', w0, {_WANTED}) AS gram FROM places, (SELECT DISTINCT n FROM patterns) s WHERE i + n - 1 <= n_words
 ), hits AS (
   SELECT doc_id, item_id, i, g.n FROM grams g JOIN patterns p ON g.gram = p.gram AND g.n = p.n
 ), hit_words AS (
