@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import common, components, decontamination, extraction, hmm, licenses, mixing, quality, queries, simhash, syncmers, urlfilter, warc
+from ledgerlens.llm import common, components, decontamination, extraction, hmm, licenses, mixing, oracle, quality, queries, simhash, syncmers, urlfilter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -578,5 +578,26 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op2_decontamination", "op8_licenses"])
+def test_queries_against_sql(spark, tmp_path, name):
+    import duckdb
+
+    item, notices = text(23, 7), [t for _, t in licenses.NOTICES]
+    docs = [(0, None), (1, ""), (2, "one two"), (3, item), (4, text(60, 2) + " " + re.sub("[a-z]", lambda m: m[0].upper(), item).replace(" ", " -- ") + " " + text(9, 3)), (5, "Yes, it is so."),
+            (6, "it is"), (7, " ".join(item.split()[3:14]) + " x " + " ".join(item.split()[4:12])), (8, text(40, 1) + " " + " ".join(notices)),
+            (9, (notices[4] + " \n ") * 30), (10, " ".join(notices[5].split()[:-3])), (11, " ".join(notices[5].split()[:-8])), (12, "straße É " + item + " ÉTÉ")]
+    items = [(1, item), (2, None), (3, "!!"), (4, "it is so"), (10, text(10, 1)), (1, item), (11, "straße é " + " ".join(item.split()[:8]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(oracle.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(want.fetchall())
+    assert {r[0] for r in found.where("contaminated" if name.startswith("op2") else "n_licenses > 0").select("doc_id").collect()} >= ({3, 4, 5, 7, 12} if name.startswith("op2") else {8, 9, 10})
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
