@@ -89,8 +89,8 @@ for _n, _f, _w in (
     ("account_memcmp", AccountFilter(state=(Memcmp(1, b'"k"'), Memcmp(6, b"4"))), f"{_MEMCMP} AND octet_length(encode(data)) >= 7 AND substr(data, 7, 1) = '4'"),
     ("account_memcmp_past_end", AccountFilter(state=(Memcmp(8, b"}}}"),)), "false"),
     ("account_token_state", AccountFilter(state=(TokenAccountState(),)), "false"),
-    ("account_lamports_eq", AccountFilter(state=(Lamports("eq", 1000),)), "lamports = 1000"),
-    ("account_lamports_ne", AccountFilter(state=(Lamports("ne", 1000),)), "lamports <> 1000"),
+    ("account_lamports_eq", AccountFilter(state=(Lamports("eq", 500),)), "lamports = 500"),
+    ("account_lamports_ne", AccountFilter(state=(Lamports("ne", 500),)), "lamports <> 500"),
     ("account_lamports_lt", AccountFilter(state=(Lamports("lt", 1000),)), "lamports < 1000"),
     ("account_lamports_gt", AccountFilter(state=(Lamports("gt", 1000), Lamports("lt", 2000))), "lamports > 1000 AND lamports < 2000"),
     ("account_combined", AccountFilter(owner=("error",), state=(Lamports("gt", 1000), Memcmp(1, b'"k"'), DataSize(9)), nonempty_txn_signature=True),
