@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, mixing, quality, simhash
+from ledgerlens.llm import decontamination, mixing, neardup, quality
 from ledgerlens.llm.common import materialize
 
 
@@ -24,9 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    prints = materialize(simhash.fingerprints(docs), "fingerprints")
-    gone = simhash.near_duplicates(prints).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document with the smallest id of each group of near copies (5-word shingles, Jaccard of 0.8 or more)."""
+    gone = neardup.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     same = Window.partitionBy("doc_id").orderBy("text")
     return kept.withColumn("_row", F.row_number().over(same)).where("_row = 1 or doc_id is null").drop("_row")

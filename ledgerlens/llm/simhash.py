@@ -40,19 +40,27 @@ LINKS = 1 << 20
 OUT = T.StructType([T.StructField("fp", T.LongType())])
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return []
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[size - 1 :], strict=False)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[size - 1 :], strict=False)]
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):  # bounded memory for very long texts
         part = np.array(hashes[at : at + (1 << 15)], dtype="<u8").view(np.uint8).reshape(-1, 8)

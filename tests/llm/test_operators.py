@@ -313,6 +313,38 @@ def test_dense_tile_is_folded(monkeypatch):
     assert set(a.tolist()) | set(b.tolist()) == set(fps[:-1].tolist()) and len(a) == len(fps) - 2  # one tree, but for the last
 
 
+def test_pipeline_drops_all_near_copies(spark, tmp_path, monkeypatch):
+    """Every pair of a Jaccard of 0.8 or more on 5-word shingles is linked, none below; brute force over all pairs."""
+    import corpus_pipeline
+    from ledgerlens.llm import neardup
+
+    rng, made = random.Random(4), []
+    for base in range(25):
+        own = words(rng.randrange(1, 200), 900 + base, 5000)
+        for _ in range(6):
+            made.append(" ".join(w if rng.random() > 0.015 else f"x{rng.random()}" for w in own))
+    hub = words(100, 77, 5000)
+    made += [" ".join(hub[:i] + ["new"] + hub[i + 1 :]) for i in range(0, 100, 2)]  # many alike
+    made += [None, "", " ", "one", "ONE", "two words", "a a a a a a a", "a a a a a"]
+    own = words(300, 5, 9000)
+    for cut in range(0, 31):  # sets on both sides of 0.8
+        made.append(" ".join(own[:270] + [f"c{cut}.{i}" for i in range(cut)]))
+    cut = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split())
+    sets = [cut(t) for t in made]
+    root = list(range(len(made)))
+    for i, j in itertools.combinations(range(len(made)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(made)], DOCS).repartition(3)
+    table = common.materialize(table, "docs")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    monkeypatch.setattr(neardup, "COMMON_SEEN", 1)  # another order, the same links
+    got = {r.doc_id: r.component_id for r in neardup.near_copies(table).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (200, None)]
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
