@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize
 
-STATES = 4
-ROUNDS = 4
+STATES = 6
+#: Training takes at least so many rounds, then goes on until one gains less than TOLERANCE (natural log) a token.
+ROUNDS = 5
+TOLERANCE = 0.005
 FREQUENT = 60_000
 SHAPES = 4096
 SEGMENT = 256
@@ -216,17 +218,24 @@ def baum_welch_round(encoded: DataFrame, model: dict) -> tuple[np.ndarray, np.nd
     return out[:C], out[C : C + K], out[C + K : C + K + 2], float(out[-1, 0])
 
 
-def train(encoded: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> dict:
+def train(encoded: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
+    """Baum-Welch until it has converged, or for just ``rounds`` rounds where these are given."""
     model, base = start_model(weight, states), weight / weight.sum()
-    for _ in range(rounds):
-        emitted, moves, starts, _ = baum_welch_round(encoded, model)
+    done, before = 0, -math.inf
+    while rounds is None or done < rounds:
+        emitted, moves, starts, likely = baum_welch_round(encoded, model)
         emit = emitted + PRIOR * base[:, None]
+        size = max(1.0, float(emitted.sum()))
         moves, starts = moves + 1.0, starts + 1.0
         model = {
             "emit": emit / emit.sum(0),
             "move": moves / moves.sum(1, keepdims=True),
             "start": starts / starts.sum(1, keepdims=True),
         }
+        done += 1
+        if rounds is None and done >= ROUNDS and likely - before < TOLERANCE * size:
+            break
+        before = likely
     return model
 
 
@@ -251,7 +260,7 @@ def forward(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; ``training`` marks the rows to learn from."""
     spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))

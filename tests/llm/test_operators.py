@@ -479,6 +479,23 @@ def test_language_model(spark, docs, rows, no_docs, monkeypatch):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
 
 
+def test_training_goes_on_until_it_gains_little(monkeypatch):
+    def rounds_for(logs):
+        left = list(logs)
+
+        def one(encoded, model):
+            states = model["move"].shape[0]
+            assert states >= 6
+            return np.full((4, states), 100 / 4 / states), np.ones((states, states)), np.ones((2, states)), left.pop(0)
+
+        monkeypatch.setattr(hmm, "baum_welch_round", one)
+        hmm.train(None, np.ones(4))
+        return len(logs) - len(left)
+
+    assert rounds_for([-900.0 + 10 * i for i in range(12)] + [-790.0 + 0.1] * 9) == 13  # 100 tokens: a gain of 0.5 counts
+    assert rounds_for([-900.0] * 20) == 5
+
+
 def test_probabilities_of_one_token_add_up():
     counts = {b"a": 900, b"b": 90, b"cc": 5, b"dd": 2}
     vocab = hmm.Vocabulary([(b"a", 900), (b"b", 90)], np.bincount([hmm.shape(b"cc"), hmm.shape(b"dd")], [5.5, 2.5], hmm.SHAPES), 10, 1007, 5)
