@@ -1,6 +1,6 @@
 """A sketch of a key set for requests: 16-bit fingerprints in buckets of four, SipHash-2-4.
 
-The driver builds a sketch; columns are tested by Arrow batch, all keys of a batch at once. A sketch has no false
+The driver builds a sketch (of a key table, tasks build one for each hash bucket); columns are tested by Arrow batch, all keys of a batch at once. A sketch has no false
 negatives, and about one false positive in ten thousand, so results are checked again with an exact semi join.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the sketch's form.
 SLOTS, FINGERPRINT_BITS, MAX_KICKS, LOAD, ALGORITHM = 4, 16, 500, 0.95, "siphash"
+#: Keys of a bucket of BucketSketches.
+KEYS_EACH = 50_000
 _U = np.uint64
 
 
@@ -204,7 +206,53 @@ class KeySet:
         return self.sketch.to_wire()
 
 
-def sketch_then_exact(rows: DataFrame, column: str, sketch: Cuckoo, exact: DataFrame, exact_column: str) -> DataFrame:
+@dataclass
+class BucketSketches:
+    """Sketches of a key table of any size: one for each hash bucket of about ``KEYS_EACH`` keys, built by the tasks."""
+
+    wires: list[dict]
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str, seed: int = 0) -> BucketSketches:
+        """``column`` is BINARY; only the sketches (about three bytes a key) come to the driver."""
+        own = keys.select(F.col(column).alias("key")).where("key is not null").distinct()
+        buckets = max(1, -(-own.count() // KEYS_EACH))
+
+        def build(group: pd.DataFrame) -> pd.DataFrame:
+            given, size = [bytes(k) for k in group["key"]], len(group)
+            while True:
+                try:
+                    made = Cuckoo.of(given, size, seed)
+                    break
+                except TableFull:
+                    size *= 2
+            return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "data": [made.table.tobytes()]})
+
+        dealt = own.withColumn("bucket", bucket_of(F.col("key"), buckets))
+        wires: list[dict] = [{"hash_seed": seed}] * buckets
+        for row in dealt.groupBy("bucket").applyInPandas(build, "bucket int, data binary").collect():
+            wires[row.bucket] = {"data": bytes(row.data), "hash_seed": seed}
+        return cls(wires)
+
+    def matches(self, column: Column) -> Column:
+        """BINARY column -> whether the sketch of its bucket may hold it; null never."""
+        wires = self.wires
+
+        @F.pandas_udf("boolean")
+        def test(keys: pd.Series, buckets: pd.Series) -> pd.Series:
+            out = pd.Series(False, index=keys.index)
+            for bucket, own in keys[keys.notna()].groupby(buckets):
+                out[own.index] = Cuckoo.from_wire(wires[int(bucket)]).contains(bytes(k) for k in own)
+            return out
+
+        return F.coalesce(test(column, bucket_of(column, len(wires))), F.lit(False))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def sketch_then_exact(rows: DataFrame, column: str, sketch: Cuckoo | BucketSketches, exact: DataFrame, exact_column: str) -> DataFrame:
     """Rows whose key the sketch may hold, checked again with a semi join against the exact keys."""
     likely = rows.where(sketch.matches(F.col(column)))
     keys = exact.select(F.col(exact_column).alias("_key")).distinct()

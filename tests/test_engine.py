@@ -306,3 +306,15 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sketch_holds_every_key(spark, tmp_path):
+    from ledgerlens import queries
+
+    keys = 5 * 100_400  # every fifth is wanted, more than 100 000 in all
+    spark.range(5, keys + 1).selectExpr("id as c_custkey").repartition(4).write.parquet(f"{tmp_path}/customer.parquet")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    kind = events.schema["user_id"].dataType
+    events.limit(0).union(events.limit(1).crossJoin(spark.range(1, keys + 1, 7)).withColumn("user_id", F.col("id").cast(kind)).drop("id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(r.pubkey for r in queries.QUERIES["sketch_then_exact_keys"](spark, str(tmp_path)).collect())
+    assert got == [k for k in range(1, keys + 1, 7) if k % 5 == 0]
