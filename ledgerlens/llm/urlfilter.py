@@ -6,7 +6,8 @@ aliases: components over these links carry a block from any member to every memb
 allows. URLs without a rule and without a blocked alias are allowed.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and have no aliases. Null html gives
-no links. Aliases are compared without their fragment. Repeated rows give repeated results.
+no links. Links are resolved against the page's URL; aliases are compared without fragment and dot
+segments, with scheme and host in lower case. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -41,22 +42,53 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments . and .. (those beyond the root go too)."""
+    parts = F.split(path, "/")
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.least(F.size(done), F.lit(1))))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(kept, ends)).otherwise(path)
+
+
+def node_of(url: Column) -> Column:
+    """What aliases are compared by: no fragment, scheme and host in lower case, no dot segments."""
+    plain = F.regexp_replace(url, r"(?s)#.*$", "")
+    part = lambda i: F.regexp_extract(plain, r"(?s)^([^/?]*://[^/?]*)([^?]*)(.*)$", i)
+    origin = F.translate(part(1), string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(origin == "", plain).otherwise(F.concat(origin, without_dots(part(2)), part(3)))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The URL that ``to`` means on a page of the URL ``base``; null if that is none with ``://``."""
+    part = lambda i: F.regexp_extract(base, r"(?s)^([^/?#]*:)(//[^/?#]*)([^?#]*)", i)
+    folder = F.regexp_replace(part(3), r"[^/]*$", "")
+    whole = (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.contains("://"), to))
+        .when((part(1) == "") | (to == "") | F.startswith(to, F.lit("#")), F.lit(None))
+        .when(F.startswith(to, F.lit("//")), F.concat(part(1), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(part(1), part(2), to))
+        .when(F.startswith(to, F.lit("?")), F.concat(part(1), part(2), part(3), to))
+    )
+    return whole.otherwise(F.concat(part(1), part(2), F.when(folder == "", "/").otherwise(folder), to))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's URL and the URL that it redirects to or calls canonical, absolute or from the root of its host."""
-    tag = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical[^>]*>"
-    refresh = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>"
+    """(a, b): a page's URL and the URLs that it redirects to or calls canonical, resolved against its own."""
     head = pages.where("url is not null and html is not null").select("url", "html")
-    head = head.where(F.col("html").rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
-    to = F.array(
-        F.regexp_extract(F.regexp_extract("html", tag, 0), r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(F.regexp_extract("html", refresh, 0), r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1),
+    head = head.where(F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?\s*refresh"))
+    tags = lambda tag: F.regexp_extract_all("html", F.lit(tag), F.lit(0))
+    named = r"(?is)\srel\s*=\s*(\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical[\s/>])"
+    canonical = F.filter(tags(r"(?is)<link\s[^>]*>"), lambda t: t.rlike(named))
+    refresh = tags(r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?\s*refresh[^>]*>")
+    to = F.concat(
+        F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)),
+        F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)),
     )
-    found = head.select("url", F.explode(to).alias("to"))
-    scheme, origin = F.regexp_extract("url", r"(?s)^(.*?:)//", 1), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(scheme, "to")).when(F.startswith(F.col("to"), F.lit("/")), F.concat(origin, "to"))
-    links = found.withColumn("to", whole.otherwise(F.col("to"))).where(F.col("to").contains("://"))
-    plain = lambda c: F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
-    return links.select(plain(F.col("url")).alias("a"), plain(F.col("to")).alias("b")).where("a <> b")
+    found = head.select("url", F.explode(F.array_distinct(to)).alias("to"))
+    links = found.select("url", resolved(F.col("url"), F.replace("to", F.lit("&amp;"), F.lit("&"))).alias("to")).where("to is not null")
+    return links.select(node_of(F.replace("url", F.lit("&amp;"), F.lit("&"))).alias("a"), node_of(F.col("to")).alias("b")).where("a <> b")
 
 
 def with_rules(urls: DataFrame, rules: DataFrame, inline: int = INLINE_RULES) -> DataFrame:
@@ -95,13 +127,12 @@ def judge(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None) ->
     """page_id, url, host, path, rule and verdict of every page; ``links`` default to those in the pages' html."""
     split = lambda df: df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = with_rules(split(pages.select("page_id", "url")), rules)
-    links = materialize(page_links(pages) if links is None else links.select("a", "b"), "url-links")
+    links = materialize(page_links(pages) if links is None else links.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")), "url-links")
     if links.isEmpty():
         return judged.withColumn("verdict", F.coalesce("own", F.lit("allow"))).drop("own")
     roots = connected_components(links)
     nodes = with_rules(split(roots.withColumnRenamed("node", "url")), rules)
     blocked = nodes.where("own = 'block'").select("root").distinct()
     aliases = roots.join(blocked, "root").select(F.col("node").alias("alias"), F.lit("block").alias("spread"))
-    plain = F.regexp_replace("url", r"(?s)#.*$", "")
-    met = judged.join(aliases, plain == F.col("alias"), "left")
+    met = judged.join(aliases, node_of(F.col("url")) == F.col("alias"), "left")
     return met.withColumn("verdict", F.coalesce("own", "spread", F.lit("allow"))).drop("own", "alias", "spread")

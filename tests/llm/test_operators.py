@@ -395,6 +395,21 @@ def test_urls_against_sql(spark, tmp_path):
     assert [verdicts[i] for i in range(20, 26)] == ["block", "block", "block", "allow", "allow", "allow"]
 
 
+def test_all_links_of_a_page_count(spark):
+    bad = "http://bad.net/x/"
+    pages = [(0, "http://a.com/d/p.html", '<link rel="canonical" href="b.html">'), (1, "HTTP://A.com/d/b.html", f'<meta http-equiv="refresh" content="0;url={bad}">'),
+             (2, "http://c.com/d/e/p", '<link rel=canonical href="../q?x=1">'), (3, "http://c.com/d/q?x=1", f"<link rel='canonical' href='{bad}'>"),
+             (4, "http://e.com/p", '<link rel=canonical href="?id=2">'), (5, "http://e.com/p?id=2", f'<link rel="canonical" href="/"><link rel="nofollow canonical" href="{bad}">'),
+             (6, "http://f.com/a/p", f"<meta http-equiv=refresh content='1;url=next'><meta http-equiv=refresh content='1;url={bad}'>"), (7, "http://f.com/a/next", ""),
+             (8, "http://g.com/", '<link rel="stylesheet" href="http://bad.net/x/"><link rel="canonical-not" href="http://bad.net/x/">'), (9, "relative", '<link rel=canonical href="b?u=http://bad.net/x/">')]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(table, rules).collect()}
+    assert got == {i: "block" if i < 8 else "allow" for i in range(10)}
+    paths = spark.createDataFrame([("/a/./b/../c",), ("/a/..",), ("/../../x",), ("/a/b/.",), ("/a.b/..c",)], "p string")
+    assert [r[0] for r in paths.select(urlfilter.without_dots(F.col("p"))).collect()] == ["/a/c", "/", "/x", "/a/b/", "/a.b/..c"]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------
 
 
