@@ -53,6 +53,11 @@ BOILERPLATE_COMPOUND = re.compile(
 CONTENT_COMPOUND = re.compile("^(?:article|body|entry|main|news|page|post|story)(?:body|content|text)$")
 #: Log odds that an element's names give to all blocks in it.
 BOILERPLATE_HINT, CONTENT_HINT, ARTICLE_HINT = -6.0, 3.0, 4.5
+#: The same in what holds other articles (comments, teasers, adverts); within any other boilerplate an article starts anew.
+OTHERS_HINT = -6.5
+OTHERS_TAGS = frozenset("nav aside footer menu dialog".split())
+#: Elements whose ids, within an article, are made from its headings (but for a section of comments).
+HEADED_TAGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: Log odds of blocks outside all articles of a page that has one; of one that names only a container of content.
 OUTSIDE_HINT, ASIDE_HINT = -4.5, -2.5
 
@@ -61,6 +66,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_IDS = re.compile(r"""(?<![\w-])id\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ABOUT_OTHERS = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S+", re.I)
 _WORD_START = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -86,8 +92,10 @@ def _names(attributes: str) -> set[str]:
 
 def _hint(tag: str, attributes: str, above: float) -> float:
     """What an element says of its content: above 0 for content; the last say of boilerplate holds below it."""
-    if above < -1 and tag != "main":  # names of a layout around the main element tell nothing of it
+    if above < -1 and tag != "main" and (tag != "article" or above <= OTHERS_HINT):  # names of a layout tell nothing of these
         return above
+    if above >= ARTICLE_HINT and tag in HEADED_TAGS:
+        attributes = _IDS.sub(lambda m: m[0] if tag == "section" and m[1].strip("\"'").lower() in ("comment", "comments") else " ", attributes)
     names = _names(attributes) if attributes else set()
     if tag in ("html", "body", "main"):  # their names are about the layout of the page
         boilerplate = False
@@ -99,7 +107,7 @@ def _hint(tag: str, attributes: str, above: float) -> float:
             said.discard("header")
         boilerplate = bool(said) or tag in BOILERPLATE_TAGS or tag == "header" and above <= 0
     if boilerplate:
-        return BOILERPLATE_HINT
+        return OTHERS_HINT if tag in OTHERS_TAGS or names & OTHER_ARTICLES else BOILERPLATE_HINT
     if tag == "article":
         return ARTICLE_HINT
     if tag in CONTENT_TAGS or tag not in ("html", "body") and any(n in CONTENT_NAMES or CONTENT_COMPOUND.match(n) for n in names):

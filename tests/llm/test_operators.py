@@ -592,6 +592,17 @@ def test_main_text_of_other_layouts(page, want):
     assert extraction.main_text(page.encode()) == want
 
 
+def test_main_text_of_articles_in_layouts():
+    long = "A paragraph of the article that says a good deal about its subject, and goes on to say some more of it."
+    for around in ("wrapper sidebar-layout", "content-with-sidebar"):
+        assert extraction.main_text(f"<body><div class='{around}'><article><p>{long}</p></article></div></body>".encode()) == long
+    for name in ("discussion", "search", "menu", "navigation", "replies"):
+        page = f"<article><p>{long}</p><section id='{name}'><h2 id='related-work'>Related work</h2><p>{long}</p></section></article>"
+        assert extraction.main_text(page.encode()) == f"{long}\nRelated work\n{long}"
+    other = f"<main><p>{long}</p></main><div class='comments'><article><p>{long}</p></article></div><aside><article><p>{long}</p></article></aside>"
+    assert extraction.main_text(other.encode()) == long
+
+
 def test_minimum_cut_of_many_blocks():
     rng = random.Random(2)
     n = 20_000
