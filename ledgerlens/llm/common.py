@@ -26,11 +26,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/ledgerlens/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage is cut, and a lost executor loses nothing.
+
+    ``options`` are those of the writer.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,237 +1,303 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact likelihoods by the scaled forward recursion.
 
-Tokens: A-Z lower-cased words between ASCII white space, then one end token. A state emits a class, a class its
-word. Words with at least N / ``FREQUENT`` of the N training tokens have a class of their own (so there are at most
-``FREQUENT`` of them, which bounds what is sent to tasks); all others, unknown words too, share ``SHAPES`` classes by
-their last bytes. Within a class a word has its share of c + 0.5, where c is its count and unknown words have 0.5
-together; so every word of the corpus counts in the likelihood. Class probabilities of a state are its expected
-counts plus ``PRIOR`` tokens of the overall distribution.
-
-Each Baum-Welch round is a map over the training texts, whose expected counts are summed by class across
-partitions; for training only, texts are cut into segments of ``SEGMENT`` tokens with start probabilities of their
-own. Scores use whole texts. Counts of words without a class of their own meet the texts in a join by word; no such
-word has more than 1 / ``FREQUENT`` of the training tokens, so no key of that join is hot.
-
-Null and empty texts are the end token alone. Repeated rows count and score each by itself. Without training texts
-base scores use N = V = 0.
+Tokens: A-Z lower-cased words between ASCII white space, then one end token. Texts are packed into blocks of about
+``BLOCK`` tokens (a longer text is a block of its own), each with its own list of distinct words; training and other
+texts have separate blocks.
+
+Training has two steps. First, Baum-Welch rounds with tied emissions: words share ``CLASSES`` classes by their CRC-32,
+at every size of the corpus, which bounds what is broadcast and gathered. Rounds go on until one gains less than
+``TOLERANCE`` a token. Then one more round over all training texts counts each word by state, as a table that grows
+with the vocabulary: E(w, s), whose sum over states is the word's count c(w). With p(s) the share of all tokens in
+state s, a state emits a word with probability
+
+    (E(w, s) / p(s) + 0.5) / (N + 0.5 (V + 1)),
+
+which adds up to 1 over the V words and the unknown word (E = 0; all unknown words are tied), and whose mean over the
+states is the base probability. Scores join that table to the words of the blocks.
+
+Texts are never cut: the recursions run over whole texts, all texts of a block at once, and memory is bounded by
+doing ``BLOCK`` tokens at a time (forward probabilities at the ends of such stretches are kept, the rest is computed
+again on the way back).
+
+Null and empty texts are the end token alone. Repeated rows count and score each by itself; a null doc_id is kept
+and an id can be of any type. Without training texts base scores use N = V = 0. No rows give no rows. Columns other
+than doc_id, text and those of the training condition are not read.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_bytes, materialize
 
 STATES = 6
-#: Training takes at least so many rounds, then goes on until one gains less than TOLERANCE (natural log) a token.
+#: Training takes at least so many tied rounds, then goes on until one gains less than TOLERANCE (natural log) a token.
 ROUNDS = 5
 TOLERANCE = 0.005
-FREQUENT = 60_000
-SHAPES = 4096
-SEGMENT = 256
+CLASSES = 1 << 15
+#: Tokens of the overall distribution that are added to the tied emissions of a state.
 PRIOR = 2000.0
-BATCH_TOKENS = 1 << 19
-FLUSH_WORDS = 1 << 18
-#: Codes of words without a class of their own that a task remembers at a time.
-KNOWN_CODES = 1 << 20
+BLOCK = 1 << 20
+#: Bytes of a row group of the blocks, which bounds what a reader holds.
+ROW_GROUP = 16 << 20
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def shape(word: bytes) -> int:
-    return zlib.crc32(word[-4:]) % SHAPES
+class _Local(dict):
+    """Words of a block, numbered as they come; the end token is number 0."""
 
+    def __init__(self):
+        self[b""] = 0
 
-def shape_column(word: Column) -> Column:
-    return F.pmod(F.crc32(F.substring(word.cast("binary"), -4, 4)), F.lit(SHAPES)).cast("int")
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        return code
 
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all of ``texts.text``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts sorted by falling length: how many reach place t, and where place t starts in a packed block."""
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    return active, np.concatenate(([0], np.cumsum(active)))
 
-        def made():
-            rows = iter(counts.items())
-            while part := list(islice(rows, 1 << 16)):
-                words, n = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in as_bytes(batch["text"]):
-                counts.update(tokens(text))
-                if len(counts) >= FLUSH_WORDS:
-                    yield from made()
-                    counts.clear()
-        yield from made()
+def pack(sequences: list[np.ndarray]) -> np.ndarray:
+    """All first tokens, then all second tokens, and so on; ``sequences`` are sorted by falling length."""
+    sizes = np.array([len(s) for s in sequences])
+    active, at = layout(sizes)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.empty(len(place), np.int32)
+    out[at[place] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate(sequences)
+    return out
 
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def packed_blocks(texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of ``texts`` (doc_id, text, learn): ids, sizes, packed codes, and the block's words with their classes."""
+    id_type = texts.schema["doc_id"].dataType
+    ids_arrow = to_arrow_type(T.ArrayType(id_type))
+    schema = T.StructType([
+        T.StructField("learn", T.BooleanType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType()),
+        T.StructField("codes", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
+    ])
+
+    class Held:
+        def __init__(self):
+            self.local, self.sequences, self.ids, self.size = _Local(), [], [], 0
+
+    def row(learn: bool, held: Held) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in held.sequences], np.int32)
+        order = np.argsort(-sizes, kind="stable")
+        ids = pa.concat_arrays(held.ids).take(pa.array(order))
+        classes = np.fromiter((zlib.crc32(w) % CLASSES for w in held.local), np.uint16, len(held.local))
+        words = pa.array(list(held.local), pa.binary()).cast(pa.string())
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        raw = lambda values: pa.array([values.tobytes()], pa.binary())
+        codes = pack([held.sequences[i] for i in order])
+        columns = [pa.array([learn]), one(ids).cast(ids_arrow), raw(sizes[order]), raw(codes), raw(classes), one(words)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-class Vocabulary:
-    """Classes: 0 the end token, then frequent words, then shapes. ``weight``: (c + 0.5) summed by class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {True: Held(), False: Held()}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                for i, (text, learn) in enumerate(zip(as_bytes(part["text"]), part["learn"].to_pylist(), strict=True)):
+                    held = kept[learn]
+                    held.sequences.append(held.local.encode(tokens(text)))
+                    held.ids.append(part["doc_id"].slice(i, 1))
+                    held.size += len(held.sequences[-1])
+                    if held.size >= block:
+                        yield row(learn, held)
+                        kept[learn] = Held()
+        for learn, held in kept.items():
+            if held.sequences:
+                yield row(learn, held)
+
+    return texts.select("doc_id", "text", "learn").mapInArrow(run, schema)
+
+
+def unpacked(batch: pa.RecordBatch, *columns: str) -> Iterator[list[np.ndarray]]:
+    """The binary ``columns`` of each row: sizes and codes are 4 bytes wide, classes 2."""
+    kinds = {"sizes": np.int32, "codes": np.int32, "classes": np.uint16}
+    for i in range(batch.num_rows):
+        yield [np.frombuffer(batch[c][i].as_buffer(), kinds[c]) for c in columns]
+
+
+def _stretches(at: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of places with about ``most`` tokens each."""
+    places, out, start = len(at) - 1, [], 0
+    while start < places:
+        end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
+        out.append((start, end))
+        start = end
+    return out
 
-    def __init__(self, frequent: list[tuple[bytes, int]], shape_weights: np.ndarray, texts: int, n_tokens: int, distinct: int):
-        self.ids = {w: i for i, (w, _) in enumerate(sorted(frequent), 1)}
-        self.first_shape = len(self.ids) + 1
-        own = np.array([texts, *(c for _, c in sorted(frequent))], dtype=float) + 0.5
-        self.weight = np.concatenate((own, shape_weights + 0.5))
-        self.n_tokens, self.distinct = n_tokens, distinct
-        self.log_total = math.log10(n_tokens + 0.5 * (distinct + 1))
 
-    def coder(self) -> Callable[[list[bytes]], np.ndarray]:
-        """Words -> classes, with the end token; for use within one task."""
-        codes = _Codes(self)
+def _forward(model: dict, emitted: np.ndarray, at: list[int], span: tuple[int, int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities and scales of the places in ``span``; ``before`` are those of the place before."""
+    alpha, scale = np.empty_like(emitted), np.empty((len(emitted), 1), emitted.dtype)
+    move, ones = model["move"], np.ones((emitted.shape[1], 1), emitted.dtype)
+    base = at[span[0]]
+    for t in range(*span):
+        i, j = at[t] - base, at[t + 1] - base
+        own, total = alpha[i:j], scale[i:j]
+        if before is None:
+            np.multiply(model["start"], emitted[i:j], out=own)
+        else:
+            np.matmul(before[: j - i], move, out=own)
+            own *= emitted[i:j]
+        np.matmul(own, ones, out=total)
+        own /= total
+        before = own
+    return alpha, scale
+
+
+def posteriors(model: dict, emission: np.ndarray, codes: np.ndarray, sizes: np.ndarray, take: Callable, block: int = BLOCK):
+    """Baum-Welch expectations of a packed block: expected moves, starts and the log likelihood.
+
+    ``emission`` has a row of state probabilities for each code; ``take(codes, weights)`` gets the state posteriors.
+    """
+    active, starts_at = layout(sizes)
+    at, last = starts_at.tolist(), len(sizes)
+    spans = _stretches(starts_at, block)
+    before, likely, entered = None, 0.0, []
+    for span in spans:
+        emitted = emission[codes[at[span[0]] : at[span[1]]]]
+        alpha, scale = _forward(model, emitted, at, span, before)
+        likely += float(np.log(scale).sum(dtype=float))
+        entered.append(before)
+        before = alpha[at[span[1] - 1] - at[span[0]] :].copy()
+    K = emission.shape[1]
+    moves, starts, later, back = np.zeros((K, K)), np.zeros(K), None, np.ascontiguousarray(model["move"].T)
+    for span, before in zip(reversed(spans), reversed(entered), strict=True):
+        base, end = at[span[0]], at[span[1]]
+        if len(spans) > 1:
+            emitted = emission[codes[base:end]]
+            alpha, scale = _forward(model, emitted, at, span, before)
+        emitted /= scale
+        beta = np.ones_like(emitted)
+        for t in range(span[1] - 1, span[0] - 1, -1):  # emitted becomes emission x backward, for the place before
+            i, j = at[t] - base, at[t + 1] - base
+            following = later if t + 1 == span[1] else emitted[j : at[t + 2] - base]
+            if following is not None:
+                np.matmul(following, back, out=beta[i : i + len(following)])
+            emitted[i:j] *= beta[i:j]
+        first = at[span[0] + 1] - base
+        came = np.arange(first, end - base) - np.repeat(active[span[0] : span[1] - 1], active[span[0] + 1 : span[1]])
+        moves += alpha[came].T @ emitted[first:]
+        if before is not None:
+            moves += before[:first].T @ emitted[:first]
+        later = emitted[:first].copy()
+        alpha *= beta
+        if not span[0]:
+            starts = alpha[:last].sum(0, dtype=float)
+        take(codes[base:end], alpha)
+    return moves * model["move"], starts, likely
+
+
+def forward(model: dict, emission: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 likelihood of each whole text of a packed block."""
+    active, at = layout(sizes)
+    at = at.tolist()
+    logs, now = np.zeros(len(sizes)), None
+    for t in range(len(active)):
+        own = emission[codes[at[t] : at[t + 1]]]
+        now = own * model["start"] if now is None else (now[: len(own)] @ model["move"]) * own
+        total = now.sum(1)
+        logs[: len(own)] += np.log10(total)
+        now /= total[:, None]
+    return logs
 
-        def encode(words: list[bytes]) -> np.ndarray:
-            if len(codes) > len(self.ids) + KNOWN_CODES:
-                codes.start()
-            out = np.zeros(len(words) + 1, "<u2")
-            out[:-1] = np.fromiter(map(codes.__getitem__, words), "<u2", len(words))
-            return out
 
-        return encode
+def _single(model: dict) -> dict:
+    return {k: v.astype(np.float32) for k, v in model.items()}
 
 
-class _Codes(dict):
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.start()
+def _by_code(sums: np.ndarray) -> Callable:
+    def take(codes, weights):
+        for k in range(sums.shape[1]):
+            sums[:, k] += np.bincount(codes, weights[:, k], len(sums))
 
-    def start(self):
-        self.clear()
-        self.update(self.vocab.ids)
+    return take
 
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = self.vocab.first_shape + shape(word)
-        return code
 
+def class_counts(blocks: DataFrame) -> np.ndarray:
+    """Tokens of each class in all ``blocks``."""
 
-def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    words, total = counts.agg(F.count("*"), F.sum("n")).first()
-    n_tokens = (total or 0) + texts
-    often = F.col("n") >= F.lit(max(1.0, n_tokens / FREQUENT))
-    frequent = [(r["word"].encode(), r["n"]) for r in counts.where(often).collect()]  # at most FREQUENT
-    weights = np.zeros(SHAPES)
-    for r in counts.where(~often).groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum(F.col("n") + 0.5).alias("w")).collect():
-        weights[r["s"]] = r["w"]
-    return Vocabulary(frequent, weights, texts, n_tokens, words + (texts > 0))
+    def run(batches):
+        sums = np.zeros(CLASSES)
+        for batch in batches:
+            for codes, classes in unpacked(batch, "codes", "classes"):
+                sums += np.bincount(classes, np.bincount(codes, minlength=len(classes)), CLASSES)
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["key", "n"])
+
+    out = np.zeros(CLASSES)
+    for key, n in blocks.select("codes", "classes").mapInArrow(run, "key long, n double").groupBy("key").agg(F.sum("n")).collect():
+        out[key] = n
+    return out
 
 
 def start_model(weight: np.ndarray, states: int = STATES) -> dict:
     noise = np.random.default_rng(11).lognormal(0.0, 0.6, (len(weight), states))
-    noise[0] = 1.0
-    emit = noise * weight[:, None]
+    noise[zlib.crc32(b"") % len(weight)] = 1.0
+    emit = noise * (weight + 1e-3)[:, None]
     stay = np.full((states, states), 0.06 / max(1, states - 1))
     np.fill_diagonal(stay, 0.94)
-    return {"emit": emit / emit.sum(0), "move": stay / stay.sum(1, keepdims=True), "start": np.full((2, states), 1.0 / states)}
-
-
-def expected_counts(model: dict, segments: list[np.ndarray], first: np.ndarray, kind_of=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected emissions (class x state), moves and starts of the segments, and their log likelihood."""
-    order = np.argsort([-len(s) for s in segments], kind="stable")
-    sizes = np.array([len(segments[i]) for i in order])
-    T, S, K = int(sizes[0]), len(order), model["move"].shape[0]
-    seen = np.zeros((T, S), np.int64)
-    for col, i in enumerate(order):
-        seen[: sizes[col], col] = segments[i]
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(T)]  # segments longer than t
-    emit, move, start = (model[k].astype(kind_of) for k in ("emit", "move", "start"))
-    alpha, scale = np.zeros((T, S, K), kind_of), np.ones((T, S), kind_of)
-    kind = first[order].astype(int)
-    now = start[kind] * emit[seen[0]]
-    for t in range(T):
-        m = active[t]
-        if t:
-            now = (alpha[t - 1, :m] @ move) * emit[seen[t, :m]]
-        total = now.sum(1)
-        alpha[t, :m], scale[t, :m] = now / total[:, None], total
-    beta = np.ones((S, K), kind_of)
-    moves, gamma = np.zeros((K, K)), alpha  # gamma overwrites alpha from the end
-    for t in range(T - 1, -1, -1):
-        m = active[t + 1] if t + 1 < T else 0
-        if m:
-            ahead = emit[seen[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-            moves += alpha[t, :m].T @ ahead
-            beta[:m] = ahead @ move.T
-        gamma[t, : active[t]] = alpha[t, : active[t]] * beta[: active[t]]
-    flat, real = seen.ravel(), (np.arange(T)[:, None] < sizes).ravel()
-    by_state = gamma.reshape(-1, K)
-    emitted = np.stack([np.bincount(flat[real], by_state[real, k], len(emit)) for k in range(K)], axis=1)
-    starts = np.stack([gamma[0][kind == i].sum(0) for i in (0, 1)])
-    return emitted, moves * move, starts, float(np.log(scale).sum(dtype=float))
-
-
-def _segments(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    for at in range(0, len(codes), SEGMENT):
-        yield codes[at : at + SEGMENT], int(at > 0)
-
-
-def baum_welch_round(encoded: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts over all of ``encoded.codes``, summed by class across partitions."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
-    K, C = model["move"].shape[0], len(model["emit"])
+    return {"emit": emit / emit.sum(0), "move": stay / stay.sum(1, keepdims=True), "start": np.full(states, 1.0 / states)}
 
-    def run(batches):
-        own = shared.value
-        sums = [np.zeros((C, K)), np.zeros((K, K)), np.zeros((2, K)), 0.0]
-        held, kinds, size = [], [], 0
 
-        def add():
-            for i, x in enumerate(expected_counts(own, held, np.array(kinds), np.float32)):
-                sums[i] = sums[i] + x
+def baum_welch_round(blocks: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (class x state, moves, starts) and log likelihood of all ``blocks``, summed across partitions."""
+    shared = blocks.sparkSession.sparkContext.broadcast(_single(model))
+    C, K = model["emit"].shape
+    names = [f"s{k}" for k in range(K)]
 
+    def run(batches):
+        own = shared.value
+        sums, rest = np.zeros((C, K)), np.zeros((K + 2, K))
         for batch in batches:
-            for codes in batch["codes"]:
-                for part, kind in _segments(np.frombuffer(codes.as_buffer(), "<u2")):
-                    held.append(part)
-                    kinds.append(kind)
-                    size += len(part)
-                    if size >= BATCH_TOKENS:
-                        add()
-                        held, kinds, size = [], [], 0
-        if held:
-            add()
-        rows = np.flatnonzero(sums[0].any(1))
-        more = np.concatenate((sums[1], sums[2], np.full((1, K), sums[3])))
-        keys, values = np.concatenate((rows, C + np.arange(len(more)))), np.concatenate((sums[0][rows], more))
-        yield pa.RecordBatch.from_arrays([pa.array(keys)] + [pa.array(values[:, k]) for k in range(K)], names=["key", *names])
-
-    names = [f"s{k}" for k in range(K)]
-    parts = encoded.mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names))
-    total = parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).collect()  # a row a class
-    out = np.zeros((C + K + 3, K))
-    for row in total:
+            for sizes, codes, classes in unpacked(batch, "sizes", "codes", "classes"):
+                moves, starts, likely = posteriors(own, own["emit"], classes[codes], sizes, _by_code(sums))
+                rest += np.concatenate((moves, [starts], np.full((1, K), likely)))
+        rows = np.flatnonzero(sums.any(1))
+        values = np.concatenate((sums[rows], rest))
+        keys = np.concatenate((rows, C + np.arange(K + 2)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(values[:, k]) for k in range(K))], names=["key", *names])
+
+    parts = blocks.select("sizes", "codes", "classes").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names))
+    out = np.zeros((C + K + 2, K))
+    for row in parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).collect():  # a row a class
         out[row[0]] = row[1:]
-    return out[:C], out[C : C + K], out[C + K : C + K + 2], float(out[-1, 0])
+    return out[:C], out[C : C + K], out[C + K], float(out[-1, 0])
 
 
-def train(encoded: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
-    """Baum-Welch until it has converged, or for just ``rounds`` rounds where these are given."""
-    model, base = start_model(weight, states), weight / weight.sum()
+def train(blocks: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
+    """Tied Baum-Welch until it has converged, or for just ``rounds`` rounds where these are given."""
+    model, base = start_model(weight, states), (weight + 1e-3) / (weight + 1e-3).sum()
     done, before = 0, -math.inf
     while rounds is None or done < rounds:
-        emitted, moves, starts, likely = baum_welch_round(encoded, model)
+        emitted, moves, starts, likely = baum_welch_round(blocks, model)
         emit = emitted + PRIOR * base[:, None]
         size = max(1.0, float(emitted.sum()))
         moves, starts = moves + 1.0, starts + 1.0
-        model = {
-            "emit": emit / emit.sum(0),
-            "move": moves / moves.sum(1, keepdims=True),
-            "start": starts / starts.sum(1, keepdims=True),
-        }
+        model = {"emit": emit / emit.sum(0), "move": moves / moves.sum(1, keepdims=True), "start": starts / starts.sum()}
         done += 1
         if rounds is None and done >= ROUNDS and likely - before < TOLERANCE * size:
             break
@@ -239,92 +305,68 @@ def train(encoded: DataFrame, weight: np.ndarray, states: int = STATES, rounds:
     return model
 
 
-def forward(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each whole class sequence."""
-    sizes = np.array([len(s) for s in sequences])
-    order = np.argsort(-sizes, kind="stable")
-    flat = np.concatenate([sequences[i] for i in order])
-    sizes = sizes[order]
-    at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-    logs, now = np.zeros(len(order)), model["start"][0] * model["emit"][flat[at]]
-    for t in range(int(sizes[0])):
-        m = int(active[t])
-        if t:
-            now = (now[:m] @ model["move"]) * model["emit"][flat[at[:m] + t]]
-        total = now.sum(1)
-        logs[:m] += np.log10(total)
-        now /= total[:, None]
-    out = np.empty(len(order))
-    out[order] = logs
-    return out
+def word_emissions(blocks: DataFrame, model: dict) -> DataFrame:
+    """(word, n, s0, s1, ...) of every word of ``blocks``: its tokens, and its expected tokens in each state."""
+    shared = blocks.sparkSession.sparkContext.broadcast(_single(model))
+    K = model["move"].shape[0]
+    names = [f"s{k}" for k in range(K)]
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            for i, (sizes, codes, classes) in enumerate(unpacked(batch, "sizes", "codes", "classes")):
+                sums = np.zeros((len(classes), K))
+                posteriors(own, own["emit"][classes], codes, sizes, _by_code(sums))
+                counts = pa.array(np.bincount(codes, minlength=len(classes)))
+                columns = [batch["words"][i].values, counts, *(pa.array(sums[:, k].astype(np.float32)) for k in range(K))]
+                table = pa.RecordBatch.from_arrays(columns, names=["word", "n", *names])
+                for start in range(0, len(counts), 1 << 16):
+                    yield table.slice(start, 1 << 16)
 
+    parts = blocks.select("sizes", "codes", "classes", "words").mapInArrow(run, "word string, n long, " + ", ".join(f"{n} float" for n in names))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(n).cast("float").alias(n) for n in names])
 
-def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int | None = None) -> DataFrame:
+
+def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; ``training`` marks the rows to learn from."""
-    spark = docs.sparkSession
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
-    learned = marked.where("learn")
-    counts = materialize(word_counts(learned), "words")
-    words = vocabulary(counts, learned.count())
-    shared = spark.sparkContext.broadcast(words)
-
-    def encode(batches):
-        vocab = shared.value
-        coder, logs = vocab.coder(), np.log10(vocab.weight)
-        for batch in batches:
-            codes, rare, base, rest, known = [], [], [], [], []
-            for text in as_bytes(batch["text"]):
-                split = tokens(text)
-                own = coder(split)
-                few = np.flatnonzero(own >= vocab.first_shape)
-                mine = logs[own]
-                codes.append(own.tobytes())
-                rare.append([{"word": w, "tf": n} for w, n in Counter([split[i] for i in few]).items()])
-                rest.append(float(mine[few].sum()))
-                base.append(float(mine.sum()) - rest[-1])
-                known.append(len(own) - len(few) - (vocab.n_tokens == 0))
-            made = [pa.array(c, t) for c, t in zip((codes, base, rest, known), (pa.binary(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
-            found = pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            found = found.cast(pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["learn"], *made, found], names=names)
-
-    schema = "doc_id long, learn boolean, codes binary, base double, shared double, n_known long, rare array<struct<word:string,tf:long>>"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    encoded = materialize(marked.mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "codes")
-    model = spark.sparkContext.broadcast(train(encoded.where("learn").select("codes"), words.weight, states, rounds))
-
-    def likelihoods(batches):
-        for batch in batches:
-            sequences = [np.frombuffer(c.as_buffer(), "<u2") for c in batch["codes"]]
-            at = 0
-            while at < len(sequences):
-                end, size = at, 0
-                while end < len(sequences) and (end == at or size < 4 * BATCH_TOKENS):
-                    size += len(sequences[end])
-                    end += 1
-                logs = forward(model.value, sequences[at:end])
-                yield pa.RecordBatch.from_arrays([batch["row"].slice(at, end - at), pa.array([len(s) for s in sequences[at:end]]), pa.array(logs),
-                                                  *[batch[c].slice(at, end - at) for c in kept]], names=["row", "n_tokens", "likely", *kept])
-                at = end
-
-    kept = ["doc_id", "base", "shared", "n_known"]
-    scored = encoded.select("row", "codes", *kept).mapInArrow(
-        likelihoods, "row long, n_tokens long, likely double, doc_id long, base double, shared double, n_known long"
-    )
-
-    few = counts.where(F.col("n") < F.lit(max(1.0, words.n_tokens / FREQUENT)))
-    met = encoded.select("row", F.inline("rare")).join(few, "word", "left")
-    sums = met.groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more"),
-    )
-    rest = F.coalesce("rest", F.lit(0.0))
-    return scored.join(sums, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(words.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rest - F.col("n_tokens") * F.lit(words.log_total)).alias("base_score"),
-        (F.col("likely") - F.col("shared") + rest).alias("score"),
-    )
+    marked = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("learn"))
+    made = packed_blocks(marked, block).withColumn("block", F.monotonically_increasing_id())
+    blocks = materialize(made, "blocks", **{"parquet.block.size": ROW_GROUP})
+    learned = blocks.where("learn")
+    tied = train(learned, class_counts(learned), states, rounds)
+    words = materialize(word_emissions(learned, tied), "emissions")
+
+    names = [f"s{k}" for k in range(states)]
+    sums = words.agg(F.count("*"), F.sum("n"), *[F.sum(n) for n in names]).first()
+    distinct, total = sums[0], sums[1] or 0
+    share = np.array([s or 0.0 for s in sums[2:]]) / max(1, total)
+    size = total + 0.5 * (distinct + 1)
+    model = docs.sparkSession.sparkContext.broadcast({k: tied[k] for k in ("move", "start")})
+    out = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+        T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
+    ])
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        sizes, codes = next(unpacked(own.to_batches()[0], "sizes", "codes"))
+        count, emission = np.zeros(int(codes.max()) + 1), np.full((int(codes.max()) + 1, len(names)), 0.5 / size)
+        if known.num_rows:
+            at = known["at"].to_numpy()
+            count[at] = known["n"].to_numpy()
+            seen = np.stack([known[n].to_numpy() for n in names], axis=1).astype(float)
+            emission[at] += seen / np.where(share > 0, share, 1.0) / size
+        active, starts_at = layout(sizes)
+        text = np.arange(len(codes)) - np.repeat(starts_at[:-1], active)
+        columns = {
+            "doc_id": own["ids"].combine_chunks().flatten(),
+            "n_tokens": pa.array(sizes, pa.int64()),
+            "n_known": np.bincount(text, count[codes] > 0, len(sizes)).astype(np.int64),
+            "train_tokens": np.full(len(sizes), total, np.int64),
+            "base_score": np.bincount(text, np.log10((count + 0.5) / size)[codes], len(sizes)),
+            "score": forward(model.value, emission, codes, sizes),
+        }
+        return pa.table(columns)
+
+    used = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(words, "word").select("of", "at", "n", *names)
+    packed = blocks.select("block", "ids", "sizes", "codes")
+    return packed.groupBy("block").cogroup(used.groupBy("of")).applyInArrow(run, out)

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import common, components, decontamination, extraction, hmm, licenses, mixing, oracle, quality, queries, simhash, syncmers, urlfilter, warc
+from ledgerlens.llm import common, components, decontamination, extraction, licenses, mixing, oracle, quality, queries, simhash, syncmers, urlfilter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -443,84 +443,6 @@ def test_licenses(spark, docs, no_docs):
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(df, []).select(F.size("licenses")).distinct().collect()[0][0] == 0
 
 
-# 9 ---------------------------------------------------------------------------------------------------------
-
-
-def naive_forward(model, codes):
-    now, total = model["start"][0] * model["emit"][codes[0]], 0.0
-    for c in codes[1:]:
-        s = now.sum()
-        total += math.log10(s)
-        now = (now / s) @ model["move"] * model["emit"][c]
-    return total + math.log10(now.sum())
-
-
-def test_forward_and_counts():
-    rng = np.random.default_rng(3)
-    model = hmm.start_model(rng.random(20) + 0.1, 3)
-    seqs = [rng.integers(0, 20, n) for n in (1, 7, 7, 30, 2)]
-    assert np.allclose(hmm.forward(model, seqs), [naive_forward(model, s) for s in seqs])
-    emitted, moves, starts, likely = hmm.expected_counts(model, seqs, np.array([0, 0, 1, 0, 1]))
-    assert math.isclose(emitted.sum(), 47) and math.isclose(moves.sum(), 42) and np.allclose(starts.sum(1), [3, 2])
-    assert math.isclose(likely / math.log(10), sum(naive_forward(model, s) for s in seqs), rel_tol=1e-9)
-    # expected counts by enumeration of all state paths
-    s, want = [4, 9, 4], np.zeros((20, 3))
-    paths = list(itertools.product(range(3), repeat=3))
-    p = [model["start"][0][a] * model["emit"][4, a] * model["move"][a, b] * model["emit"][9, b] * model["move"][b, c] * model["emit"][4, c] for a, b, c in paths]
-    for path, x in zip(paths, p, strict=True):
-        for c, k in zip(s, path, strict=True):
-            want[c, k] += x / sum(p)
-    assert np.allclose(hmm.expected_counts(model, [np.array(s)], np.array([0]))[0], want)
-
-
-def test_language_model(spark, docs, rows, no_docs, monkeypatch):
-    monkeypatch.setattr(hmm, "FREQUENT", 50)  # so that most words are counted in the join
-    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
-    found = hmm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, states=3, rounds=2).collect()
-    assert len(found) == len(rows)
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
-    counts: dict = {}
-    for r in rows:
-        for w in split(r[1]) if train(r[0]) else []:
-            counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    want = sorted(((r[0], len(split(r[1])), sum(w in counts for w in split(r[1])),
-                    round(sum(math.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in split(r[1])), 6)) for r in rows), key=repr)
-    assert sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in found), key=repr) == want
-    assert {r.train_tokens for r in found} == {n} and all(r.score < 0 for r in found)
-    empty = hmm.score(no_docs, F.lit(True), states=2, rounds=1)
-    assert empty.count() == 0
-    untrained = hmm.score(docs, F.lit(False), states=2, rounds=1).collect()
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
-
-
-def test_training_goes_on_until_it_gains_little(monkeypatch):
-    def rounds_for(logs):
-        left = list(logs)
-
-        def one(encoded, model):
-            states = model["move"].shape[0]
-            assert states >= 6
-            return np.full((4, states), 100 / 4 / states), np.ones((states, states)), np.ones((2, states)), left.pop(0)
-
-        monkeypatch.setattr(hmm, "baum_welch_round", one)
-        hmm.train(None, np.ones(4))
-        return len(logs) - len(left)
-
-    assert rounds_for([-900.0 + 10 * i for i in range(12)] + [-790.0 + 0.1] * 9) == 13  # 100 tokens: a gain of 0.5 counts
-    assert rounds_for([-900.0] * 20) == 5
-
-
-def test_probabilities_of_one_token_add_up():
-    counts = {b"a": 900, b"b": 90, b"cc": 5, b"dd": 2}
-    vocab = hmm.Vocabulary([(b"a", 900), (b"b", 90)], np.bincount([hmm.shape(b"cc"), hmm.shape(b"dd")], [5.5, 2.5], hmm.SHAPES), 10, 1007, 5)
-    model = hmm.start_model(vocab.weight, 2)
-    emit = model["emit"] @ np.array([0.3, 0.7])
-    known = sum(emit[c] * (n + 0.5) / vocab.weight[c] for w, n in counts.items() for c in [vocab.coder()([w])[0]])
-    unknown = (emit[vocab.first_shape :] * 0.5 / vocab.weight[vocab.first_shape :]).sum()
-    assert math.isclose(known + unknown + emit[0], 1.0)
-
-
 # 10 --------------------------------------------------------------------------------------------------------
 
 
