@@ -10,7 +10,11 @@ first m - ceil(0.8 m) + 1 of the other, and at the first shared one enough must
 common shingles last; which ones it takes as common (counted over an eighth of the texts) changes the cost, not the
 links. Candidates are verified in two steps, so that many copies of one text don't give all their pairs: first a few
 for each shingle of the index (each member with the first one and with the next one), then all that are still in
-different components.
+different components. Before texts are compared, counts of shingles by bucket rule out pairs that cannot share enough.
+
+Null and empty texts are one class. Repeated rows are copies. Rows with the same doc_id and unlike texts all stay, and
+those without a doc_id are judged by their text like any other. No rows give no rows. Columns beyond doc_id and text
+can have any name.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ NEAR, NEAR_OF = 4, 5
 #: Shingles that the order of the index knows as common, and how often a task must have seen one.
 COMMON, COMMON_SEEN = 100_000, 4
 FLUSH = 1 << 22
+#: Counts of shingles by so many buckets tell what a pair can share at most.
+BUCKETS = 256
 
 OUT = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("prefix", T.ArrayType(T.LongType())),
+    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()),
 ])
 
 
@@ -45,7 +51,8 @@ def shingle_set(hashes: list[int]) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
-def near(shared: int, n: int, m: int) -> bool:
+def near(shared, n, m):
+    """Whether sets of n and m shingles that share so many have the Jaccard; numbers or arrays."""
     return NEAR_OF * shared >= NEAR * (n + m - shared)
 
 
@@ -171,23 +178,56 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs``; component_id is the smallest doc_id that links lead to."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+def signature(own: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of ``BUCKETS`` buckets (255: so many or more)."""
+    return np.minimum(np.bincount(own & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """No two sets with these signatures (a row a pair) and sizes share more shingles than this."""
+    beyond = np.minimum(n - left.sum(1, dtype=np.int64), m - right.sum(1, dtype=np.int64))  # in buckets of 255 and more
+    return np.minimum(left, right).sum(1, dtype=np.int64) + beyond
+
+
+def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those that cannot have the Jaccard by their signatures; no pair that has it is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        for batch in batches:
+            n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
+            can = near(most_shared(raw(batch["left"]), raw(batch["right"]), n, m), n, m)
+            yield batch.select(["a", "b"]).filter(pa.array(can, pa.bool_()))
 
-    def fn(texts):
-        out = [], [], [], []
-        for text in texts:
+    left = signatures.select(F.col("id").alias("a"), F.col("n"), F.col("signature").alias("left"))
+    right = signatures.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("signature").alias("right"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name, which no column of ``docs`` has."""
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row = f"_{row}"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``texts`` (row, text): (row, key), the class of each row, and (key, root), the component of each class."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def fn(batch):
+        out = tuple([] for _ in OUT)
+        for text in batch:
             hashes = simhash.shingle_hashes(text, SHINGLE)
             own = shingle_set(hashes)
-            made = xxhash.xxh3_128_hexdigest(own.tobytes()), simhash.fingerprint_of(hashes), len(own), prefix_of(own, common.value)
+            made = xxhash.xxh3_128_hexdigest(own.tobytes()), simhash.fingerprint_of(hashes), len(own), prefix_of(own, common.value), signature(own)
             for column, value in zip(out, made, strict=True):
                 column.append(value)
         return out
 
-    source = docs.select("doc_id", "text")
-    rows = materialize(map_texts(source, "text", fn, OUT, ("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = materialize(rows.groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "classes")
+    rows = materialize(map_texts(texts, "text", fn, OUT, ("row",)), "sets")
+    classes = materialize(rows.groupBy("key").agg(F.min("row").alias("id")), "classes")
     owners = rows.join(classes.select(F.col("id").alias("row")), "row", "left_semi")
     index = owners.select(F.col("row").alias("id"), "n", F.posexplode("prefix").alias("at", "shingle"))
     index = index.select("shingle", "id", "n", F.col("at").cast("long").alias("at")).repartition("shingle").sortWithinPartitions("shingle", "n", "id")
@@ -198,19 +238,41 @@ def near_copies(docs: DataFrame) -> DataFrame:
     of = lambda c: prints.select(F.col("fp").alias(c), F.col("id").alias(f"id_{c}"))
     linked = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"))
     few = linked.union(shared.select("id", "first")).union(shared.select("id", "after"))
-    few = materialize(few.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    wanted = few.select(F.col("a").alias("row")).union(few.select("b")).distinct()
-    texts = materialize(rows.join(wanted, "row", "left_semi").select(F.col("row").alias("id"), "text"), "texts")
-    links = materialize(verified(few, texts), "links")
+    few = few.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    signatures = owners.select(F.col("row").alias("id"), "n", "signature")
+    few = materialize(plausible(few, signatures), "pairs")
+    of_pairs = lambda pairs: texts.join(
+        pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "row", "left_semi"
+    ).select(F.col("row").alias("id"), "text")
+    links = materialize(verified(few, materialize(of_pairs(few), "texts")), "links")
 
     roots = connected_components(links)
     labelled = shared.join(roots.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
     labelled = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-    across = labelled.mapInArrow(_groups(_across), "a long, b long").distinct().join(few, ["a", "b"], "left_anti")
-    more = materialize(verified(across, texts), "links")
+    across = labelled.mapInArrow(_groups(_across), "a long, b long").distinct()
+    across = materialize(plausible(across, signatures).join(few, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(verified(across, materialize(of_pairs(across), "texts")), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
-    member = classes.join(roots, classes.id == roots.node, "left").select("key", "first", F.coalesce("root", "id").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "key").join(member.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    return rows.select("row", "key"), classes.join(roots, classes.id == roots.node, "left").select("key", F.coalesce("root", "id").alias("root"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs``; component_id is the smallest doc_id that links lead to."""
+    table, row = _numbered(docs.select("doc_id", "text"))
+    rows, member = _classes(table.select(F.col(row).alias("row"), "text"))
+    found = table.select("doc_id", F.col(row).alias("row")).join(rows, "row")
+    first = found.groupBy("key").agg(F.min("doc_id").alias("first")).join(member, "key")
+    smallest = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found.join(member.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies that with the smallest doc_id (null last), then the first row."""
+    table, row = _numbered(docs)
+    rows, member = _classes(table.select(F.col(row).alias("row"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("best")
+    best = table.select("doc_id", F.col(row).alias("row")).join(rows, "row").select("key", order).groupBy("key").agg(F.min("best").alias("best"))
+    stay = best.join(member, "key").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return table.join(stay, row, "left_semi").select(*[table[f"`{c}`"] for c in docs.columns])

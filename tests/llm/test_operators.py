@@ -340,6 +340,12 @@ def test_pipeline_drops_all_near_copies(spark, tmp_path, monkeypatch):
     table = common.materialize(table, "docs")
     kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    rng = np.random.default_rng(2)  # no pair shares more than its signatures allow, also with buckets of 255 and more
+    for n, m, of in ((300, 250, 400), (90_000, 80_000, 100_000), (5, 0, 10), (1, 1, 1)):
+        a, b = (np.unique(rng.permutation(of)[:k]) * 257 + 5 for k in (n, m))
+        raw = [np.frombuffer(neardup.signature(x.astype(np.int64)), np.uint8)[None] for x in (a, b)]
+        most = neardup.most_shared(*raw, np.array([len(a)]), np.array([len(b)]))[0]
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
     monkeypatch.setattr(neardup, "COMMON_SEEN", 1)  # another order, the same links
     got = {r.doc_id: r.component_id for r in neardup.near_copies(table).collect()}
     assert got == dict(enumerate(root))
@@ -548,6 +554,21 @@ def test_ordered_index(spark):
     assert [r.i for r in got] == list(range(300))
 
 
+def test_pipeline_keeps_unlike_rows_of_one_id(spark):
+    """Rows are documents: ids shared or missing, and columns with the names that the stages use."""
+    import corpus_pipeline
+
+    unlike, copy = text(40, 1), text(40, 2)
+    made = [(1, unlike, "1"), (1, copy, "2"), (2, copy, "3"), (None, copy, "4"), (None, text(40, 3), "5"), (None, text(40, 3), "6"), (None, None, "7"), (7, "", "8")]
+    table = spark.createDataFrame(made, "doc_id long, text string, row string")
+    for name in ("key", "_row", "signature", "prefix", "scan_hit_words", "quality_score", "n"):
+        table = table.withColumn(name, F.lit("clash"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    found = {(r.doc_id, r.row) for r in kept.collect()}
+    assert (1, "1") in found and (1, "2") in found and (7, "8") in found and len(found) == 4 and found & {(None, "5"), (None, "6")}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
