@@ -3,39 +3,44 @@
 Each stage is (name, function of spark, docs and the folder of the tables); its result is written as Parquet and
 read again as the next stage's docs. Columns beyond those of documents go through all stages but the last.
 
-Null texts count as empty. Rows with the same doc_id are one document after the second stage (the row with the
-smallest text stays); rows without a doc_id are never dropped as copies. Empty tables give empty results.
+Null texts count as empty. Every row is a document, also where rows share a doc_id or have none: the second stage keeps
+one row of each group of near copies (smallest doc_id, null last), whatever its id. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, mixing, neardup, quality
 from ledgerlens.llm.common import materialize
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column begins with it."""
+    while any(c.lower().startswith(name) for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, keep=docs.columns, name="_quality")
-    return scored.where(F.col("_quality") >= 0.5).drop("_quality")
+    name = _unused("quality_score", docs.columns)
+    return quality.score(docs, model, keep=docs.columns, name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (5-word shingles, Jaccard of 0.8 or more)."""
-    gone = neardup.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    same = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_row", F.row_number().over(same)).where("_row = 1 or doc_id is null").drop("_row")
+    """One document of each group of near copies (5-word shingles, Jaccard of 0.8 or more): the one with the smallest id."""
+    return neardup.one_of_each(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.scan(docs, benchmark, keep=docs.columns, prefix="_scan_")
-    return found.where(F.size("_scan_hit_words") == 0).select(docs.columns)
+    prefix = _unused("scan_", docs.columns)
+    found = decontamination.scan(docs, benchmark, keep=docs.columns, prefix=prefix)
+    return found.where(F.size(f"{prefix}hit_words") == 0).select(*[found[f"`{c}`"] for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
