@@ -5,10 +5,11 @@ Tokens: A-Z lower-cased words between ASCII white space, then one end token. Tex
 texts have separate blocks.
 
 Training has two steps. First, Baum-Welch rounds with tied emissions: words share ``CLASSES`` classes by their CRC-32,
-at every size of the corpus, which bounds what is broadcast and gathered. Rounds go on until one gains less than
-``TOLERANCE`` a token. Then one more round over all training texts counts each word by state, as a table that grows
-with the vocabulary: E(w, s), whose sum over states is the word's count c(w). With p(s) the share of all tokens in
-state s, a state emits a word with probability
+at every size of the corpus, which bounds what is broadcast and gathered. Rounds over ``START_BLOCKS`` blocks (a
+bounded sample, by hash of the block) give the start of the rounds over all training texts; each go on until one gains
+less than ``TOLERANCE`` a token. Then one more round over all training texts counts each word by state, as a table that
+grows with the vocabulary: E(w, s), whose sum over states is the word's count c(w). With p(s) the share of all tokens
+in state s, a state emits a word with probability
 
     (E(w, s) / p(s) + 0.5) / (N + 0.5 (V + 1)),
 
@@ -40,10 +41,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import as_bytes, materialize
 
 STATES = 6
-#: Training takes at least so many tied rounds, then goes on until one gains less than TOLERANCE (natural log) a token.
-ROUNDS = 5
+#: Tied rounds go on until one gains less than TOLERANCE (natural log) a token, at least two; first over so many blocks
+#: for a start, then over all training texts.
+START_BLOCKS = 8
 TOLERANCE = 0.005
-CLASSES = 1 << 15
+CLASSES = 1 << 14
+#: Expected counts of words are written in such parts of a token.
+PART = 1 / 1024
 #: Tokens of the overall distribution that are added to the tied emissions of a state.
 PRIOR = 2000.0
 BLOCK = 1 << 20
@@ -288,43 +292,65 @@ def baum_welch_round(blocks: DataFrame, model: dict) -> tuple[np.ndarray, np.nda
     return out[:C], out[C : C + K], out[C + K], float(out[-1, 0])
 
 
-def train(blocks: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
-    """Tied Baum-Welch until it has converged, or for just ``rounds`` rounds where these are given."""
-    model, base = start_model(weight, states), (weight + 1e-3) / (weight + 1e-3).sum()
+def converge(blocks: DataFrame, model: dict, base: np.ndarray, rounds: int | None = None) -> dict:
+    """Tied Baum-Welch from ``model`` on until a round gains little, or for just ``rounds`` rounds where these are given."""
     done, before = 0, -math.inf
     while rounds is None or done < rounds:
         emitted, moves, starts, likely = baum_welch_round(blocks, model)
         emit = emitted + PRIOR * base[:, None]
-        size = max(1.0, float(emitted.sum()))
         moves, starts = moves + 1.0, starts + 1.0
         model = {"emit": emit / emit.sum(0), "move": moves / moves.sum(1, keepdims=True), "start": starts / starts.sum()}
         done += 1
-        if rounds is None and done >= ROUNDS and likely - before < TOLERANCE * size:
+        if rounds is None and likely - before < TOLERANCE * max(1.0, float(emitted.sum())):
             break
         before = likely
     return model
 
 
+def train(blocks: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
+    """The tied model of ``blocks``, whose classes have ``weight`` tokens each."""
+    model, base = start_model(weight, states), (weight + 1e-3) / (weight + 1e-3).sum()
+    if rounds is None:
+        some = [r[0] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(START_BLOCKS).collect()]
+        model = converge(blocks.where(F.col("block").isin(some)), model, base)
+    return converge(blocks, model, base, rounds)
+
+
 def word_emissions(blocks: DataFrame, model: dict) -> DataFrame:
-    """(word, n, s0, s1, ...) of every word of ``blocks``: its tokens, and its expected tokens in each state."""
+    """(word, n, s0, s1, ...) of every word of ``blocks``: its tokens, and its expected tokens in each state.
+
+    A task adds up the words of several blocks before they are shuffled.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(_single(model))
     K = model["move"].shape[0]
     names = [f"s{k}" for k in range(K)]
 
+    def counted(own, batch, i, sizes, codes, classes) -> pa.Table:
+        sums = np.zeros((len(classes), K))
+        posteriors(own, own["emit"][classes], codes, sizes, _by_code(sums))
+        sums = np.round(sums / PART) * PART
+        columns = [batch["words"][i].values, np.bincount(codes, minlength=len(classes)), *(sums[:, k] for k in range(K))]
+        return pa.table(dict(zip(["word", "n", *names], columns, strict=True)))
+
     def run(batches):
-        own = shared.value
+        own, held, size = shared.value, [], 0
+
+        def added():
+            total = pa.concat_tables(held).group_by("word").aggregate([(n, "sum") for n in ("n", *names)])
+            yield from total.select(["word", *(f"{n}_sum" for n in ("n", *names))]).rename_columns(["word", "n", *names]).to_batches(1 << 16)
+
         for batch in batches:
-            for i, (sizes, codes, classes) in enumerate(unpacked(batch, "sizes", "codes", "classes")):
-                sums = np.zeros((len(classes), K))
-                posteriors(own, own["emit"][classes], codes, sizes, _by_code(sums))
-                counts = pa.array(np.bincount(codes, minlength=len(classes)))
-                columns = [batch["words"][i].values, counts, *(pa.array(sums[:, k].astype(np.float32)) for k in range(K))]
-                table = pa.RecordBatch.from_arrays(columns, names=["word", "n", *names])
-                for start in range(0, len(counts), 1 << 16):
-                    yield table.slice(start, 1 << 16)
+            for i, row in enumerate(unpacked(batch, "sizes", "codes", "classes")):
+                held.append(counted(own, batch, i, *row))
+                size += held[-1].num_rows
+                if size >= BLOCK:
+                    yield from added()
+                    held, size = [], 0
+        if held:
+            yield from added()
 
-    parts = blocks.select("sizes", "codes", "classes", "words").mapInArrow(run, "word string, n long, " + ", ".join(f"{n} float" for n in names))
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(n).cast("float").alias(n) for n in names])
+    parts = blocks.select("sizes", "codes", "classes", "words").mapInArrow(run, "word string, n long, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names])
 
 
 def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -367,6 +393,6 @@ def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int |
         }
         return pa.table(columns)
 
-    used = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(words, "word").select("of", "at", "n", *names)
+    used = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(words, "word").select("of", "at", "n", *[F.col(n).cast("float") for n in names])
     packed = blocks.select("block", "ids", "sizes", "codes")
     return packed.groupBy("block").cogroup(used.groupBy("of")).applyInArrow(run, out)
