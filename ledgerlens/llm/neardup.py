@@ -7,10 +7,12 @@ of their sets is at least ``NEAR`` / ``NEAR_OF``.
 Candidates are SimHash links of these shingles (within 3 bits) and an index that loses no pair: in any one order of
 all shingles, sets of n and m shingles with such a Jaccard share one of the first n - ceil(0.8 n) + 1 of the one and the
 first m - ceil(0.8 m) + 1 of the other, and at the first shared one enough must be left of both. The order puts
-common shingles last; which ones it takes as common (counted over an eighth of the texts) changes the cost, not the
-links. Candidates are verified in two steps, so that many copies of one text don't give all their pairs: first a few
-for each shingle of the index (each member with the first one and with the next one), then all that are still in
-different components. Before texts are compared, counts of shingles by bucket rule out pairs that cannot share enough.
+common shingles last; which ones it takes as common (counted over a sixteenth of the texts) changes the cost, not the
+links. Candidates are verified in steps, so that many copies of one text don't give all their pairs: first a few
+for each shingle of the index (each member with the first one and with the next one), then one of each component
+with one of the next ``OTHERS`` components of the shingle, then ``OTHERS`` pairs of each two components, and at last
+all that are still in different components and share enough of the index. Before texts are compared, counts of shingles
+by bucket rule out pairs that cannot share enough.
 
 Null and empty texts are one class. Repeated rows are copies. Rows with the same doc_id and unlike texts all stay, and
 those without a doc_id are judged by their text like any other. No rows give no rows. Columns beyond doc_id and text
@@ -35,8 +37,10 @@ from .components import connected_components
 SHINGLE = 5
 #: Jaccard of a link, as a fraction.
 NEAR, NEAR_OF = 4, 5
-#: Shingles that the order of the index knows as common, and how often a task must have seen one.
-COMMON, COMMON_SEEN = 100_000, 4
+#: The order of the index knows at most so many shingles as common: those seen so often in one of so many rows.
+COMMON, COMMON_SEEN, SAMPLED = 1 << 18, 2, 16
+#: In the middle steps a component is compared with so many others of the shingle, and two components by so many pairs.
+OTHERS = 4
 FLUSH = 1 << 22
 #: Counts of shingles by so many buckets tell what a pair can share at most.
 BUCKETS = 256
@@ -71,16 +75,15 @@ def prefix_of(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return own[: n + NEAR * -n // NEAR_OF + 1] if n else own
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles, sorted, and how often they were seen."""
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles, sorted, and how often they were seen, counted exactly over a sample of ``texts`` (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = [np.zeros(0, np.int64)], 0
 
         def made():
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= COMMON_SEEN
-            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(n[often])], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["shingle", "n"])
 
         for batch in batches:
             for text in as_bytes(batch["text"]):
@@ -88,12 +91,11 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield made()
-                    held, size = [], 0
-        if held:
-            yield made()
+                    held, size = [held[0]], 0
+        yield made()
 
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select("text")
-    counts = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).select("text")
+    counts = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SEEN)
     found = sorted((r[0], r[1]) for r in counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect())
     return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
 
@@ -141,23 +143,72 @@ def _shared(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
     return names, [*(cols[c][keep] for c in names[:4]), *(m[keep] for m in mates)]
 
 
-def _across(cols: dict[str, np.ndarray], starts: np.ndarray, block: int = 2048) -> tuple:
-    """Pairs of a shingle whose classes are in different components and can still have the Jaccard."""
-    ids, root, n, at = cols["id"], cols["root"], cols["n"], cols["at"]
-    ends = np.concatenate((starts[1:], [len(ids)]))
-    left, right = [ids[:0]], [ids[:0]]
-    for s, e in zip(starts, ends, strict=True):
-        for i in range(s, e, block):
-            a = slice(i, min(i + block, e))
-            for j in range(i, e, block):
-                b = slice(j, min(j + block, e))
-                can = possible(n[a][:, None], at[a][:, None], n[b][None, :], at[b][None, :])
-                x, y = np.nonzero((root[a][:, None] != root[b][None, :]) & can)
-                x, y = ids[x + i], ids[y + j]
-                left.append(np.minimum(x, y))
-                right.append(np.maximum(x, y))
+def _beside(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
+    """Pairs of the first classes of components that follow each other in a shingle and can still have the Jaccard."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(cols["id"])]))))
+    _, one = np.unique(np.stack((group, cols["root"])), axis=1, return_index=True)
+    one = np.sort(one)
+    group, ids, n, at = group[one], *(cols[c][one] for c in ("id", "n", "at"))
+    left, right = [], []
+    for d in range(1, OTHERS + 1):
+        can = (group[d:] == group[:-d]) & possible(n[d:], at[d:], n[:-d], at[:-d])
+        left.append(np.minimum(ids[d:][can], ids[:-d][can]))
+        right.append(np.maximum(ids[d:][can], ids[:-d][can]))
     pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
-    return ["a", "b"], [pairs[0], pairs[1]]
+    none = np.zeros_like(pairs[0])
+    return ["a", "b", "n", "m"], [pairs[0], pairs[1], none, none]
+
+
+def _few_of_each(x: np.ndarray, y: np.ndarray, root: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs (x, y) stay if each two components keep so many, scattered among them."""
+    low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+    scattered = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    order = np.lexsort((scattered, high, low))
+    new = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[rank < most]
+
+
+def _across(most: int | None, block: int = 2048) -> Callable:
+    """Pairs of a shingle whose classes are in different components: of each two components of a block only so many
+    that can still have the Jaccard, or, with None, all of a fitting size."""
+
+    def run(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
+        ids, root, n = cols["id"], cols["root"], cols["n"]
+        at = cols["at"] if most else np.zeros_like(n)
+        ends = np.concatenate((starts[1:], [len(ids)]))
+        left, right = [starts[:0]], [starts[:0]]
+        for s, e in zip(starts, ends, strict=True):
+            for i in range(s, e, block):
+                a = slice(i, min(i + block, e))
+                for j in range(i, e, block):
+                    b = slice(j, min(j + block, e))
+                    can = possible(n[a][:, None], at[a][:, None], n[b][None, :], at[b][None, :])
+                    x, y = np.nonzero((root[a][:, None] != root[b][None, :]) & can)
+                    x, y = x + i, y + j
+                    once = x < y
+                    x, y = x[once], y[once]
+                    if most and len(x) > most:
+                        few = _few_of_each(x, y, root, most)
+                        x, y = x[few], y[few]
+                    left.append(x)
+                    right.append(y)
+        x, y = np.concatenate(left), np.concatenate(right)
+        low = ids[x] < ids[y]
+        x, y = np.where(low, x, y), np.where(low, y, x)
+        return ["a", "b", "n", "m"], [ids[x], ids[y], n[x], n[y]]
+
+    return run
+
+
+def enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` (a, b, n, m), a row for each shingle of the index that both have, that can have the Jaccard.
+
+    What two sets share besides is beyond the index of one of them, which holds all but ceil(0.8 n) - 1 of a set.
+    """
+    needed = F.ceil(F.lit(NEAR) * (F.col("n") + F.col("m")) / F.lit(NEAR + NEAR_OF))
+    beyond = F.ceil(F.lit(NEAR) * F.greatest("n", "m") / F.lit(NEAR_OF)) - 1
+    return pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both")).where(F.col("both") >= needed - beyond).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,20 +292,25 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = few.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     signatures = owners.select(F.col("row").alias("id"), "n", "signature")
     few = materialize(plausible(few, signatures), "pairs")
-    of_pairs = lambda pairs: texts.join(
-        pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "row", "left_semi"
-    ).select(F.col("row").alias("id"), "text")
-    links = materialize(verified(few, materialize(of_pairs(few), "texts")), "links")
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        own = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        own = materialize(texts.join(own, "row", "left_semi").select(F.col("row").alias("id"), "text"), "texts")
+        return materialize(verified(pairs, own), "links")
+
+    seen, links = few, confirmed(few)
     roots = connected_components(links)
-    labelled = shared.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-    labelled = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-    across = labelled.mapInArrow(_groups(_across), "a long, b long").distinct()
-    across = materialize(plausible(across, signatures).join(few, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verified(across, materialize(of_pairs(across), "texts")), "links")
-    if not more.isEmpty():
-        roots = connected_components(links.union(more))
+    for step, found in ((_beside, DataFrame.distinct), (_across(OTHERS), DataFrame.distinct), (_across(None), enough)):
+        labelled = shared.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        labelled = labelled.select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+        labelled = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+        pairs = found(labelled.mapInArrow(_groups(step), "a long, b long, n long, m long")).select("a", "b")
+        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = materialize(plausible(pairs, signatures), "pairs")
+        more = confirmed(pairs)
+        seen, links = seen.union(pairs), links.union(more)
+        if not more.isEmpty():
+            roots = connected_components(links)
     return rows.select("row", "key"), classes.join(roots, classes.id == roots.node, "left").select("key", F.coalesce("root", "id").alias("root"))
 
 
