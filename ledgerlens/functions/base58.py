@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 # Fixed value: the alphabet of base58.
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -53,3 +53,16 @@ def unbase58(column: pd.Series) -> pd.Series:
             return None
 
     return column.map(one)
+
+
+@pandas_udf(ArrayType(BinaryType()))
+def unbase58_keys(column: pd.Series) -> pd.Series:
+    """ARRAY<STRING> of base58 texts -> ARRAY<BINARY>; null for a text that isn't a key of 32 bytes."""
+
+    def one(text):
+        try:
+            return None if text is None else decode_key(text)
+        except ValueError:
+            return None
+
+    return column.map(lambda texts: None if texts is None else [one(t) for t in texts])

@@ -167,6 +167,18 @@ class Cuckoo:
 
         return F.coalesce(test(column), F.lit(False))
 
+    def matches_any(self, column: Column) -> Column:
+        """ARRAY<BINARY> column -> whether the sketch may hold one of its keys; null never."""
+        wire = self.to_wire()
+
+        @F.pandas_udf("boolean")
+        def test(lists: pd.Series) -> pd.Series:
+            flat = lists.explode().dropna()
+            hits = flat[Cuckoo.from_wire(wire).contains(bytes(k) for k in flat)] if len(flat) else flat
+            return pd.Series(lists.index.isin(hits.index), index=lists.index)
+
+        return F.coalesce(test(column), F.lit(False))
+
 
 @dataclass
 class KeySet:

@@ -34,7 +34,7 @@ def predicate(f: AccountFilter) -> Column:
     parts = [_state(s) for s in f.state]
     if f.account or f.cuckoo:
         keys = F.col("pubkey").isin(list(f.account)) if f.account else F.lit(False)
-        parts.append(keys | f.cuckoo.matches(F.col("pubkey")) if f.cuckoo else keys)
+        parts.append(keys | f.cuckoo.matches(F.col("pubkey").cast("binary")) if f.cuckoo else keys)
     if f.owner:
         parts.append(F.col("owner").isin(list(f.owner)))
     if f.nonempty_txn_signature is not None:

@@ -5,7 +5,6 @@ Slots are partitions; nothing gathers a block into one row: its parts stay child
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping
 from functools import reduce
 
@@ -16,6 +15,7 @@ from ledgerlens.operators.accounts import named
 from ledgerlens.operators.transactions import has_any
 from ledgerlens.plans.request import BlockFilter, SlotFilter
 from ledgerlens.schema import COMMITMENTS, LIFECYCLE
+from ledgerlens.sources.shared import with_checkpoints
 
 #: Finalized slots that are kept beyond the replay buffer's capacity.
 KEPT_FINALIZED = 10
@@ -87,13 +87,10 @@ def block_children(f: BlockFilter, kind: str, rows: DataFrame) -> DataFrame:
         return rows
     if kind == "accounts":
         own = F.col("pubkey").isin(list(f.account_include)) if f.account_include else F.lit(False)
-        return rows.where(own | f.cuckoo_account_include.matches(F.col("pubkey")) if f.cuckoo_account_include else own)
+        return rows.where(own | f.cuckoo_account_include.matches(F.col("pubkey").cast("binary")) if f.cuckoo_account_include else own)
     own = has_any(F.col("keys"), f.account_include) if f.account_include else F.lit(False)
     if f.cuckoo_account_include:
-        keys = rows.select("signature", F.explode("keys").alias("_key")).where(f.cuckoo_account_include.matches(F.col("_key").cast("binary")))
-        hits = keys.select("signature").distinct().withColumn("_hit", F.lit(True))
-        rows = rows.join(hits, "signature", "left")
-        return rows.where(own | F.coalesce("_hit", F.lit(False))).drop("_hit")
+        own = own | f.cuckoo_account_include.matches_any(F.transform("keys", lambda k: k.cast("binary")))
     return rows.where(own)
 
 
@@ -178,8 +175,7 @@ def finalized_with_ancestors(meta: DataFrame, finalized: DataFrame) -> DataFrame
 
     Each round doubles the length of the jumps to an ancestor, so a chain of n slots takes log2 n rounds.
     """
-    if not meta.sparkSession.sparkContext.getCheckpointDir():
-        meta.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    with_checkpoints(meta.sparkSession)
     known = finalized.select("slot").distinct()
     jump = meta.select("slot", F.col("parent_slot").alias("up")).where("up is not null and up <> slot")
     jump = jump.join(meta.select(F.col("slot").alias("up")), "up", "left_semi").select("slot", "up").checkpoint()

@@ -31,7 +31,7 @@ def replay(history: DataFrame, progress: DataFrame, from_slot: int, commitment:
     if check:
         oldest = first_available_slot(history).first()[0]
         if oldest is not None and from_slot < oldest:
-            raise RequestError(f"broadcast from {from_slot} is not available, last available: {oldest}")
+            raise RequestError(f"slot {from_slot} is gone: the history starts at slot {oldest}")
     wanted = rank(F.col("commitment")) >= COMMITMENTS.index(commitment)
     reached = progress.where(wanted & (F.col("slot") >= from_slot)).select("slot")
     return history.where(F.col("slot") >= from_slot).join(reached, "slot", "left_semi").orderBy("slot", "phase", "seq")
@@ -124,7 +124,8 @@ def quarantine(updates: DataFrame, reconnects: Sequence[int] = ()) -> DataFrame:
     in_order = Window.partitionBy("slot").orderBy("seq")
     meta = F.col("kind") == "block_meta"
     before = F.last(F.when(meta, F.col("blockhash")), True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(meta, F.col("blockhash")), True).over(in_order.rowsBetween(1, Window.unboundedFollowing))
+    backwards = Window.partitionBy("slot").orderBy(F.desc("seq"))  # a growing frame: linear in the rows of a slot
+    after = F.last(F.when(meta, F.col("blockhash")), True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     seen = updates.withColumns({"_before": before, "_after": after})
     same = F.coalesce(F.when(meta, F.col("blockhash")).otherwise(F.col("_after")) == F.col("_before"), F.lit(False))
     sealed = F.col("_before").isNotNull()

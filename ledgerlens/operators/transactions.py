@@ -1,6 +1,7 @@
-"""Transaction, transaction status and deshred filters.
+"""Transaction, transaction status and deshred filters, and their columns from raw transaction messages.
 
-Keys are an array column; ``err`` tells failed transactions; token owners come from the balances before and after.
+Keys are an array column; ``err`` tells failed transactions; token owners come from the balances before and after. A
+filter with a token account mode is tested on the keys together with the owners of that mode.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.base58 import unbase58_keys
 from ledgerlens.operators.accounts import named
 from ledgerlens.plans.request import DeshredFilter, TransactionFilter
 
@@ -41,12 +43,55 @@ def _key_parts(f: TransactionFilter | DeshredFilter, keys: Column) -> list[Colum
         parts.append(has_all(keys, f.account_required))
     if f.account_include or sketch:
         found = has_any(keys, f.account_include) if f.account_include else F.lit(False)
-        parts.append(found | F.arrays_overlap(keys, F.col("_sketched")) if sketch else found)
+        parts.append(found | sketch.matches_any(F.transform(keys, lambda k: k.cast("binary"))) if sketch else found)
     if f.account_exclude:
         parts.append(~has_any(keys, f.account_exclude))
     return parts
 
 
+def _from_balances(balances: Column) -> Column:
+    """array<struct<at, key, amount>> of the balances whose owner is a key, in order."""
+    decoded = unbase58_keys(F.transform(balances, lambda b: b["owner"]))
+    zipped = F.filter(F.arrays_zip(balances.alias("b"), decoded.alias("k")), lambda z: z["k"].isNotNull())
+    made = F.transform(zipped, lambda z: F.struct(z["b"]["account_index"].alias("at"), z["k"].alias("key"), F.coalesce(z["b"]["amount"], F.lit("")).alias("amount")))
+    return F.coalesce(made, F.array().cast("array<struct<at:bigint,key:binary,amount:string>>"))
+
+
+def _changed(pre: Column, post: Column) -> Column:
+    """Owners of balances after that are new or differ from the last one before of their index; of those that went, the owner before."""
+
+    def last_before(at):
+        own = F.filter(pre, lambda x: x["at"] == at)
+        return F.get(own, F.size(own) - 1)["amount"]
+
+    new = F.filter(post, lambda b: F.coalesce(last_before(b["at"]) != b["amount"], F.lit(True)))
+    same = lambda x: lambda y: x["at"] == y["at"]
+    gone = F.filter(pre, lambda x, i: ~F.exists(post, same(x)) & ~F.exists(F.slice(pre, i + 2, F.size(pre)), same(x)))
+    return F.array_distinct(F.transform(F.concat(new, gone), lambda b: b["key"]))
+
+
+def from_raw(raw: DataFrame) -> DataFrame:
+    """Columns for filters from messages of ``schema.TRANSACTIONS``; a message's balances stay within its row.
+
+    ``signature`` is the first one (null without any), ``failed`` whether there is an error, ``keys`` the static and
+    loaded keys. Owners that aren't base58 of 32 bytes are left out, as if their balance weren't there.
+    """
+    meta = lambda name: F.col(f"meta.{name}")
+    found = raw.withColumns({"_pre": _from_balances(meta("pre_token_balances")), "_post": _from_balances(meta("post_token_balances"))})
+    return found.select(
+        "slot", "idx", F.get("signatures", F.lit(0)).alias("signature"), "is_vote", meta("err").alias("err"), meta("err").isNotNull().alias("failed"),
+        account_keys(F.col("static_keys"), meta("loaded_writable"), meta("loaded_readonly")).alias("keys"),
+        F.array_distinct(F.transform(F.concat("_pre", "_post"), lambda b: b["key"])).alias("owners_all"),
+        _changed(F.col("_pre"), F.col("_post")).alias("owners_changed"),
+    )
+
+
+def key_sets(transactions: DataFrame) -> dict[str | None, Column]:
+    """The key set of each token account mode for which there are owners: the keys and the owners."""
+    owners = {"ALL": "owners_all", "BALANCE_CHANGED": "owners_changed"}
+    return {None: F.col("keys")} | {mode: F.array_union("keys", name) for mode, name in owners.items() if name in transactions.columns}
+
+
 def predicate(f: TransactionFilter, keys: Mapping[str | None, Column] | None = None) -> Column:
     """``keys``: the key set by token account mode; None is the transaction's own. An empty filter matches all."""
     keys = keys or {None: F.col("keys")}
@@ -57,6 +102,8 @@ def predicate(f: TransactionFilter, keys: Mapping[str | None, Column] | None = N
         parts.append(F.col("failed") == f.failed)
     if f.signature is not None:
         parts.append(F.col("signature") == F.lit(f.signature))
+    if f.token_accounts not in keys:
+        raise ValueError(f"no owners for the token account mode {f.token_accounts}")
     parts += _key_parts(f, keys[f.token_accounts])
     return F.coalesce(reduce(and_, parts), F.lit(False)) if parts else F.lit(True)
 
@@ -64,7 +111,11 @@ def predicate(f: TransactionFilter, keys: Mapping[str | None, Column] | None = N
 def match(
     transactions: DataFrame, filters: Mapping[str, TransactionFilter], keys: Mapping[str | None, Column] | None = None
 ) -> DataFrame:
-    """``transactions`` (signature, is_vote, failed, keys...) with the names of the filters that match."""
+    """``transactions`` (signature, is_vote, failed, keys...) with the names of the filters that match.
+
+    ``keys`` are those of ``key_sets`` unless given.
+    """
+    keys = keys or key_sets(transactions)
     if not filters:
         return transactions.withColumn("filters", F.array().cast("array<string>")).where(F.lit(False))
     return transactions.withColumn("filters", named({n: predicate(f, keys) for n, f in filters.items()})).where(F.size("filters") > 0)

@@ -39,11 +39,11 @@ class Memcmp:
 
         most = {"base58": MAX_BASE58_TEXT, "base64": MAX_BASE64_TEXT}.get(encoding)
         if most is None or len(text) > most:
-            raise RequestError("invalid memcmp data")
+            raise RequestError("memcmp data cannot be read")
         try:
             return cls(offset, base58.decode(text) if encoding == "base58" else base64.b64decode(text, validate=True))
         except ValueError as e:
-            raise RequestError("invalid memcmp data") from e
+            raise RequestError("memcmp data cannot be read") from e
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ class Request:
             return c
         if isinstance(c, int) and 0 <= c < len(COMMITMENTS):
             return COMMITMENTS[c]
-        raise RequestError(f"failed to create CommitmentLevel from {self.commitment}")
+        raise RequestError(f"{self.commitment!r} is not a commitment level")
 
     @property
     def replaces_filters(self) -> bool:
@@ -179,28 +179,28 @@ def read_int(value: int | str) -> int:
 
 def _at_most(what: str, n: int, most: int | None) -> None:
     if most is not None and n > most:
-        raise RequestError(f"Max amount of {what} reached, only {most} allowed")
+        raise RequestError(f"{n} {what}: more than the limit of {most}")
 
 
 def _check_keys(keys: Sequence, most: int | None, reject: frozenset, what: str) -> None:
     _at_most(what, len(set(keys)), most)
     for key in set(keys) & set(reject):
-        raise RequestError(f"{key!r} is rejected in filters")
+        raise RequestError(f"the key {key!r} is on the list of keys that may not be asked for")
 
 
 def check_state(state: Sequence[StateFilter]) -> None:
     _at_most("filters", len(state), MAX_STATE_FILTERS)
     if sum(isinstance(s, DataSize) for s in state) > 1:
-        raise RequestError("datasize used more than once")
+        raise RequestError("a filter can ask for one data size only")
     for s in state:
         if isinstance(s, Memcmp) and len(s.data) > MAX_MEMCMP_BYTES:
-            raise RequestError("data is too large")
+            raise RequestError(f"memcmp takes at most {MAX_MEMCMP_BYTES} bytes")
         if isinstance(s, TokenAccountState) and not s.wanted:
-            raise RequestError("token_account_state only allowed to be true")
+            raise RequestError("the token account state can be asked for, but not excluded")
         if isinstance(s, Lamports) and s.compare not in ("eq", "ne", "lt", "gt"):
-            raise RequestError("cmp for lamports should be defined")
+            raise RequestError("lamports are compared by eq, ne, lt or gt")
         if not isinstance(s, StateFilter):
-            raise RequestError("filter should be defined")
+            raise RequestError("an empty state filter")
 
 
 def check_slices(slices: Sequence[tuple[int, int]], most: int | None = None) -> None:
@@ -208,9 +208,9 @@ def check_slices(slices: Sequence[tuple[int, int]], most: int | None = None) ->
     end = 0
     for i, (offset, length) in enumerate(slices):
         if i and offset < slices[i - 1][0]:
-            raise RequestError("data slices out of order")
+            raise RequestError("slices have to be sorted by offset")
         if i and offset < end:
-            raise RequestError("data slices overlapped")
+            raise RequestError("slices may not share bytes")
         end = max(end, offset + length)
 
 
@@ -247,11 +247,11 @@ def check(request: Request, limits: Limits | None = None) -> Request:
         _at_most("filters", len(filters), own.max)
         for name, f in filters.items():
             if len(name.encode()) > limits.name_bytes:
-                raise RequestError(f"oversized filter name (max allowed size {limits.name_bytes}), found {len(name.encode())}")
+                raise RequestError(f"the name of a filter has {len(name.encode())} bytes, {limits.name_bytes} are allowed")
             if name == RESERVED_NAME:
-                raise RequestError(f"{name} is a reserved filter name")
+                raise RequestError(f"clients keep the name {name} for themselves")
             if not own.any and is_open(kind, f):
-                raise RequestError("Subscribe on full stream with `any` is not allowed, at least one filter required")
+                raise RequestError(f"{kind}: a filter without any condition is not permitted here")
             if kind == "accounts":
                 _check_keys(f.account, own.pubkey_max, own.account_reject, "pubkeys")
                 _check_keys(f.owner, own.owner_max, own.owner_reject, "owners")
@@ -261,13 +261,13 @@ def check(request: Request, limits: Limits | None = None) -> Request:
                 for keys in (getattr(f, "account_exclude", ()), getattr(f, "account_required", ())):
                     _check_keys(keys, own.pubkey_max, frozenset(), "pubkeys")
             if getattr(f, "token_accounts", None) not in (None, *TOKEN_ACCOUNT_MODES):
-                raise RequestError("invalid token_accounts mode value; expected ALL (0) or BALANCE_CHANGED (1)")
+                raise RequestError(f"token_accounts is one of {TOKEN_ACCOUNT_MODES}")
             if kind == "blocks":
                 entries = own.include_accounts if limits.entries_as_accounts else own.include_entries
                 able = {"transactions": own.include_transactions, "accounts": own.include_accounts, "entries": entries}
                 for part, allowed in able.items():
                     if getattr(f, f"include_{part}") and not allowed:
-                        raise RequestError(f"`include_{part}` is not allowed")
+                        raise RequestError(f"{part} of blocks are not available here")
     return request
 
 

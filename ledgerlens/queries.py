@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rendering
-from ledgerlens.functions.cuckoo import BucketSketches, sketch_then_exact
+from ledgerlens.functions.cuckoo import BucketSketches, Cuckoo, sketch_then_exact
 from ledgerlens.operators import accounts, blocks, metering, replay, transactions
+from ledgerlens.plans.evaluate import updates
 from ledgerlens.plans.request import (
-    AccountFilter, BlockFilter, DataSize, DeshredFilter, Lamports, Memcmp, Request, SlotFilter, TokenAccountState, TransactionFilter, complexity,
+    AccountFilter, BlockFilter, DataSize, DeshredFilter, EmptyFilter, Lamports, Memcmp, Request, SlotFilter, TokenAccountState, TransactionFilter, complexity,
 )
 from ledgerlens.sources.tables import Views, backfill
 
@@ -219,6 +221,112 @@ def tx_token_owner_match_changed(v: Views) -> DataFrame:
     return _owner_match(v, transactions.owners_changed(v.token_pre(), v.token_post()), "BALANCE_CHANGED")
 
 
+def _key_of(name: str) -> bytes:
+    """The key of a name, as ``Views.raw_transactions`` has it."""
+    return hashlib.sha256(name.encode()).digest()
+
+
+_RAW = """WITH k AS (SELECT signature, list_filter(keys, lambda x: x[1] = 'P') AS parts FROM keys_of), a AS (SELECT signature, list(DISTINCT owner) AS owners FROM (SELECT signature, owner FROM pre UNION ALL SELECT signature, owner FROM post) q GROUP BY 1),
+  c AS (SELECT signature, list(DISTINCT owner) AS owners FROM changed GROUP BY 1), r AS (SELECT tx.*, coalesce(parts, CAST([] AS VARCHAR[])) AS parts, coalesce(a.owners, CAST([] AS VARCHAR[])) AS owners_all, coalesce(c.owners, CAST([] AS VARCHAR[])) AS owners_changed
+  FROM tx LEFT JOIN k USING (signature) LEFT JOIN a USING (signature) LEFT JOIN c USING (signature)) """
+
+
+@query(_RAW + "SELECT signature, slot, failed, is_vote, len(parts) AS n_keys, len(owners_all) AS n_owners, len(owners_changed) AS n_changed FROM r")
+def tx_from_raw(v: Views) -> DataFrame:
+    found = transactions.from_raw(v.raw_transactions())
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("keys", "n_keys"), ("owners_all", "n_owners"), ("owners_changed", "n_changed"))]
+    return found.select(F.decode("signature", "UTF-8").cast("long").alias("signature"), "slot", "failed", "is_vote", *sizes)
+
+
+@query(_RAW + """, h AS (SELECT signature, list_filter([
+  CASE WHEN list_has_any(list_concat(parts, owners_all), ['P1', 'P2', 'S1', 'S2']) AND NOT list_has_any(list_concat(parts, owners_all), ['S3', 'P4']) THEN 'a_all' END,
+  CASE WHEN list_has_any(list_concat(parts, owners_changed), ['P1', 'P2', 'S1', 'S2']) AND NOT list_has_any(list_concat(parts, owners_changed), ['S3', 'P4']) THEN 'b_changed' END,
+  CASE WHEN list_has_any(parts, ['P1', 'P2', 'S1', 'S2']) AND NOT list_has_any(parts, ['S3', 'P4']) THEN 'c_keys' END,
+  CASE WHEN list_has_all(list_concat(parts, owners_all), ['P5', 'S5']) THEN 'd_both' END], lambda x: x IS NOT NULL) AS f FROM r)
+SELECT signature, array_to_string(f, ',') AS filters FROM h WHERE len(f) > 0""")
+def tx_token_owner_keys_and_owners(v: Views) -> DataFrame:
+    """Include, exclude and required on the keys together with the owners of each mode."""
+    some = {"account_include": [_key_of(k) for k in ("P1", "P2", "S1", "S2")], "account_exclude": [_key_of(k) for k in ("S3", "P4")]}
+    filters = {
+        "a_all": TransactionFilter(token_accounts="ALL", **some), "b_changed": TransactionFilter(token_accounts="BALANCE_CHANGED", **some),
+        "c_keys": TransactionFilter(**some), "d_both": TransactionFilter(token_accounts="ALL", account_required=[_key_of("P5"), _key_of("S5")]),
+    }
+    found = transactions.match(transactions.from_raw(v.raw_transactions()), filters)
+    return found.select(F.decode("signature", "UTF-8").cast("long").alias("signature"), F.array_join("filters", ",").alias("filters"))
+
+
+def _sketch(*keys: str) -> Cuckoo:
+    return Cuckoo.of([k.encode() for k in keys], max(8, len(keys)), 7)
+
+
+@query("SELECT slot, pubkey, write_version FROM acc WHERE pubkey % 3 = 0 OR pubkey % 3 = 1")
+def account_token_state_of_padded(v: Views) -> DataFrame:
+    """Data made as token accounts: initialised (first third), frozen in the longer form (second), without a state (not one)."""
+    kind = F.col("pubkey") % 3
+    state = F.when(kind == 0, F.unhex(F.lit("01"))).when(kind == 1, F.unhex(F.lit("02"))).otherwise(F.unhex(F.lit("00")))
+    end = F.when(kind == 1, F.unhex(F.lit("0200"))).otherwise(F.lit(b""))
+    data = F.concat(F.encode(F.rpad(F.decode("data", "UTF-8"), 108, "x"), "UTF-8"), state, F.encode(F.repeat(F.lit("x"), 56), "UTF-8"), end)
+    found = accounts.match(v.account_updates().withColumn("data", data), {"f": AccountFilter(state=(TokenAccountState(),))})
+    return found.select("slot", "pubkey", "write_version")
+
+
+@query("SELECT slot, pubkey, write_version FROM acc WHERE octet_length(encode(data)) >= 9 AND substr(data, octet_length(encode(data)), 1) = '}' AND octet_length(encode(data)) = 9")
+def account_memcmp_at_end(v: Views) -> DataFrame:
+    """A comparison that ends with the data: shorter data doesn't reach it, longer data has another byte there."""
+    found = accounts.match(v.account_updates(), {"f": AccountFilter(state=(Memcmp(8, b"}"),))})
+    return found.select("slot", "pubkey", "write_version")
+
+
+@query("SELECT slot, signature, is_vote, failed FROM txk WHERE NOT is_vote AND list_has_any(keys, ['P1', 'P2', 'S3', 'S40'])")
+def tx_cuckoo_include(v: Views) -> DataFrame:
+    """Keys of a sketch beside listed ones; a sketch can let other keys pass (none of the test tables does)."""
+    f = TransactionFilter(vote=False, account_include=("S40",), cuckoo_account_include=_sketch("P1", "P2", "S3"))
+    return transactions.match(v.transactions_with_keys(), {"f": f}).select(*_TXCOLS)
+
+
+@query("SELECT slot, pubkey, write_version FROM acc WHERE pubkey IN (1, 5, 9, 40) AND owner IN ('click', 'error')")
+def account_cuckoo(v: Views) -> DataFrame:
+    rows = v.account_updates().withColumn("pubkey", F.col("pubkey").cast("string"))
+    found = accounts.match(rows, {"f": AccountFilter(account=("40",), owner=("click", "error"), cuckoo=_sketch("1", "5", "9"))})
+    return found.select("slot", F.col("pubkey").cast("long").alias("pubkey"), "write_version")
+
+
+@query("""SELECT m.slot, coalesce(t.n, 0) AS n_transactions, coalesce(e.n, 0) AS n_entries FROM meta m
+LEFT JOIN (SELECT slot, count(*) AS n FROM txk WHERE list_has_any(keys, ['P1', 'P2', 'S3', 'S40']) GROUP BY 1) t USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM entry GROUP BY 1) e USING (slot)""")
+def block_cuckoo(v: Views) -> DataFrame:
+    """Children by the keys of a sketch; every block stays."""
+    f = BlockFilter(account_include=("S40",), include_entries=True, cuckoo_account_include=_sketch("P1", "P2", "S3"))
+    no_accounts = v.account_updates().where(F.lit(False))
+    found = blocks.match_blocks(v.block_meta(), v.transactions_with_keys(), no_accounts, v.entries(), {"f": f})
+    return found.select("slot", "n_transactions", "n_entries")
+
+
+@query("""WITH up AS (SELECT DISTINCT slot FROM st WHERE rank >= 1),
+t AS (SELECT * FROM txk WHERE slot IN (SELECT slot FROM up)), m AS (SELECT * FROM meta WHERE slot IN (SELECT slot FROM up))
+SELECT 'accounts' AS kind, slot, CAST(pubkey AS VARCHAR) AS key, CASE WHEN owner = 'error' AND lamports > 9000 THEN 'few,rich' WHEN lamports > 9000 THEN 'rich' ELSE 'few' END AS filters
+  FROM acc WHERE slot IN (SELECT slot FROM up) AND lamports > 9000
+UNION ALL SELECT 'slots', slot, status, 'own' FROM st WHERE status = 'confirmed'
+UNION ALL SELECT 'transactions', slot, CAST(signature AS VARCHAR), 'some' FROM t WHERE list_has_any(keys, ['P1', 'S2'])
+UNION ALL SELECT 'transactions_status', slot, CAST(signature AS VARCHAR), CASE WHEN is_vote AND list_has_any(keys, ['P1', 'S2']) THEN 'some,votes' WHEN is_vote THEN 'votes' ELSE 'some' END FROM t WHERE is_vote OR list_has_any(keys, ['P1', 'S2'])
+UNION ALL SELECT 'entries', slot, CAST(idx AS VARCHAR), 'e' FROM entry WHERE slot IN (SELECT slot FROM up)
+UNION ALL SELECT 'blocks', slot, blockhash, 'b' FROM m UNION ALL SELECT 'blocks_meta', slot, blockhash, 'm1,m2' FROM m
+UNION ALL SELECT 'deshred_transactions', slot, CAST(signature AS VARCHAR), 'early' FROM txk WHERE is_vote AND list_has_any(keys, ['S7', 'S8'])""")
+def request_all_kinds(v: Views) -> DataFrame:
+    """One request for messages of all kinds, at commitment level confirmed."""
+    some = TransactionFilter(account_include=("P1", "S2"))
+    rich = Lamports("gt", 9000)
+    asked = Request(
+        accounts={"rich": AccountFilter(state=(rich,)), "few": AccountFilter(owner=("error",), state=(rich,))},
+        slots={"own": SlotFilter(filter_by_commitment=True)}, transactions={"some": some},
+        transactions_status={"votes": TransactionFilter(vote=True), "some": some}, entries={"e": EmptyFilter()}, blocks={"b": BlockFilter()},
+        blocks_meta={"m2": EmptyFilter(), "m1": EmptyFilter()}, deshred_transactions={"early": DeshredFilter(vote=True, account_include=("S7", "S8"))},
+        commitment="confirmed", data_slices=[(0, 2)],
+    )
+    tables = {"accounts": v.account_updates(), "slots": v.slot_statuses(), "transactions": v.transactions_with_keys(),
+              "entries": v.entries(), "block_meta": v.block_meta(), "deshred": v.transactions_with_keys()}
+    return updates(asked, tables)
+
+
 @query("SELECT signature, owner FROM changed")
 def tx_token_owner_balance_changed(v: Views) -> DataFrame:
     return transactions.owners_changed(v.token_pre(), v.token_post())

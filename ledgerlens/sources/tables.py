@@ -78,6 +78,34 @@ class Views:
         bumped = F.max("l_quantity").cast("long") + F.when(F.max("l_returnflag") == "A", 1).otherwise(0)
         return self._tokens(bumped.cast("string")).where("flag <> 'R'").drop("flag")
 
+    @staticmethod
+    def _key(name):
+        """A key of 32 bytes for a name."""
+        return F.unhex(F.sha2(name, 256))
+
+    def raw_transactions(self) -> DataFrame:
+        """Orders as transaction messages: parts are keys, suppliers own balances before and after."""
+        from ledgerlens.functions.base58 import base58
+
+        def balances(rows: DataFrame, name: str) -> DataFrame:
+            own = rows.withColumn("owner", base58(self._key(F.col("owner"))))
+            one = F.struct(F.col("account_index").cast("long").alias("account_index"), "owner", "amount")
+            return own.groupBy("signature").agg(F.array_sort(F.collect_list(one)).alias(name))
+
+        parts = self.table("lineitem").select(F.col("l_orderkey").alias("signature"), F.concat(F.lit("P"), F.col("l_partkey")).alias("part"))
+        keys = parts.groupBy("signature").agg(F.collect_set(self._key(F.col("part"))).alias("static_keys"))
+        out = self.transactions()
+        for more in (keys, balances(self.token_pre(), "pre_token_balances"), balances(self.token_post(), "post_token_balances")):
+            out = out.join(more, "signature", "left")
+        none = F.lit(None).cast("array<binary>")
+        meta = F.struct(
+            F.when(F.col("failed"), F.encode(F.lit("error"), "UTF-8")).alias("err"), "pre_token_balances", "post_token_balances",
+            none.alias("loaded_writable"), none.alias("loaded_readonly"),
+        )
+        first = F.encode(F.col("signature").cast("string"), "UTF-8")
+        return out.select("slot", F.col("signature").alias("idx"), "is_vote", F.array(first, F.encode(F.lit("second"), "UTF-8")).alias("signatures"),
+                          "static_keys", meta.alias("meta"))
+
     def block_meta(self) -> DataFrame:
         """Heights are counted through the slots' own order; there are at most as many slots as days."""
         from pyspark.sql import Window

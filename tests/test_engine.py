@@ -318,3 +318,58 @@ def test_sketch_holds_every_key(spark, tmp_path):
     events.limit(0).union(events.limit(1).crossJoin(spark.range(1, keys + 1, 7)).withColumn("user_id", F.col("id").cast(kind)).drop("id")).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(r.pubkey for r in queries.QUERIES["sketch_then_exact_keys"](spark, str(tmp_path)).collect())
     assert got == [k for k in range(1, keys + 1, 7) if k % 5 == 0]
+
+
+def test_raw_transactions(spark):
+    """First signature, loaded keys, unreadable owners, repeated balances of an index, closed and changed accounts."""
+    from ledgerlens.functions import base58
+    from ledgerlens.operators import transactions
+    from ledgerlens.plans.request import TransactionFilter
+    from ledgerlens.schema import TRANSACTIONS
+
+    key = lambda n: bytes([n]) * 32
+    one = lambda at, n, amount: {"account_index": at, "owner": base58.encode(key(n)) if isinstance(n, int) else n, "amount": amount}
+    pre = [one(0, 1, "5"), one(0, 1, "7"), one(1, 2, "3"), one(2, 3, "3"), one(3, "bad", "1"), one(4, 8, None)]
+    post = [one(0, 1, "7"), one(1, 2, "4"), one(3, 5, "1"), one(5, None, "1"), one(4, 8, None), one(6, "1" * 31, "2")]
+    rows = [
+        {"slot": 1, "idx": 0, "is_vote": False, "signatures": [b"s1", b"s2"], "static_keys": [key(20), key(21)],
+         "meta": {"err": None, "pre_token_balances": pre, "post_token_balances": post, "loaded_writable": [key(22)], "loaded_readonly": [key(20)]}},
+        {"slot": 1, "idx": 1, "is_vote": True, "signatures": [], "static_keys": None, "meta": {"err": b"e"}},
+        {"slot": 2, "idx": 2, "is_vote": None, "signatures": None, "static_keys": [], "meta": None},
+    ]
+    found = {r.idx: r for r in transactions.from_raw(spark.createDataFrame(rows, TRANSACTIONS)).collect()}
+    keys = lambda values: sorted(bytes(v)[0] for v in values)
+    assert bytes(found[0].signature) == b"s1" and found[1].signature is None and found[2].signature is None
+    assert [found[i].failed for i in range(3)] == [False, True, False] and keys(found[0]["keys"]) == [20, 21, 22] and found[1]["keys"] == []
+    # the last balance of index 0 counts; 1 changed; 2 was closed; 3 is new, as its owner before can't be read
+    assert keys(found[0].owners_all) == [1, 2, 3, 5, 8] and keys(found[0].owners_changed) == [2, 3, 5]
+    table = transactions.from_raw(spark.createDataFrame(rows, TRANSACTIONS))
+    filters = {
+        "all": TransactionFilter(account_include=[key(1)], token_accounts="ALL"), "changed": TransactionFilter(account_include=[key(1)], token_accounts="BALANCE_CHANGED"),
+        "closed": TransactionFilter(account_required=[key(3), key(22)], token_accounts="BALANCE_CHANGED"), "out": TransactionFilter(account_exclude=[key(2)], token_accounts="ALL"),
+        "first": TransactionFilter(signature=b"s1"), "second": TransactionFilter(signature=b"s2"),
+        "sketch": TransactionFilter(cuckoo_account_include=Cuckoo.of([key(22)], 8, 3)),
+    }
+    assert {r.idx: r.filters for r in transactions.match(table, filters).collect()} == {0: ["all", "closed", "first", "sketch"], 1: ["out"], 2: ["out"]}
+    with pytest.raises(ValueError):
+        transactions.match(table.drop("owners_all"), {"all": filters["all"]})
+
+
+def test_whole_requests(spark):
+    from ledgerlens.plans.evaluate import evaluate, updates
+    from ledgerlens.plans.request import EmptyFilter, Request, RequestError, SlotFilter, TransactionFilter
+
+    slots = spark.createDataFrame([(1, "finalized"), (2, "confirmed"), (3, "processed"), (3, "dead")], "slot long, status string")
+    made = spark.createDataFrame([(s, f"t{s}", s == 2, False, ["k"]) for s in (1, 2, 3, 4)], "slot long, signature string, is_vote boolean, failed boolean, keys array<string>")
+    asked = lambda level: Request(transactions={"a": TransactionFilter(account_include=["k"])}, transactions_status={"v": TransactionFilter(vote=True)}, slots={"s": SlotFilter()}, commitment=level)
+    tables = {"slots": slots, "transactions": made}
+    got = lambda level: sorted((r.kind, r.slot) for r in updates(asked(level), tables).collect())
+    states = [("slots", 1), ("slots", 2), ("slots", 3)]
+    assert got(None) == states + [("transactions", s) for s in (1, 2, 3, 4)] + [("transactions_status", 2)]
+    assert got("confirmed") == states + [("transactions", 1), ("transactions", 2), ("transactions_status", 2)]
+    assert got(2) == states + [("transactions", 1)]
+    assert evaluate(Request(), tables) == {}
+    with pytest.raises(ValueError):
+        updates(Request(), tables)
+    with pytest.raises(RequestError):
+        evaluate(Request(entries={"e": EmptyFilter()}, data_slices=[(5, 1), (0, 1)]), tables)
