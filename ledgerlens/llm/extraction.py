@@ -17,7 +17,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -61,11 +62,11 @@ HEADED_TAGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: Log odds of blocks outside all articles of a page that has one; of one that names only a container of content.
 OUTSIDE_HINT, ASIDE_HINT = -4.5, -2.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_OPENING = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*)|<[!?]")
+_REST_OF_TAG = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+# Elements whose content isn't mark-up.
+RAW_TAGS = frozenset("script style textarea title noscript template iframe".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}
 _IDS = re.compile(r"""(?<![\w-])id\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ABOUT_OTHERS = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S+", re.I)
@@ -74,11 +75,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Open:
-    __slots__ = ("tag", "hint", "skip", "number", "depth", "parent")
+    __slots__ = ("tag", "hint", "skip", "number", "depth", "parent", "place", "block")
 
-    def __init__(self, tag, hint, skip, number, parent):
-        self.tag, self.hint, self.skip, self.number, self.parent = tag, hint, skip, number, parent
+    def __init__(self, tag, hint, skip, number, parent, place=0):
+        self.tag, self.hint, self.skip, self.number, self.parent, self.place = tag, hint, skip, number, parent, place
         self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or tag in BLOCK_TAGS else parent.block  # the innermost block with this element
 
 
 def _names(attributes: str) -> set[str]:
@@ -115,17 +117,49 @@ def _hint(tag: str, attributes: str, above: float) -> float:
     return above
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of every tag, in time linear in the page; comments have no name.
+
+    The raw content of scripts and the like belongs to their tag, and what is never closed goes on to the end. Where a
+    tag doesn't end because its quotes aren't closed, quotes stop to count for the rest of the page.
+    """
+    at, quotes, last = 0, True, page.rfind(">")
+    while m := _OPENING.search(page, at):
+        start, tag = m.start(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, "", ""
+            continue
+        if start > last:  # no tag can end any more
+            return
+        attributes = ""
+        rest = _REST_OF_TAG.match(page, m.end()) if quotes and tag else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            quotes = quotes and not tag
+            at = page.find(">", m.end()) + 1
+            attributes = page[m.end() : at - 1] if tag else ""
+        if tag in RAW_TAGS and not m[1]:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            tag = ""
+        yield start, at, bool(m[1]), tag, attributes
+
+
 def blocks_of(page: str) -> list[dict]:
     """Blocks in page order: text, hint, tag, letters in links, and the open element that holds it."""
     blocks: list[dict] = []
     root = _Open("", 0.0, False, 0, None)
     stack, held, linked, count = [root], [], 0, 0
+    is_open: Counter = Counter()
 
     def close_block():
         nonlocal held, linked
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            holder = next((o for o in reversed(stack) if o.tag in BLOCK_TAGS), root)
+            holder = stack[-1].block
             blocks.append({"text": text, "hint": stack[-1].hint, "tag": holder.tag, "linked": linked, "at": holder})
         held, linked = [], 0
 
@@ -136,12 +170,16 @@ def blocks_of(page: str) -> list[dict]:
             if any(o.tag == "a" for o in stack[-3:]):
                 linked += len(text)
 
+    def close_from(place):
+        for o in stack[place:]:
+            is_open[o.tag] -= 1
+        del stack[place:]
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, closing, tag, attributes in tags_of(page):
+        if start > at:
+            take(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "br":
@@ -150,28 +188,27 @@ def blocks_of(page: str) -> list[dict]:
         block = tag in BLOCK_TAGS
         if block:
             close_block()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if closing:
+            if is_open[tag]:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close_from(place)
             continue
         if tag in VOID_TAGS:
             continue
         if block:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item the item before it
-                if stack[i].tag == "p" or tag == "li" and stack[i].tag == "li":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK_TAGS:
-                    break
-        if not m[4].endswith("/") or block:
+            inner = stack[-1].block  # a block ends an open paragraph, an item the item before it
+            if inner.tag == "p" or tag == "li" and inner.tag == "li":
+                close_from(inner.place)
+        if not attributes.endswith("/") or block:
             count += 1
             top = stack[-1]
             if tag == "body":
                 top = root
-            opened = _Open(tag, _hint(tag, m[4], top.hint), (top.skip or tag in SKIPPED_TAGS) and tag != "body", count, stack[-1])
-            stack.append(opened)
+            skip = (top.skip or tag in SKIPPED_TAGS) and tag != "body"
+            stack.append(_Open(tag, _hint(tag, attributes, top.hint), skip, count, stack[-1], len(stack)))
+            is_open[tag] += 1
     if at < len(page):
         take(page[at:])
     close_block()

@@ -11,8 +11,15 @@ The order within a source is found in two steps, so that no task sorts a source:
 a running sum over a source's at most ``BUCKETS`` buckets gives the words before each bucket, and documents are
 sorted within their bucket only.
 
-Null and empty texts have size 0 and give nothing. Null sources are a source of their own. Documents with the
-same id have the same key; ties are broken by size, and rows equal in all of these are interchangeable.
+Document weights are a column (``weight``), for instance a classifier's score; without one they are
+``quality_weight`` of the text. Null weights and those below ``LEAST_WEIGHT`` count as that.
+
+Document weights are a column (``weight``), for instance a classifier's score; without one they are
+``quality_weight`` of the text. Null weights and those below ``LEAST_WEIGHT`` count as that.
+
+Null and empty texts have size 0 and give nothing. Null sources are a source of their own. A document without an id
+takes its text for it, so that such documents don't share a bucket unless they are copies. Documents with the same id
+have the same key; ties are broken by size, and rows equal in all of these are interchangeable.
 An empty table gives an empty result.
 """
 
@@ -29,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BUCKETS = 4096
 SEED = "mix-1"
+LEAST_WEIGHT = 0.01
 
 
 def word_count(text) -> Column:
@@ -70,9 +78,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, weight: Column | None = None
+) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, key and taken of every row of ``docs``."""
-    key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
+    own = quality_weight(F.col("text")) if weight is None else F.greatest(F.coalesce(weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    key = exponential_key(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))), own, seed)
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
     sized = sized.withColumn("bucket", F.floor(F.lit(BUCKETS) * (F.lit(1.0) - F.exp(-F.col("key")))).cast("int"))
     sized = materialize(sized, "sized")

@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, training=None, sample: int = SAMPL
     known = known.where(training) if training is not None else known
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
-    rows = map_texts(own, "text", lambda texts: [[features(t) for t in texts]], _X, ["doc_id", "y"]).limit(sample).collect()
+    rows = map_texts(own, "text", lambda texts: [[features(t) for t in texts]], _X, ["doc_id", "y"])
+    rows = rows.orderBy("doc_id", "y", "x").limit(sample).collect()  # more than ``sample`` only where ids repeat
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["x"]))
     return fit(_matrix([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
 

@@ -1,13 +1,18 @@
 """Document fingerprints from closed syncmers, with DataFrame operations only.
 
-A text is its words between ASCII white space; a k-mer is ``K`` = 3 consecutive words, its inner substrings are
+A text is its words between ASCII white space; letters of scripts that are written without spaces between words
+(``UNSPACED``) are words of their own. A k-mer is ``K`` = 3 consecutive words, its inner substrings are
 single words, ordered by hash. A k-mer is an anchor (a closed syncmer) if its minimal word is its first or its
 last: that depends on the k-mer alone, so equal passages give equal anchors wherever they stand. A text of
 fewer words is one anchor as a whole; null and empty texts have none.
 
-The fingerprint is the ``SKETCH`` smallest distinct anchor hashes (32 bits each, as hex). Likeness estimates the
-Jaccard similarity of two texts' anchors from the smallest hashes of their union; two texts without anchors are
-alike (1), one without is unlike any other (0).
+The fingerprint is the smallest distinct anchor hashes (32 bits each, as hex): ``SKETCH`` of them, or an ``EVERY``-th of
+all where that is more, so it grows with the text; a text of fewer anchors has them all. Likeness estimates the Jaccard
+similarity of two texts' anchors from the smallest hashes of their union, as many as both sides know; two texts without
+anchors are alike (1), one without is unlike any other (0).
+
+Null texts are empty. Rows with a null doc_id come first in the order; rows that share an id follow each other by text.
+Other columns are not read. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ from pyspark.sql import functions as F
 from .common import let
 
 K = 3
-SKETCH = 64
+SKETCH, EVERY = 64, 4
+# Scripts that are written without spaces between words, as Unicode names them.
+UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 #: Texts are dealt by ranges of ids of about so many bytes; at most so many ranges.
 RANGE_BYTES, RANGES = 32 << 20, (64, 4096)
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    between = rf"[\x20\x09-\x0D]+|(?<=[{UNSPACED}])|(?=[{UNSPACED}])"
+    words = F.array_remove(F.split(text, between), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -54,7 +62,7 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The smallest distinct anchor hashes, ascending."""
+    """The smallest distinct anchor hashes, ascending; fewer than ``SKETCH`` are all that the text has."""
     hashes = let(
         word_hashes(F.coalesce(text, F.lit(""))),
         lambda h: F.when(
@@ -66,7 +74,7 @@ def sketch(text: Column) -> Column:
         .when(F.size(h) > 0, F.array(F.shiftrightunsigned(F.xxhash64(h), 32)))
         .otherwise(F.array().cast("array<bigint>")),
     )
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    return let(F.sort_array(F.array_distinct(hashes)), lambda h: F.slice(h, 1, F.greatest(F.lit(SKETCH), F.floor(F.size(h) / EVERY).cast("int"))))
 
 
 def as_string(sketched: Column) -> Column:
@@ -74,9 +82,12 @@ def as_string(sketched: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.greatest(F.size(union), F.lit(1)))
+    known = lambda x: F.when(F.size(x) < SKETCH, F.lit((1 << 31) - 1)).otherwise(F.size(x))
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, F.least(known(a), known(b)))
+    return let(
+        union,
+        lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1))),
+    )
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -124,18 +125,25 @@ def brute_hits(text_, items):
                 if w[b : b + n] == p[a : a + n]:
                     hit.update(range(b, b + n))
                     own.add(i)
-    return len(w), len(hit), sorted(own)
+    return len(w), len(hit), own
+
+
+def brute_spans(text_, hit):
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text_ or ""))]
+    runs = [(i, j) for i in hit if i - 1 not in hit for j in hit if j >= i and j + 1 not in hit and all(k in hit for k in range(i, j))]
+    return [(at[i][0], at[j][1]) for i, j in runs]
 
 
 @pytest.mark.parametrize("block", [decontamination.BLOCK_CHARS, 300])
 def test_decontamination(spark, docs, rows, block):
     items = [(1, text(30, 77)), (2, "One"), (3, text(120, 1)[:200]), (4, None), (5, "?!"), (6, "a-B c"), (6, "a-B c"), (None, "two words")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(None if i is None else str(i), t) for i, t in items], "item_id string, text string")
     found = decontamination.scan(docs, bench, keep=["doc_id", "text"], block_chars=block, prefix="s_").collect()
     assert len(found) == len(rows)
     for r in found:
-        got = (r.s_n_words, len(r.s_hit_words), r.s_item_ids)
-        assert (r.s_n_words or 0, *got[1:]) == brute_hits(r.text, [x for x in items if x[0] is not None])
+        n, hit, own = brute_hits(r.text, items)
+        assert (r.s_n_words or 0, len(r.s_hit_words), r.s_item_ids) == (n, hit, sorted(str(i) for i in own - {None}) + [None] * (None in own))
+        assert [tuple(s) for s in r.s_spans] == brute_spans(r.text, r.s_hit_words)
         for s in r.s_spans:
             assert 0 <= s.start < s.end <= len(r.text)
         if r.doc_id == 9:
@@ -167,6 +175,49 @@ def test_fingerprints(spark, docs, rows, no_docs):
     assert syncmers.fingerprints(no_docs).count() == 0
 
 
+def brute_anchors(t):
+    """Words, with each letter of unspaced scripts a word; hashes as Spark's xxhash64 chains them."""
+    unspaced = "[\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]"
+    w = [x for x in re.split(rf"[\x20\x09-\x0D]+|(?<={unspaced})|(?={unspaced})", t or "") if x]
+    one = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    h = [one(x.encode(), 42) for x in w]
+
+    def chain(values):
+        seed = 42
+        for v in values:
+            seed = one(v.to_bytes(8, "little"), seed)
+        return seed >> 32
+
+    signed = [v - (1 << 64) if v >> 63 else v for v in h]
+    if len(h) < 3:
+        return {chain(h)} if h else set()
+    return {chain(h[i : i + 3]) for i in range(len(h) - 2) if min(signed[i], signed[i + 2]) <= signed[i + 1]}
+
+
+def brute_likeness(a, b):
+    sketch = lambda x: sorted(x)[: max(64, len(x) // 4)]
+    p, q = sketch(a), sketch(b)
+    known = [len(x) for x in (p, q) if len(x) >= 64]
+    union = sorted(set(p) | set(q))[: min(known, default=None)]
+    return sum(x in p and x in q for x in union) / len(union) if union else 1.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    han = "".join(chr(0x4E00 + i * 37 % 2000) for i in range(361))
+    made = [text(900, 1), text(900, 1) + " and more", text(500, 2), han, han[:-1] + "末", "สวัสดี ครับ", "", None, "one", "one two", "Mixed 漢字 and words " + text(70, 4), text(3000, 7)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").withColumn("sketch", F.lit("clash"))
+    found = {r.doc_id: r for r in syncmers.fingerprints(table).collect()}
+    texts = [t or "" for t in made]
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, changed, other = brute_anchors(t), brute_anchors(edited), brute_anchors(following)
+        assert found[i].fingerprint == "".join(f"{v:08x}" for v in sorted(own)[: max(64, len(own) // 4)])
+        assert found[i].edited_fingerprint == "".join(f"{v:08x}" for v in sorted(changed)[: max(64, len(changed) // 4)])
+        assert math.isclose(found[i].near_edited, brute_likeness(own, changed)) and math.isclose(found[i].near_next, brute_likeness(own, other))
+    assert found[3].near_next > 0.95 and found[3].near_edited > 0.2
+
+
 def test_anchors_are_closed_syncmers(spark):
     t = text(300, 12)
     df = spark.createDataFrame([(t,)], "text string").select(syncmers.anchors(F.col("text")).alias("a"), syncmers.word_hashes(F.col("text")).alias("h"))
@@ -253,6 +304,17 @@ def test_mix(docs, rows, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mix_by_given_weights(spark):
+    """Heavier documents come first more often; null and tiny weights are held; rows without ids have keys of their own."""
+    made = [(None if i % 2 else i, " ".join(["w"] * 10) + f" {i}", "a" if i < 400 else "b", [0.9, 0.02, None, -1.0][i % 4]) for i in range(800)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string, w double")
+    found = mixing.mix(table, weights=(1, 9), weight=F.col("w")).collect()
+    assert len(found) == 800 and len({r.key for r in found}) == 800
+    rest = [r for r in found if r.source == "a" and r.taken > r.epochs * r.size]
+    heavy = sum(r.doc_id is not None and r.doc_id % 4 == 0 for r in rest)
+    assert len(rest) > 50 and heavy > 0.8 * min(100, len(rest))
+
+
 # 6 ---------------------------------------------------------------------------------------------------------
 
 
@@ -531,6 +593,22 @@ def test_main_text_of_articles_in_layouts():
     assert extraction.main_text(other.encode()) == long
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a ", "<script ", "<!", "</b>", "<b>", "<p>x</p>y<b>", "<div>x", "<a href='", '<p class="', "<!--", "<textarea>", "&", '<i title=">">x</i>'])
+def test_broken_pages_take_linear_time(piece):
+    """A megabyte of open quotes, tags, comments or end tags, after which text is still read or belongs to the open part."""
+    for page in (piece * (1_000_000 // len(piece)), "<div><i>" * 20_000 + piece * (500_000 // len(piece))):
+        start = time.process_time()
+        found = extraction.blocks_of(page + " the end")
+        assert time.process_time() - start < 6 and isinstance(found, list)
+
+
+def test_quotes_that_never_close():
+    assert [b["text"] for b in extraction.blocks_of('<p title="a > b">one</p><p class="x>two</p><p>three "four"</p>')] == ["one", "two", 'three "four"']
+    assert [b["text"] for b in extraction.blocks_of("<p>a < b and <c</p>")] == ["a < b and"]
+    assert [b["text"] for b in extraction.blocks_of("<p>1 <2 x")] == ["1 <2 x"]
+    assert [b["text"] for b in extraction.blocks_of("<p>x<y z")] == ["x<y z"]
+
+
 def test_minimum_cut_of_many_blocks():
     rng = random.Random(2)
     n = 20_000
