@@ -1,12 +1,12 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact likelihoods by the scaled forward recursion.
 
 Tokens: A-Z lower-cased words between ASCII white space, then one end token. Texts are packed into blocks of about
-``BLOCK`` tokens (a longer text is a block of its own), each with its own list of distinct words; training and other
-texts have separate blocks.
+``BLOCK`` tokens (a longer text is a block of its own); training and other texts have separate blocks. A bundle of
+blocks, about ``BUNDLE`` tokens, shares a list of distinct words, so that words meet their counts once a bundle.
 
 Training has two steps. First, Baum-Welch rounds with tied emissions: words share ``CLASSES`` classes by their CRC-32,
-at every size of the corpus, which bounds what is broadcast and gathered. Rounds over ``START_BLOCKS`` blocks (a
-bounded sample, by hash of the block) give the start of the rounds over all training texts; each go on until one gains
+at every size of the corpus, which bounds what is broadcast and gathered. Rounds over ``START_BUNDLES`` bundles (a
+bounded sample, by hash of the bundle) give the start of the rounds over all training texts; each go on until one gains
 less than ``TOLERANCE`` a token. Then one more round over all training texts counts each word by state, as a table that
 grows with the vocabulary: E(w, s), whose sum over states is the word's count c(w). With p(s) the share of all tokens
 in state s, a state emits a word with probability
@@ -41,17 +41,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import as_bytes, materialize
 
 STATES = 6
-#: Tied rounds go on until one gains less than TOLERANCE (natural log) a token, at least two; first over so many blocks
+#: Tied rounds go on until one gains less than TOLERANCE (natural log) a token, at least two; first over so many bundles
 #: for a start, then over all training texts.
-START_BLOCKS = 8
+START_BUNDLES = 2
 TOLERANCE = 0.005
 CLASSES = 1 << 14
 #: Expected counts of words are written in such parts of a token.
 PART = 1 / 1024
 #: Tokens of the overall distribution that are added to the tied emissions of a state.
 PRIOR = 2000.0
-BLOCK = 1 << 20
-#: Bytes of a row group of the blocks, which bounds what a reader holds.
+BLOCK, BUNDLE = 1 << 20, 4 << 20
+#: Bytes of a row group of the bundles, which bounds what a reader holds.
 ROW_GROUP = 16 << 20
 
 
@@ -60,7 +60,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class _Local(dict):
-    """Words of a block, numbered as they come; the end token is number 0."""
+    """Words of a bundle, numbered as they come; the end token is number 0."""
 
     def __init__(self):
         self[b""] = 0
@@ -91,56 +91,74 @@ def pack(sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def packed_blocks(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of ``texts`` (doc_id, text, learn): ids, sizes, packed codes, and the block's words with their classes."""
+def bundles_of(texts: DataFrame, block: int = BLOCK, bundle: int = BUNDLE) -> DataFrame:
+    """Bundles of ``texts`` (doc_id, text, learn): for each block whether it is for training, ids, sizes and packed codes; and
+    the bundle's words with their classes."""
     id_type = texts.schema["doc_id"].dataType
-    ids_arrow = to_arrow_type(T.ArrayType(id_type))
+    many = lambda kind: T.ArrayType(kind)
     schema = T.StructType([
-        T.StructField("learn", T.BooleanType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType()),
-        T.StructField("codes", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("learn", many(T.BooleanType())), T.StructField("ids", many(many(id_type))), T.StructField("sizes", many(T.BinaryType())),
+        T.StructField("codes", many(T.BinaryType())), T.StructField("classes", T.BinaryType()), T.StructField("words", many(T.StringType())),
     ])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
-    class Held:
+    class Block:
         def __init__(self):
-            self.local, self.sequences, self.ids, self.size = _Local(), [], [], 0
-
-    def row(learn: bool, held: Held) -> pa.RecordBatch:
-        sizes = np.array([len(s) for s in held.sequences], np.int32)
-        order = np.argsort(-sizes, kind="stable")
-        ids = pa.concat_arrays(held.ids).take(pa.array(order))
-        classes = np.fromiter((zlib.crc32(w) % CLASSES for w in held.local), np.uint16, len(held.local))
-        words = pa.array(list(held.local), pa.binary()).cast(pa.string())
+            self.sequences, self.ids, self.size = [], [], 0
+
+        def done(self, learn: bool) -> tuple:
+            sizes = np.array([len(s) for s in self.sequences], np.int32)
+            order = np.argsort(-sizes, kind="stable")
+            packed = pack([self.sequences[i] for i in order])
+            return learn, pa.concat_arrays(self.ids).take(pa.array(order)), sizes[order].tobytes(), packed.tobytes()
+
+    def row(local: _Local, done: list[tuple]) -> pa.RecordBatch:
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        raw = lambda values: pa.array([values.tobytes()], pa.binary())
-        codes = pack([held.sequences[i] for i in order])
-        columns = [pa.array([learn]), one(ids).cast(ids_arrow), raw(sizes[order]), raw(codes), raw(classes), one(words)]
-        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+        learn, ids, sizes, codes = zip(*done, strict=True)
+        starts = pa.array(np.cumsum([0, *(len(i) for i in ids)]), pa.int32())
+        classes = np.fromiter((zlib.crc32(w) % CLASSES for w in local), np.uint16, len(local))
+        words = pa.array(list(local), pa.binary()).cast(pa.string())
+        columns = [
+            one(pa.array(learn)), one(pa.ListArray.from_arrays(starts, pa.concat_arrays(ids))), one(pa.array(sizes, pa.binary())),
+            one(pa.array(codes, pa.binary())), pa.array([classes.tobytes()], pa.binary()), one(words),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {True: Held(), False: Held()}
+        local, done, size, open_blocks = _Local(), [], 0, {True: Block(), False: Block()}
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 for i, (text, learn) in enumerate(zip(as_bytes(part["text"]), part["learn"].to_pylist(), strict=True)):
-                    held = kept[learn]
-                    held.sequences.append(held.local.encode(tokens(text)))
-                    held.ids.append(part["doc_id"].slice(i, 1))
-                    held.size += len(held.sequences[-1])
-                    if held.size >= block:
-                        yield row(learn, held)
-                        kept[learn] = Held()
-        for learn, held in kept.items():
-            if held.sequences:
-                yield row(learn, held)
+                    own = open_blocks[learn]
+                    own.sequences.append(local.encode(tokens(text)))
+                    own.ids.append(part["doc_id"].slice(i, 1))
+                    own.size += len(own.sequences[-1])
+                    size += len(own.sequences[-1])
+                    if own.size >= block:
+                        done.append(own.done(learn))
+                        open_blocks[learn] = Block()
+                    if size >= bundle:
+                        done += [b.done(k) for k, b in open_blocks.items() if b.size]
+                        yield row(local, done)
+                        local, done, size, open_blocks = _Local(), [], 0, {True: Block(), False: Block()}
+        if size:
+            yield row(local, done + [b.done(k) for k, b in open_blocks.items() if b.size])
 
     return texts.select("doc_id", "text", "learn").mapInArrow(run, schema)
 
 
-def unpacked(batch: pa.RecordBatch, *columns: str) -> Iterator[list[np.ndarray]]:
-    """The binary ``columns`` of each row: sizes and codes are 4 bytes wide, classes 2."""
-    kinds = {"sizes": np.int32, "codes": np.int32, "classes": np.uint16}
-    for i in range(batch.num_rows):
-        yield [np.frombuffer(batch[c][i].as_buffer(), kinds[c]) for c in columns]
+def blocks_in(batch: pa.RecordBatch, row: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """(learn, sizes, codes) of the blocks of a bundle."""
+    raw = lambda name: [np.frombuffer(v.as_buffer(), np.int32) for v in batch[name][row].values]
+    return list(zip(batch["learn"][row].as_py(), raw("sizes"), raw("codes"), strict=True))
+
+
+def learned_in(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(row, classes, [(sizes, codes), ...]) of the bundles of a batch, with their blocks for training."""
+    for row in range(batch.num_rows):
+        own = [(sizes, codes) for learn, sizes, codes in blocks_in(batch, row) if learn]
+        yield row, np.frombuffer(batch["classes"][row].as_buffer(), np.uint16), own
 
 
 def _stretches(at: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -229,6 +247,10 @@ def forward(model: dict, emission: np.ndarray, codes: np.ndarray, sizes: np.ndar
     return logs
 
 
+#: Columns of the bundles that training reads.
+TRAINING = ("learn", "sizes", "codes", "classes")
+
+
 def _single(model: dict) -> dict:
     return {k: v.astype(np.float32) for k, v in model.items()}
 
@@ -241,19 +263,21 @@ def _by_code(sums: np.ndarray) -> Callable:
     return take
 
 
-def class_counts(blocks: DataFrame) -> np.ndarray:
-    """Tokens of each class in all ``blocks``."""
+def class_counts(bundles: DataFrame) -> np.ndarray:
+    """Training tokens of each class in all ``bundles``."""
 
     def run(batches):
         sums = np.zeros(CLASSES)
         for batch in batches:
-            for codes, classes in unpacked(batch, "codes", "classes"):
-                sums += np.bincount(classes, np.bincount(codes, minlength=len(classes)), CLASSES)
+            for _, classes, blocks in learned_in(batch):
+                for _, codes in blocks:
+                    sums += np.bincount(classes, np.bincount(codes, minlength=len(classes)), CLASSES)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["key", "n"])
 
     out = np.zeros(CLASSES)
-    for key, n in blocks.select("codes", "classes").mapInArrow(run, "key long, n double").groupBy("key").agg(F.sum("n")).collect():
+    counted = bundles.select(*TRAINING).mapInArrow(run, "key long, n double").groupBy("key").agg(F.sum("n"))
+    for key, n in counted.collect():  # a row a class
         out[key] = n
     return out
 
@@ -267,9 +291,9 @@ def start_model(weight: np.ndarray, states: int = STATES) -> dict:
     return {"emit": emit / emit.sum(0), "move": stay / stay.sum(1, keepdims=True), "start": np.full(states, 1.0 / states)}
 
 
-def baum_welch_round(blocks: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts (class x state, moves, starts) and log likelihood of all ``blocks``, summed across partitions."""
-    shared = blocks.sparkSession.sparkContext.broadcast(_single(model))
+def baum_welch_round(bundles: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (class x state, moves, starts) and log likelihood of all training texts, summed across partitions."""
+    shared = bundles.sparkSession.sparkContext.broadcast(_single(model))
     C, K = model["emit"].shape
     names = [f"s{k}" for k in range(K)]
 
@@ -277,26 +301,27 @@ def baum_welch_round(blocks: DataFrame, model: dict) -> tuple[np.ndarray, np.nda
         own = shared.value
         sums, rest = np.zeros((C, K)), np.zeros((K + 2, K))
         for batch in batches:
-            for sizes, codes, classes in unpacked(batch, "sizes", "codes", "classes"):
-                moves, starts, likely = posteriors(own, own["emit"], classes[codes], sizes, _by_code(sums))
-                rest += np.concatenate((moves, [starts], np.full((1, K), likely)))
+            for _, classes, blocks in learned_in(batch):
+                for sizes, codes in blocks:
+                    moves, starts, likely = posteriors(own, own["emit"], classes[codes], sizes, _by_code(sums))
+                    rest += np.concatenate((moves, [starts], np.full((1, K), likely)))
         rows = np.flatnonzero(sums.any(1))
-        values = np.concatenate((sums[rows], rest))
+        values = np.concatenate((np.round(sums[rows] / PART) * PART, rest))
         keys = np.concatenate((rows, C + np.arange(K + 2)))
         yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(values[:, k]) for k in range(K))], names=["key", *names])
 
-    parts = blocks.select("sizes", "codes", "classes").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names))
+    parts = bundles.select(*TRAINING).mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names))
     out = np.zeros((C + K + 2, K))
     for row in parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).collect():  # a row a class
         out[row[0]] = row[1:]
     return out[:C], out[C : C + K], out[C + K], float(out[-1, 0])
 
 
-def converge(blocks: DataFrame, model: dict, base: np.ndarray, rounds: int | None = None) -> dict:
+def converge(bundles: DataFrame, model: dict, base: np.ndarray, rounds: int | None = None) -> dict:
     """Tied Baum-Welch from ``model`` on until a round gains little, or for just ``rounds`` rounds where these are given."""
     done, before = 0, -math.inf
     while rounds is None or done < rounds:
-        emitted, moves, starts, likely = baum_welch_round(blocks, model)
+        emitted, moves, starts, likely = baum_welch_round(bundles, model)
         emit = emitted + PRIOR * base[:, None]
         moves, starts = moves + 1.0, starts + 1.0
         model = {"emit": emit / emit.sum(0), "move": moves / moves.sum(1, keepdims=True), "start": starts / starts.sum()}
@@ -307,60 +332,44 @@ def converge(blocks: DataFrame, model: dict, base: np.ndarray, rounds: int | Non
     return model
 
 
-def train(blocks: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
-    """The tied model of ``blocks``, whose classes have ``weight`` tokens each."""
+def train(bundles: DataFrame, weight: np.ndarray, states: int = STATES, rounds: int | None = None) -> dict:
+    """The tied model of the training texts, whose classes have ``weight`` tokens each."""
     model, base = start_model(weight, states), (weight + 1e-3) / (weight + 1e-3).sum()
     if rounds is None:
-        some = [r[0] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(START_BLOCKS).collect()]
-        model = converge(blocks.where(F.col("block").isin(some)), model, base)
-    return converge(blocks, model, base, rounds)
+        some = [r[0] for r in bundles.select("bundle").orderBy(F.xxhash64("bundle")).limit(START_BUNDLES).collect()]
+        model = converge(bundles.where(F.col("bundle").isin(some)), model, base)
+    return converge(bundles, model, base, rounds)
 
 
-def word_emissions(blocks: DataFrame, model: dict) -> DataFrame:
-    """(word, n, s0, s1, ...) of every word of ``blocks``: its tokens, and its expected tokens in each state.
-
-    A task adds up the words of several blocks before they are shuffled.
-    """
-    shared = blocks.sparkSession.sparkContext.broadcast(_single(model))
+def word_emissions(bundles: DataFrame, model: dict) -> DataFrame:
+    """(word, n, s0, s1, ...) of every word of the training texts: its tokens, and its expected tokens in each state."""
+    shared = bundles.sparkSession.sparkContext.broadcast(_single(model))
     K = model["move"].shape[0]
     names = [f"s{k}" for k in range(K)]
 
-    def counted(own, batch, i, sizes, codes, classes) -> pa.Table:
-        sums = np.zeros((len(classes), K))
-        posteriors(own, own["emit"][classes], codes, sizes, _by_code(sums))
-        sums = np.round(sums / PART) * PART
-        columns = [batch["words"][i].values, np.bincount(codes, minlength=len(classes)), *(sums[:, k] for k in range(K))]
-        return pa.table(dict(zip(["word", "n", *names], columns, strict=True)))
-
     def run(batches):
-        own, held, size = shared.value, [], 0
-
-        def added():
-            total = pa.concat_tables(held).group_by("word").aggregate([(n, "sum") for n in ("n", *names)])
-            yield from total.select(["word", *(f"{n}_sum" for n in ("n", *names))]).rename_columns(["word", "n", *names]).to_batches(1 << 16)
-
+        own = shared.value
         for batch in batches:
-            for i, row in enumerate(unpacked(batch, "sizes", "codes", "classes")):
-                held.append(counted(own, batch, i, *row))
-                size += held[-1].num_rows
-                if size >= BLOCK:
-                    yield from added()
-                    held, size = [], 0
-        if held:
-            yield from added()
-
-    parts = blocks.select("sizes", "codes", "classes", "words").mapInArrow(run, "word string, n long, " + ", ".join(f"{n} double" for n in names))
+            for row, classes, blocks in learned_in(batch):
+                sums, n = np.zeros((len(classes), K)), np.zeros(len(classes), np.int64)
+                for sizes, codes in blocks:
+                    posteriors(own, own["emit"][classes], codes, sizes, _by_code(sums))
+                    n += np.bincount(codes, minlength=len(classes))
+                seen, sums = np.flatnonzero(n), np.round(sums / PART) * PART
+                columns = [batch["words"][row].values.take(pa.array(seen)), n[seen], *(sums[seen, k] for k in range(K))]
+                yield from pa.table(dict(zip(["word", "n", *names], columns, strict=True))).to_batches(1 << 16)
+
+    parts = bundles.select(*TRAINING, "words").mapInArrow(run, "word string, n long, " + ", ".join(f"{n} double" for n in names))
     return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names])
 
 
 def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row; ``training`` marks the rows to learn from."""
     marked = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("learn"))
-    made = packed_blocks(marked, block).withColumn("block", F.monotonically_increasing_id())
-    blocks = materialize(made, "blocks", **{"parquet.block.size": ROW_GROUP})
-    learned = blocks.where("learn")
-    tied = train(learned, class_counts(learned), states, rounds)
-    words = materialize(word_emissions(learned, tied), "emissions")
+    made = bundles_of(marked, block, 4 * block).withColumn("bundle", F.monotonically_increasing_id())
+    bundles = materialize(made, "bundles", **{"parquet.block.size": ROW_GROUP})
+    tied = train(bundles, class_counts(bundles), states, rounds)
+    words = materialize(word_emissions(bundles, tied), "emissions")
 
     names = [f"s{k}" for k in range(states)]
     sums = words.agg(F.count("*"), F.sum("n"), *[F.sum(n) for n in names]).first()
@@ -374,25 +383,33 @@ def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int |
     ])
 
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
-        sizes, codes = next(unpacked(own.to_batches()[0], "sizes", "codes"))
-        count, emission = np.zeros(int(codes.max()) + 1), np.full((int(codes.max()) + 1, len(names)), 0.5 / size)
+        bundle = own.to_batches()[0]
+        blocks, ids = blocks_in(bundle, 0), bundle["ids"][0].values
+        known_words = 1 + max(int(codes.max()) for _, _, codes in blocks)
+        count, emission = np.zeros(known_words), np.full((known_words, len(names)), 0.5 / size)
         if known.num_rows:
             at = known["at"].to_numpy()
             count[at] = known["n"].to_numpy()
             seen = np.stack([known[n].to_numpy() for n in names], axis=1).astype(float)
             emission[at] += seen / np.where(share > 0, share, 1.0) / size
-        active, starts_at = layout(sizes)
-        text = np.arange(len(codes)) - np.repeat(starts_at[:-1], active)
-        columns = {
-            "doc_id": own["ids"].combine_chunks().flatten(),
-            "n_tokens": pa.array(sizes, pa.int64()),
-            "n_known": np.bincount(text, count[codes] > 0, len(sizes)).astype(np.int64),
-            "train_tokens": np.full(len(sizes), total, np.int64),
-            "base_score": np.bincount(text, np.log10((count + 0.5) / size)[codes], len(sizes)),
-            "score": forward(model.value, emission, codes, sizes),
-        }
-        return pa.table(columns)
-
-    used = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(words, "word").select("of", "at", "n", *[F.col(n).cast("float") for n in names])
-    packed = blocks.select("block", "ids", "sizes", "codes")
-    return packed.groupBy("block").cogroup(used.groupBy("of")).applyInArrow(run, out)
+        base = np.log10((count + 0.5) / size)
+
+        def scored(i: int) -> pa.Table:
+            _, sizes, codes = blocks[i]
+            active, starts_at = layout(sizes)
+            text = np.arange(len(codes)) - np.repeat(starts_at[:-1], active)
+            return pa.table({
+                "doc_id": ids[i].values,
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": np.bincount(text, count[codes] > 0, len(sizes)).astype(np.int64),
+                "train_tokens": np.full(len(sizes), total, np.int64),
+                "base_score": np.bincount(text, base[codes], len(sizes)),
+                "score": forward(model.value, emission, codes, sizes),
+            })
+
+        return pa.concat_tables([scored(i) for i in range(len(blocks))])
+
+    used = bundles.select(F.col("bundle").alias("of"), F.posexplode("words").alias("at", "word")).join(words, "word")
+    used = used.select("of", "at", "n", *[F.col(n).cast("float") for n in names])
+    packed = bundles.select("bundle", "learn", "ids", "sizes", "codes")
+    return packed.groupBy("bundle").cogroup(used.groupBy("of")).applyInArrow(run, out)

@@ -10,9 +10,9 @@ first m - ceil(0.8 m) + 1 of the other, and at the first shared one enough must
 common shingles last; which ones it takes as common (counted over a sixteenth of the texts) changes the cost, not the
 links. Candidates are verified in steps, so that many copies of one text don't give all their pairs: first a few
 for each shingle of the index (each member with the first one and with the next one), then one of each component
-with one of the next ``OTHERS`` components of the shingle, then ``OTHERS`` pairs of each two components, and at last
-all that are still in different components and share enough of the index. Before texts are compared, counts of shingles
-by bucket rule out pairs that cannot share enough.
+with one of the next ``OTHERS`` components of the shingle, then a few pairs of each two components (twice), and at last
+all that are still in different components. Before texts are compared, counts of shingles by bucket rule out pairs
+that cannot share enough.
 
 Null and empty texts are one class. Repeated rows are copies. Rows with the same doc_id and unlike texts all stay, and
 those without a doc_id are judged by their text like any other. No rows give no rows. Columns beyond doc_id and text
@@ -42,12 +42,12 @@ COMMON, COMMON_SEEN, SAMPLED = 1 << 18, 2, 16
 #: In the middle steps a component is compared with so many others of the shingle, and two components by so many pairs.
 OTHERS = 4
 FLUSH = 1 << 22
-#: Counts of shingles by so many buckets tell what a pair can share at most.
-BUCKETS = 256
+#: Counts of shingles by so many buckets tell what a pair can share at most; the index has a small form of them.
+BUCKETS, MARKS = 256, 64
 
 OUT = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()),
+    T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()), T.StructField("marks", T.BinaryType()),
 ])
 
 
@@ -110,7 +110,7 @@ def _groups(fn: Callable[[dict[str, np.ndarray], np.ndarray], tuple]) -> Callabl
             cols = {c: table[c].to_numpy() for c in table.column_names}
             key = cols["shingle"]
             names, arrays = fn(cols, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))))
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()) if a.dtype == object else pa.array(a) for a in arrays], names=names)
 
         for batch in batches:
             key = batch["shingle"].to_numpy()
@@ -139,8 +139,8 @@ def _shared(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
     first, after = np.repeat(starts, sizes), np.minimum(own + 1, np.repeat(starts + sizes, sizes) - 1)
     keep = np.repeat(sizes > 1, sizes)
     mates = [ids[np.where(possible(n, at, n[to], at[to]), to, own)] for to in (first, after)]
-    names = ["shingle", "id", "n", "at", "first", "after"]
-    return names, [*(cols[c][keep] for c in names[:4]), *(m[keep] for m in mates)]
+    names = ["shingle", "id", "n", "at", "marks", "first", "after"]
+    return names, [*(cols[c][keep] for c in names[:5]), *(m[keep] for m in mates)]
 
 
 def _beside(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
@@ -148,21 +148,21 @@ def _beside(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
     group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(cols["id"])]))))
     _, one = np.unique(np.stack((group, cols["root"])), axis=1, return_index=True)
     one = np.sort(one)
-    group, ids, n, at = group[one], *(cols[c][one] for c in ("id", "n", "at"))
+    group, ids, n, at, counts = group[one], *(cols[c][one] for c in ("id", "n", "at")), read_marks(cols["marks"][one])
     left, right = [], []
     for d in range(1, OTHERS + 1):
-        can = (group[d:] == group[:-d]) & possible(n[d:], at[d:], n[:-d], at[:-d])
-        left.append(np.minimum(ids[d:][can], ids[:-d][can]))
-        right.append(np.maximum(ids[d:][can], ids[:-d][can]))
+        x = np.flatnonzero((group[d:] == group[:-d]) & possible(n[d:], at[d:], n[:-d], at[:-d]))
+        x = x[can_by_marks(counts, n, x, x + d)]
+        left.append(np.minimum(ids[x], ids[x + d]))
+        right.append(np.maximum(ids[x], ids[x + d]))
     pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
-    none = np.zeros_like(pairs[0])
-    return ["a", "b", "n", "m"], [pairs[0], pairs[1], none, none]
+    return ["a", "b"], [pairs[0], pairs[1]]
 
 
-def _few_of_each(x: np.ndarray, y: np.ndarray, root: np.ndarray, most: int) -> np.ndarray:
+def _few_of_each(x: np.ndarray, y: np.ndarray, root: np.ndarray, most: int, salt: int) -> np.ndarray:
     """Which of the pairs (x, y) stay if each two components keep so many, scattered among them."""
     low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-    scattered = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    scattered = np.random.default_rng(salt).permutation(len(x))
     order = np.lexsort((scattered, high, low))
     new = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -170,14 +170,14 @@ def _few_of_each(x: np.ndarray, y: np.ndarray, root: np.ndarray, most: int) -> n
 
 
 def _across(most: int | None, block: int = 2048) -> Callable:
-    """Pairs of a shingle whose classes are in different components: of each two components of a block only so many
-    that can still have the Jaccard, or, with None, all of a fitting size."""
+    """Pairs of a shingle whose classes are in different components and can still have the Jaccard: of each two components
+    of a block only so many, or, with None, all."""
 
     def run(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
-        ids, root, n = cols["id"], cols["root"], cols["n"]
-        at = cols["at"] if most else np.zeros_like(n)
+        ids, root, n, at = cols["id"], cols["root"], cols["n"], cols["at"]
+        counts = read_marks(cols["marks"])
         ends = np.concatenate((starts[1:], [len(ids)]))
-        left, right = [starts[:0]], [starts[:0]]
+        left, right = [ids[:0]], [ids[:0]]
         for s, e in zip(starts, ends, strict=True):
             for i in range(s, e, block):
                 a = slice(i, min(i + block, e))
@@ -188,29 +188,19 @@ def _across(most: int | None, block: int = 2048) -> Callable:
                     x, y = x + i, y + j
                     once = x < y
                     x, y = x[once], y[once]
+                    can = can_by_marks(counts, n, x, y)
+                    x, y = x[can], y[can]
                     if most and len(x) > most:
-                        few = _few_of_each(x, y, root, most)
+                        few = _few_of_each(x, y, root, most, most + len(x))
                         x, y = x[few], y[few]
-                    left.append(x)
-                    right.append(y)
-        x, y = np.concatenate(left), np.concatenate(right)
-        low = ids[x] < ids[y]
-        x, y = np.where(low, x, y), np.where(low, y, x)
-        return ["a", "b", "n", "m"], [ids[x], ids[y], n[x], n[y]]
+                    left.append(np.minimum(ids[x], ids[y]))
+                    right.append(np.maximum(ids[x], ids[y]))
+        pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
+        return ["a", "b"], [pairs[0], pairs[1]]
 
     return run
 
 
-def enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``pairs`` (a, b, n, m), a row for each shingle of the index that both have, that can have the Jaccard.
-
-    What two sets share besides is beyond the index of one of them, which holds all but ceil(0.8 n) - 1 of a set.
-    """
-    needed = F.ceil(F.lit(NEAR) * (F.col("n") + F.col("m")) / F.lit(NEAR + NEAR_OF))
-    beyond = F.ceil(F.lit(NEAR) * F.greatest("n", "m") / F.lit(NEAR_OF)) - 1
-    return pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both")).where(F.col("both") >= needed - beyond).select("a", "b")
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose ``texts`` (id, text) have the Jaccard."""
 
@@ -234,6 +224,24 @@ def signature(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount(own & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
+def marks(own: np.ndarray) -> bytes:
+    """The same for ``MARKS`` buckets, up to 15 in each."""
+    counts = np.minimum(np.bincount((own >> 8) & (MARKS - 1), minlength=MARKS), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def read_marks(column: np.ndarray) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, MARKS // 2)
+    return np.stack((raw & 15, raw >> 4), axis=2).reshape(-1, MARKS)
+
+
+def can_by_marks(counts: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Which of the pairs (x, y) of rows can have the Jaccard by their marks."""
+    parts = [slice(i, i + step) for i in range(0, len(x), step)]
+    made = [near(most_shared(counts[x[p]], counts[y[p]], n[x[p]], n[y[p]]), n[x[p]], n[y[p]]) for p in parts]
+    return np.concatenate(made) if made else np.zeros(0, bool)
+
+
 def most_shared(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """No two sets with these signatures (a row a pair) and sizes share more shingles than this."""
     beyond = np.minimum(n - left.sum(1, dtype=np.int64), m - right.sum(1, dtype=np.int64))  # in buckets of 255 and more
@@ -272,7 +280,7 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         for text in batch:
             hashes = simhash.shingle_hashes(text, SHINGLE)
             own = shingle_set(hashes)
-            made = xxhash.xxh3_128_hexdigest(own.tobytes()), simhash.fingerprint_of(hashes), len(own), prefix_of(own, common.value), signature(own)
+            made = xxhash.xxh3_128_hexdigest(own.tobytes()), simhash.fingerprint_of(hashes), len(own), prefix_of(own, common.value), signature(own), marks(own)
             for column, value in zip(out, made, strict=True):
                 column.append(value)
         return out
@@ -280,9 +288,9 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(map_texts(texts, "text", fn, OUT, ("row",)), "sets")
     classes = materialize(rows.groupBy("key").agg(F.min("row").alias("id")), "classes")
     owners = rows.join(classes.select(F.col("id").alias("row")), "row", "left_semi")
-    index = owners.select(F.col("row").alias("id"), "n", F.posexplode("prefix").alias("at", "shingle"))
-    index = index.select("shingle", "id", "n", F.col("at").cast("long").alias("at")).repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-    shared = materialize(index.mapInArrow(_groups(_shared), "shingle long, id long, n long, at long, first long, after long"), "shared")
+    index = owners.select(F.col("row").alias("id"), "n", "marks", F.posexplode("prefix").alias("at", "shingle"))
+    index = index.select("shingle", "id", "n", F.col("at").cast("long").alias("at"), "marks").repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+    shared = materialize(index.mapInArrow(_groups(_shared), "shingle long, id long, n long, at long, marks binary, first long, after long"), "shared")
 
     prints = materialize(owners.select(F.col("row").alias("id"), "fp").groupBy("fp").agg(F.min("id").alias("id")), "prints")
     ends = simhash.fingerprint_links(prints.select("fp"))
@@ -300,12 +308,11 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     seen, links = few, confirmed(few)
     roots = connected_components(links)
-    for step, found in ((_beside, DataFrame.distinct), (_across(OTHERS), DataFrame.distinct), (_across(None), enough)):
+    for step in (_beside, _across(OTHERS), _across(4 * OTHERS), _across(None)):
         labelled = shared.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        labelled = labelled.select("shingle", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+        labelled = labelled.select("shingle", "id", "n", "at", "marks", F.coalesce("root", "id").alias("root"))
         labelled = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-        pairs = found(labelled.mapInArrow(_groups(step), "a long, b long, n long, m long")).select("a", "b")
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = labelled.mapInArrow(_groups(step), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti")
         pairs = materialize(plausible(pairs, signatures), "pairs")
         more = confirmed(pairs)
         seen, links = seen.union(pairs), links.union(more)

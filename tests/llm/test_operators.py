@@ -408,6 +408,8 @@ def test_pipeline_drops_all_near_copies(spark, tmp_path, monkeypatch):
         raw = [np.frombuffer(neardup.signature(x.astype(np.int64)), np.uint8)[None] for x in (a, b)]
         most = neardup.most_shared(*raw, np.array([len(a)]), np.array([len(b)]))[0]
         assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+        counts = neardup.read_marks(np.array([neardup.marks(x.astype(np.int64)) for x in (a, b)], object))
+        assert len(np.intersect1d(a, b)) <= neardup.most_shared(counts[:1], counts[1:], np.array([len(a)]), np.array([len(b)]))[0] <= min(len(a), len(b))
     monkeypatch.setattr(neardup, "COMMON_SEEN", 1)  # another order, the same links
     got = {r.doc_id: r.component_id for r in neardup.near_copies(table).collect()}
     assert got == dict(enumerate(root))
