@@ -44,11 +44,8 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents weigh by their score of the first stage's model, fitted as there."""
-    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = _unused("quality_score", docs.columns)
-    scored = quality.score(docs, model, keep=docs.columns, name=name)
-    return mixing.mix(scored, weight=F.col(name)).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+    """What the mix takes of each document, by DataFrame operations only; documents weigh by the mix's own default."""
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 
 
 STAGES = [
