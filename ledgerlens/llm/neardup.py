@@ -39,10 +39,10 @@ SHINGLE = 5
 NEAR, NEAR_OF = 4, 5
 #: The order of the index knows at most so many shingles as common: those seen so often in one of so many rows.
 COMMON, COMMON_SEEN, SAMPLED = 1 << 18, 2, 16
-#: In the middle steps a component is compared with so many others of the shingle, and two components by so many pairs.
+#: In the middle steps two components of a shingle are compared by so many pairs, then by four times as many.
 OTHERS = 4
 FLUSH = 1 << 22
-#: Counts of shingles by so many buckets tell what a pair can share at most; the index has a small form of them.
+#: Counts of shingles by so many buckets tell what a pair can share at most; the last steps know a small form of them.
 BUCKETS, MARKS = 256, 64
 
 OUT = T.StructType([
@@ -110,7 +110,7 @@ def _groups(fn: Callable[[dict[str, np.ndarray], np.ndarray], tuple]) -> Callabl
             cols = {c: table[c].to_numpy() for c in table.column_names}
             key = cols["shingle"]
             names, arrays = fn(cols, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()) if a.dtype == object else pa.array(a) for a in arrays], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
         for batch in batches:
             key = batch["shingle"].to_numpy()
@@ -139,24 +139,8 @@ def _shared(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
     first, after = np.repeat(starts, sizes), np.minimum(own + 1, np.repeat(starts + sizes, sizes) - 1)
     keep = np.repeat(sizes > 1, sizes)
     mates = [ids[np.where(possible(n, at, n[to], at[to]), to, own)] for to in (first, after)]
-    names = ["shingle", "id", "n", "at", "marks", "first", "after"]
-    return names, [*(cols[c][keep] for c in names[:5]), *(m[keep] for m in mates)]
-
-
-def _beside(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple:
-    """Pairs of the first classes of components that follow each other in a shingle and can still have the Jaccard."""
-    group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(cols["id"])]))))
-    _, one = np.unique(np.stack((group, cols["root"])), axis=1, return_index=True)
-    one = np.sort(one)
-    group, ids, n, at, counts = group[one], *(cols[c][one] for c in ("id", "n", "at")), read_marks(cols["marks"][one])
-    left, right = [], []
-    for d in range(1, OTHERS + 1):
-        x = np.flatnonzero((group[d:] == group[:-d]) & possible(n[d:], at[d:], n[:-d], at[:-d]))
-        x = x[can_by_marks(counts, n, x, x + d)]
-        left.append(np.minimum(ids[x], ids[x + d]))
-        right.append(np.maximum(ids[x], ids[x + d]))
-    pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
-    return ["a", "b"], [pairs[0], pairs[1]]
+    names = ["shingle", "id", "n", "at", "first", "after"]
+    return names, [*(cols[c][keep] for c in names[:4]), *(m[keep] for m in mates)]
 
 
 def _few_of_each(x: np.ndarray, y: np.ndarray, root: np.ndarray, most: int, salt: int) -> np.ndarray:
@@ -288,9 +272,9 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(map_texts(texts, "text", fn, OUT, ("row",)), "sets")
     classes = materialize(rows.groupBy("key").agg(F.min("row").alias("id")), "classes")
     owners = rows.join(classes.select(F.col("id").alias("row")), "row", "left_semi")
-    index = owners.select(F.col("row").alias("id"), "n", "marks", F.posexplode("prefix").alias("at", "shingle"))
-    index = index.select("shingle", "id", "n", F.col("at").cast("long").alias("at"), "marks").repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-    shared = materialize(index.mapInArrow(_groups(_shared), "shingle long, id long, n long, at long, marks binary, first long, after long"), "shared")
+    index = owners.select(F.col("row").alias("id"), "n", F.posexplode("prefix").alias("at", "shingle"))
+    index = index.select("shingle", "id", "n", F.col("at").cast("long").alias("at")).repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+    shared = materialize(index.mapInArrow(_groups(_shared), "shingle long, id long, n long, at long, first long, after long"), "shared")
 
     prints = materialize(owners.select(F.col("row").alias("id"), "fp").groupBy("fp").agg(F.min("id").alias("id")), "prints")
     ends = simhash.fingerprint_links(prints.select("fp"))
@@ -306,10 +290,12 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = materialize(texts.join(own, "row", "left_semi").select(F.col("row").alias("id"), "text"), "texts")
         return materialize(verified(pairs, own), "links")
 
+    marked = shared.select("shingle", "id", "n", "at").join(owners.select(F.col("row").alias("id"), "marks"), "id")
+    marked = materialize(marked, "marked")
     seen, links = few, confirmed(few)
     roots = connected_components(links)
-    for step in (_beside, _across(OTHERS), _across(4 * OTHERS), _across(None)):
-        labelled = shared.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    for step in (_across(OTHERS), _across(4 * OTHERS), _across(None)):
+        labelled = marked.join(roots.withColumnRenamed("node", "id"), "id", "left")
         labelled = labelled.select("shingle", "id", "n", "at", "marks", F.coalesce("root", "id").alias("root"))
         labelled = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
         pairs = labelled.mapInArrow(_groups(step), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti")
