@@ -9,9 +9,8 @@ all shingles, sets of n and m shingles with such a Jaccard share one of the firs
 first m - ceil(0.8 m) + 1 of the other, and at the first shared one enough must be left of both. The order puts
 common shingles last; which ones it takes as common (counted over a sixteenth of the texts) changes the cost, not the
 links. Candidates are verified in steps, so that many copies of one text don't give all their pairs: first a few
-for each shingle of the index (each member with the first one and with the next one), then one of each component
-with one of the next ``OTHERS`` components of the shingle, then a few pairs of each two components (twice), and at last
-all that are still in different components. Before texts are compared, counts of shingles by bucket rule out pairs
+for each shingle of the index (each member with the first one and with the next one), then a few pairs of each two
+components of a shingle (twice), and at last all that are still in different components. Before texts are compared, counts of shingles by bucket rule out pairs
 that cannot share enough.
 
 Null and empty texts are one class. Repeated rows are copies. Rows with the same doc_id and unlike texts all stay, and
