@@ -31,8 +31,9 @@ RANGE_BYTES, RANGES = 32 << 20, (64, 4096)
 
 
 def word_hashes(text: Column) -> Column:
-    between = rf"[\x20\x09-\x0D]+|(?<=[{UNSPACED}])|(?=[{UNSPACED}])"
-    words = F.array_remove(F.split(text, between), "")
+    space = r"[\x20\x09-\x0D]+"
+    letters = F.split(text, rf"{space}|(?<=[{UNSPACED}])|(?=[{UNSPACED}])")
+    words = F.array_remove(F.when(F.rlike(text, F.lit(f"[{UNSPACED}]")), letters).otherwise(F.split(text, space)), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
