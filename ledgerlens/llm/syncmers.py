@@ -11,8 +11,8 @@ all where that is more, so it grows with the text; a text of fewer anchors has t
 similarity of two texts' anchors from the smallest hashes of their union, as many as both sides know; two texts without
 anchors are alike (1), one without is unlike any other (0).
 
-Null texts are empty. Rows with a null doc_id come first in the order; rows that share an id follow each other by text.
-Other columns are not read. No rows give no rows.
+Null texts are empty. Ids may be of any type that has an order. Rows with a null doc_id come first; rows that share an id
+follow each other by a hash of their text, equal rows one after the other. Other columns are not read. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,14 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize, ordered_index
 
 K = 3
 SKETCH, EVERY = 64, 4
 # Scripts that are written without spaces between words, as Unicode names them.
 UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
-#: Texts are dealt by ranges of ids of about so many bytes; at most so many ranges.
-RANGE_BYTES, RANGES = 32 << 20, (64, 4096)
 
 
 def word_hashes(text: Column) -> Column:
@@ -91,46 +89,51 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with struct ``next``: ``columns`` of the next row by doc_id (null first), the first after the last.
+def with_next(docs: DataFrame) -> DataFrame:
+    """Distinct rows (doc_id, text, sketch) with their number of ``copies``, n_chars, and the head and sketch of what is next.
 
-    Rows with equal ids follow each other by text. Ids are cut into ranges at quantiles; the first row of a range is
-    also sent to the range before it, so each range is complete and texts are shuffled once.
+    The order is sought on ids and hashes alone. Texts are then dealt by hash of the row, so no range of ids and no hot
+    id meets in one task; of a next text only the head is sent that the edit takes. The row before the first is the last.
     """
-    order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    size = docs.agg(F.sum(F.octet_length("text")), F.min(order_id), F.count("*")).first()
-    least, most = RANGES
-    n = int(min(most, max(least, (size[0] or 0) // RANGE_BYTES)))
-    cuts = docs.agg(F.percentile_approx(order_id, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted({c for c in cuts if c != size[1]})
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    at = F.size(F.filter(bounds, lambda c: c <= F.col("_id")))
-    copies = F.when(F.col("_id") == F.lit(size[1]), F.array(F.struct(F.col("_at").alias("range"), F.lit(0).alias("copy")),
-                    F.struct(F.lit(len(cuts)).alias("range"), F.lit(2).alias("copy"))))
-    copies = copies.when(F.array_contains(bounds, F.col("_id")), F.array(F.struct(F.col("_at").alias("range"), F.lit(0).alias("copy")),
-                         F.struct((F.col("_at") - 1).alias("range"), F.lit(1).alias("copy"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("_at").alias("range"), F.lit(0).alias("copy"))))
-    dealt = docs.withColumn("_id", order_id).withColumn("_at", at).withColumn("_to", F.explode(copies))
-    order = Window.partitionBy("_to.range").orderBy("_to.copy", "_id", "text")
-    following = F.lead(F.struct(*columns)).over(order)
-    return dealt.withColumn("next", following).where("_to.copy = 0").drop("_id", "_at", "_to")
+    key = {"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64(F.lit(1), "doc_id", "text")}
+    sized = docs.withColumns(key).select("_a", "_b", "doc_id", F.char_length("text").cast("long").alias("n_chars"))
+    groups = sized.groupBy("_a", "_b").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    placed = ordered_index(groups, [F.asc_nulls_first("doc_id"), "_a", "_b"], "_n")
+    n = placed.count()
+    after = placed.select(F.pmod(F.col("_n") - 1, F.lit(max(n, 1))).alias("_n"), F.col("_a").alias("_next_a"), F.col("_b").alias("_next_b"))
+    links = materialize(placed.join(after, "_n").drop("_n"), "following")
+
+    first = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a"))
+    texts = docs.withColumns(key).select("_a", "_b", "text", sketch(F.col("text")).alias("sketch"))
+    texts = texts.withColumn("_first", first).where("_first = 1").drop("_first")
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    heads = texts.select(F.col("_a").alias("_next_a"), F.col("_b").alias("_next_b"), "text", "sketch").join(links, ["_next_a", "_next_b"])
+    heads = heads.select("_a", "_b", "doc_id", "n_chars", "copies", F.struct(F.substring("text", F.lit(1), half).alias("head"), "sketch").alias("next"))
+    return texts.join(heads, ["_a", "_b"]).drop("_a", "_b")
+
+
+def _repeat(rows: DataFrame, times: str) -> DataFrame:
+    """Every row as often as ``times`` says, in two steps, so no array grows with it."""
+    step = 4096
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / step))))
+    left = F.least(F.lit(step).cast("long"), F.col(times) - F.col("_part") * step)
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_part", "_copy", times)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is the start of the next document."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("sketch", sketch(F.col("text")))
-    both = with_next(own, ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    own = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half),
-        F.substring(F.col("next.text"), F.lit(1), half),
-    )
+    itself = F.struct(F.substring("text", F.lit(1), half).alias("head"), F.col("sketch"))
+    last = F.struct(F.lit(1).cast("long").alias("times"), F.col("next"))  # of equal rows, all but one are followed by an equal row
+    others = F.struct((F.col("copies") - 1).alias("times"), itself.alias("next"))
+    both = own.withColumn("_case", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.col("_case.next.head"))
     both = both.withColumn("edited", edited).select(
-        "doc_id", "n_chars", "sketch", F.col("next.sketch").alias("next"), F.sha2("edited", 256).alias("edited_sha256"),
-        sketch(F.col("edited")).alias("changed"),
+        "doc_id", "n_chars", "sketch", F.col("_case.next.sketch").alias("next"), F.sha2("edited", 256).alias("edited_sha256"),
+        sketch(F.col("edited")).alias("changed"), F.col("_case.times").alias("times"),
     )
-    return both.select(
+    both = both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -138,4 +141,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         as_string(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("changed")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next")).alias("near_next"),
+        "times",
     )
+    return _repeat(both, "times")
