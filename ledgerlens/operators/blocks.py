@@ -124,6 +124,11 @@ def gap_fill(statuses: DataFrame) -> DataFrame:
     return steps.withColumn("status", F.get(F.array(*[F.lit(c) for c in COMMITMENTS]), F.col("step")))
 
 
+def at_each_level(sealed: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Sealed blocks, once for each commitment level that their slot has reached (levels below the highest included)."""
+    return sealed.join(gap_fill(statuses), "slot")
+
+
 def lifecycle(statuses: DataFrame) -> DataFrame:
     """Statuses as the state machine takes them: a commitment status with an error is a dead slot."""
     dead = F.col("dead_error").isNotNull() & F.col("status").isin(*COMMITMENTS)
@@ -149,6 +154,11 @@ def tracked(rows: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.join(slots.select("slot").distinct(), "slot", "left_semi")
 
 
+def untracked(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """(slot, dropped): how many rows of each unknown slot ``tracked`` leaves out."""
+    return rows.join(slots.select("slot").distinct(), "slot", "left_anti").groupBy("slot").agg(F.count("*").alias("dropped"))
+
+
 def late(rows: DataFrame, frozen: DataFrame) -> DataFrame:
     """``rows`` (slot, seq) with ``late``: after the seq at which their slot was frozen (slot, frozen_seq)."""
     joined = rows.join(frozen.select("slot", "frozen_seq"), "slot", "left")

@@ -81,6 +81,85 @@ def token_bucket(calls: DataFrame, max_hits: int, window_seconds: int, key: str
     return rows.mapInPandas(fold, f"{key} {kind}, {seq} long, {ts} long, allowed boolean, retry_us long")
 
 
+def limited_calls(calls: DataFrame, key: str = "key", seq: str = "seq", ts: str = "ts_us") -> DataFrame:
+    """``calls`` (key, method, seq, ts in microseconds) with their ``effective_limits`` -> (key, method, seq, allowed).
+
+    Each subscriber, method and limit has a bucket of its own. Calls without a limit (max_hits null) are allowed and not
+    sorted; a limit of 0 always denies. Levels are whole numbers, as in ``token_bucket``.
+    """
+    bucket = [key, "method", "max_hits", "window_seconds"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, level, last = None, 0, 0
+        for batch in batches:
+            allowed = []
+            for *b, t in zip(*[batch[c] for c in bucket], batch[ts], strict=True):
+                window, most = b[3] * 1_000_000, b[2]
+                if b != at:
+                    at, level, last = b, most * window, t
+                level = min(most * window, level + max(0, t - last) * most)
+                last = max(last, t)
+                allowed.append(most > 0 and level >= window)
+                level -= window if allowed[-1] else 0
+            yield pd.DataFrame({key: batch[key], "method": batch["method"], seq: batch[seq], "allowed": allowed})
+
+    rows = calls.select(*bucket, seq, ts)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    sorted_rows = rows.where("max_hits is not null").fillna("", "method").repartition(*bucket).sortWithinPartitions(*bucket, ts, seq)
+    decided = sorted_rows.mapInPandas(fold, f"{key} {kinds[key]}, method string, {seq} {kinds[seq]}, allowed boolean")
+    return decided.unionByName(rows.where("max_hits is null").fillna("", "method").select(key, "method", seq, F.lit(True).alias("allowed")))
+
+
+def admitted(changes: DataFrame, cap: int, key: str = "key", seq: str = "seq", subscription: str = "subscription") -> DataFrame:
+    """``changes`` (key, seq, subscription, step 1 or -1) -> (key, seq, open, allowed): the cap that refuses.
+
+    An opening is refused while ``cap`` subscriptions of the key are open; one that is open already keeps its place.
+    Closing what isn't open (or was refused) changes nothing. A key is folded in order of seq; its state is at most
+    ``cap`` names.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, names = object(), set()
+        for batch in batches:
+            n_open, allowed = [], []
+            for k, name, step in zip(batch[key], batch[subscription], batch["step"], strict=True):
+                if k != at:
+                    at, names = k, set()
+                fine = step < 0 or name in names or len(names) < cap
+                if step < 0:
+                    names.discard(name)
+                elif fine:
+                    names.add(name)
+                n_open.append(len(names))
+                allowed.append(fine)
+            yield pd.DataFrame({key: batch[key], seq: batch[seq], "open": n_open, "allowed": allowed})
+
+    rows = _in_order(changes.select(key, seq, subscription, "step"), key, [seq])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInPandas(fold, f"{key} {kinds[key]}, {seq} {kinds[seq]}, open long, allowed boolean")
+
+
+def billing_batches(lines: DataFrame, limit: int = BILLING_BATCH_BYTES) -> DataFrame:
+    """Lines (value) joined by line feeds to bodies; one is closed by the line that brings it to ``limit`` bytes, the last of
+    each partition when its lines end. No order and no shuffle is needed."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            bodies = []
+            for line in batch["value"]:
+                held.append(line)
+                size += len(line.encode()) + 1
+                if size >= limit:
+                    bodies.append(("\n".join(held) + "\n", len(held), size))
+                    held, size = [], 0
+            yield pd.DataFrame(bodies, columns=["body", "n_lines", "bytes"])
+        if held:
+            yield pd.DataFrame([("\n".join(held) + "\n", len(held), size)], columns=["body", "n_lines", "bytes"])
+
+    return lines.where("value is not null").select("value").mapInPandas(fold, "body string, n_lines long, bytes long")
+
+
 def bandwidth_reports(rows: DataFrame, threshold: int = REPORT_BYTES, key: str = "key", seq: str = "seq", size: str = "size") -> DataFrame:
     """(key, seq, reported): bytes so far are reported, and counted anew, at each row that brings them to the threshold;
     what is left at a key's last row is reported there."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.blocks import rank
-from ledgerlens.plans.request import RESERVED_NAME, RequestError
+from ledgerlens.plans.request import RESERVED_NAME, EmptyFilter, Request, RequestError
 from ledgerlens.schema import COMMITMENTS
 
 # The order of delivery within a slot; how many blockhashes stay valid, and how many more are kept.
@@ -113,6 +114,13 @@ def remembered_slots(updates: DataFrame, keep: int = KEPT_SLOTS) -> DataFrame:
     return seen.orderBy(F.desc("first_seen")).limit(keep)
 
 
+def first_of_remembered(updates: DataFrame, keep: int = KEPT_SLOTS, key: str = "key") -> DataFrame:
+    """``first_after_rollbacks``, of the slots that a client still knows and since their last bank: its memory at the end."""
+    known = remembered_slots(updates, keep).select("slot", "first_seen")
+    firsts = first_after_rollbacks(updates, key)
+    return firsts.join(known, "slot").where(F.col("seq") >= F.col("first_seen")).drop("first_seen")
+
+
 def quarantine(updates: DataFrame, reconnects: Sequence[int] = ()) -> DataFrame:
     """Updates (seq, slot, kind, blockhash) with a verdict of the reconnecting client.
 
@@ -140,10 +148,36 @@ def quarantine(updates: DataFrame, reconnects: Sequence[int] = ()) -> DataFrame:
     return seen.withColumn("verdict", verdict).drop("_before", "_after", "_first")
 
 
-def resume_slot(updates: DataFrame) -> DataFrame:
-    """Where a client resumes: some slots before its last block meta."""
+def resume_slot(updates: DataFrame, first_available: int | None = None) -> DataFrame:
+    """Where a client resumes: some slots before its last block meta; null (from the newest) where the server, whose oldest
+    slot is ``first_available``, has that no more."""
     meta = updates.where(F.col("kind") == "block_meta")
-    return meta.agg((F.max_by("slot", "seq") - CHECKPOINT_BACK).alias("from_slot"))
+    found = meta.agg((F.max_by("slot", "seq") - CHECKPOINT_BACK).alias("from_slot"))
+    if first_available is None:
+        return found
+    return found.select(F.when(F.col("from_slot") >= first_available, F.col("from_slot")).alias("from_slot"))
+
+
+def after_reconnect(updates: DataFrame, lost: int, policy: str = "recover", first_available: int | None = None) -> DataFrame:
+    """What a client is sent that lost its connection after seq ``lost``.
+
+    ``skip``: only what is new. ``recover``: first all since its checkpoint once more (``replayed`` true); nothing of it
+    where the server has the checkpoint's slot no more, or no block meta had come.
+    """
+    if policy not in ("skip", "recover"):
+        raise ValueError(f"unknown policy {policy!r}: skip or recover")
+    sent = updates.withColumn("replayed", F.col("seq") <= lost)
+    if policy == "skip":
+        return sent.where(~F.col("replayed"))
+    start = resume_slot(updates.where(F.col("seq") <= lost), first_available).first()[0]
+    return sent.where(~F.col("replayed") | (F.col("slot") >= F.lit(start).cast("long")))
+
+
+def with_internal(request: Request) -> Request:
+    """The request with the client's own block meta filter, by which it keeps its checkpoint; not needed where it has one."""
+    return request if request.blocks_meta else replace(request, blocks_meta={RESERVED_NAME: EmptyFilter()})
+
+
 
 
 def strip_internal(updates: DataFrame) -> DataFrame:

@@ -457,6 +457,21 @@ def commitment_progression(v: Views) -> DataFrame:
     return blocks.progression(v.slot_statuses()).withColumn("levels", F.array_join("levels", ","))
 
 
+@query("SELECT slot, block_height, ['processed', 'confirmed', 'finalized'][r + 1] AS status FROM (SELECT slot, unnest(range(0, max(rank) + 1)) AS r FROM st GROUP BY slot) q JOIN meta USING (slot)")
+def block_at_each_level(v: Views) -> DataFrame:
+    return blocks.at_each_level(v.block_meta(), v.slot_statuses()).select("slot", "block_height", "status")
+
+
+@query("SELECT slot, signature FROM tx WHERE slot IN (SELECT slot FROM entry)")
+def tracked_slots(v: Views) -> DataFrame:
+    return blocks.tracked(v.transactions(), v.entries()).select("slot", "signature")
+
+
+@query("SELECT slot, count(*) AS dropped FROM tx WHERE slot NOT IN (SELECT slot FROM entry) GROUP BY slot")
+def untracked_slots(v: Views) -> DataFrame:
+    return blocks.untracked(v.transactions(), v.entries())
+
+
 @query("RECURSIVE WITH f AS (SELECT slot FROM meta WHERE block_height IN (40, 200, 1000)), anc AS (SELECT slot FROM f UNION SELECT m.parent_slot FROM meta m JOIN anc a ON m.slot = a.slot WHERE m.parent_slot IN (SELECT slot FROM meta)) SELECT slot FROM anc")
 def ancestors_finalized(v: Views) -> DataFrame:
     meta = v.block_meta()
@@ -581,6 +596,15 @@ def dedup_retention(v: Views) -> DataFrame:
     return replay.remembered_slots(_with_banks(v), 20)
 
 
+@query("""WITH k AS (SELECT seq, slot, CASE kind WHEN 'slot' THEN concat('slot|', replace(status, 'finalized', 'created_bank')) WHEN 'block_meta' THEN concat('block_meta|', blockhash)
+  ELSE concat('account|', CAST(pubkey AS VARCHAR), '|-') END AS key, count(*) FILTER (WHERE kind = 'slot' AND status = 'finalized') OVER (PARTITION BY slot ORDER BY seq) AS epoch FROM upd),
+  r AS (SELECT slot, coalesce(max(seq) FILTER (WHERE kind = 'slot' AND status = 'finalized'), min(seq)) AS first_seen FROM upd GROUP BY slot ORDER BY first_seen DESC LIMIT 20)
+SELECT k.slot, epoch, key, min(seq) AS seq FROM k JOIN r ON k.slot = r.slot AND k.seq >= r.first_seen GROUP BY k.slot, epoch, key""")
+def dedup_of_remembered(v: Views) -> DataFrame:
+    """The memory of a client that knows 20 slots: the limit is the feature."""
+    return replay.first_of_remembered(_with_banks(v).withColumn("key", replay.dedup_key()), 20)
+
+
 @query("SELECT slot, blockhash FROM meta WHERE slot >= (SELECT arg_max(slot, seq) FROM ev_status WHERE status = 'finalized') - 332")
 def lookup_hashes_kept(v: Views) -> DataFrame:
     slot = replay.latest_slot(v.status_events(), "finalized").first()[0]
@@ -592,6 +616,28 @@ def resume_slot(v: Views) -> DataFrame:
     return replay.resume_slot(v.updates())
 
 
+@query("SELECT CAST(NULL AS BIGINT) AS from_slot FROM upd WHERE kind = 'block_meta' HAVING arg_max(slot, seq) - 2 < (SELECT max(slot) FROM upd) + 1")
+def resume_slot_out_of_range(v: Views) -> DataFrame:
+    newest = v.updates().agg(F.max("slot")).first()[0]
+    return replay.resume_slot(v.updates(), (newest or 0) + 1)
+
+
+_LOST = "(SELECT max(seq) * 9 // 10 FROM upd)"
+
+
+@query(f"""SELECT seq, slot, kind, seq <= {_LOST} AS replayed FROM upd WHERE seq > {_LOST}
+  OR slot >= (SELECT arg_max(slot, seq) - 2 FROM upd WHERE kind = 'block_meta' AND seq <= {_LOST})""")
+def reconnect_recovers(v: Views) -> DataFrame:
+    lost = v.updates().agg(F.max("seq")).first()[0] * 9 // 10
+    return replay.after_reconnect(v.updates(), lost).select("seq", "slot", "kind", "replayed")
+
+
+@query(f"SELECT seq, slot, kind, false AS replayed FROM upd WHERE seq > {_LOST}")
+def reconnect_skips(v: Views) -> DataFrame:
+    lost = v.updates().agg(F.max("seq")).first()[0] * 9 // 10
+    return replay.after_reconnect(v.updates(), lost, "skip").select("seq", "slot", "kind", "replayed")
+
+
 @query("SELECT slot, pubkey, write_version, 'mine' AS filters FROM acc WHERE pubkey < 20")
 def internal_filter_stripped(v: Views) -> DataFrame:
     rows = v.account_updates().withColumn("filters", F.array_compact(F.array(F.lit(replay.RESERVED_NAME), F.when(F.col("pubkey") < 20, "mine"))))
@@ -658,6 +704,23 @@ def method_limits(v: Views) -> DataFrame:
     return metering.effective_limits(calls, plans).select("event_id", "max_hits")
 
 
+@query("""RECURSIVE WITH p(plan, method, max_hits, win) AS (VALUES ('a', 'view', 2, 86400), ('a', NULL, 1, 172800), ('b', 'click', -1, 10)),
+  e AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS plan FROM events),
+  x AS (SELECT e.user_id AS key, e.event_type AS method, e.event_id AS seq, epoch_us(e.ts) AS ts_us, CAST(coalesce(o.max_hits, g.max_hits, 1000) AS BIGINT) AS m, coalesce(o.win, g.win, 10) * CAST(1000000 AS BIGINT) AS w
+    FROM e LEFT JOIN p o ON e.plan = o.plan AND e.event_type = o.method LEFT JOIN p g ON e.plan = g.plan AND g.method IS NULL),
+  c AS (SELECT *, row_number() OVER (PARTITION BY key, method ORDER BY ts_us, seq) AS i FROM x WHERE m >= 0), b AS (
+  SELECT key, method, seq, ts_us, i, m * w AS have, true AS allowed FROM c WHERE i = 1
+  UNION ALL SELECT c.key, c.method, c.seq, c.ts_us, c.i, y.have, y.have >= c.w FROM b JOIN c ON c.key = b.key AND c.method = b.method AND c.i = b.i + 1,
+  LATERAL (SELECT least(c.m * c.w, b.have - CASE WHEN b.allowed THEN c.w ELSE 0 END + (c.ts_us - b.ts_us) * c.m) AS have) y)
+SELECT key, method, seq, allowed FROM b UNION ALL SELECT key, method, seq, true FROM x WHERE m < 0""")
+def method_limit_decisions(v: Views) -> DataFrame:
+    plans = v.spark.createDataFrame([("a", "view", 2, 86400), ("a", None, 1, 172800), ("b", "click", -1, 10)], "plan string, method string, max_hits long, window_seconds long")
+    plan = F.when(F.col("user_id") % 3 == 0, "a").when(F.col("user_id") % 3 == 1, "b").otherwise("c")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    calls = v.table("events").select(F.col("user_id").alias("key"), F.col("event_type").alias("method"), F.col("event_id").alias("seq"), micros.alias("ts_us"), plan.alias("plan"))
+    return metering.limited_calls(metering.effective_limits(calls, plans))
+
+
 @query("""WITH s AS (SELECT user_id AS key, epoch_us(ts) AS t, 1 AS step FROM events UNION ALL SELECT user_id, epoch_us(ts) + 7200000000, -1 FROM events)
 SELECT key, CAST(max(o) AS BIGINT) AS most_open, max(o) > 3 AS over FROM (SELECT key, sum(step) OVER (PARTITION BY key ORDER BY t, step ROWS UNBOUNDED PRECEDING) AS o FROM s) q GROUP BY key""")
 def connection_cap(v: Views) -> DataFrame:
@@ -672,6 +735,18 @@ def subscription_cap(v: Views) -> DataFrame:
     return metering.subscriptions(v.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), step.alias("step")), 3).drop("step")
 
 
+@query("""RECURSIVE WITH c AS (SELECT user_id AS key, event_id AS seq, event_id % 7 AS s, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS step,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), b AS (
+  SELECT key, seq, i, CASE WHEN step > 0 THEN [s] ELSE CAST([] AS BIGINT[]) END AS names, true AS allowed FROM c WHERE i = 1
+  UNION ALL SELECT c.key, c.seq, c.i, CASE WHEN c.step < 0 THEN list_filter(b.names, lambda x: x <> c.s) WHEN list_contains(b.names, c.s) OR len(b.names) >= 3 THEN b.names ELSE list_append(b.names, c.s) END,
+  c.step < 0 OR list_contains(b.names, c.s) OR len(b.names) < 3 FROM b JOIN c ON c.key = b.key AND c.i = b.i + 1)
+SELECT key, seq, len(names) AS open, allowed FROM b""")
+def subscription_cap_refuses(v: Views) -> DataFrame:
+    step = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    changes = v.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("subscription"), step.alias("step"))
+    return metering.admitted(changes, 3)
+
+
 @query("SELECT event_id, 'sub' || CAST(c_custkey % 10 AS VARCHAR) AS subscription_id, c_custkey IS NOT NULL AS allowed FROM events LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 3 <> 0")
 def auth_lookup(v: Views) -> DataFrame:
     customer = v.table("customer").where("c_custkey % 3 <> 0")
@@ -689,3 +764,10 @@ def filter_complexity(v: Views) -> DataFrame:
     asked = Request(accounts=FEW, transactions={"t": TransactionFilter(account_include=("a", "b", "a"))})
     found = complexity(v.spark, asked).groupBy("kind").agg(F.count("*").alias("filters"), F.sum("n_keys").alias("n_keys"), F.sum("n_state").alias("n_state"))
     return found
+
+
+@query("SELECT 'blocks' AS kind, 'b' AS name, CAST(2 AS BIGINT) AS n_keys UNION ALL SELECT 'deshred_transactions', 'd', 4 UNION ALL SELECT 'entries', 'e', 0")
+def filter_complexity_by_name(v: Views) -> DataFrame:
+    asked = Request(blocks={"b": BlockFilter(account_include=("a", "b", "a"))}, entries={"e": EmptyFilter()},
+                    deshred_transactions={"d": DeshredFilter(account_include=("a", "b"), account_exclude=("c",), account_required=("a",))})
+    return complexity(v.spark, asked).select("kind", "name", "n_keys")

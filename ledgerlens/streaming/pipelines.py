@@ -12,6 +12,10 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from ledgerlens.operators import accounts
 from ledgerlens.plans.request import AccountFilter
 
+#: After so many milliseconds without an update the state of a slot or a key is dropped.
+KEEP_MS = 3_600_000
+#: Calls of a key that hasn't called for so long find a full bucket.
+IDLE_MS = 300_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,14 +37,27 @@ def with_block_time(statuses: DataFrame, meta: DataFrame, delay: str = "10 minut
     return left.join(right, (left.slot == right.slot) & near).drop(right.slot)
 
 
+def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, out: str) -> DataFrame:
+    """Rows by ``key`` through a processor whose state lapses in processing time.
+
+    Spark then goes on with empty micro-batches; a query with ``availableNow`` ends only if
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
+    """
+    return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+
+
 class SlotSealer(StatefulProcessor):
     """Counts a slot's transactions and entries until its meta is there and both counts are reached; seals once.
 
-    Data after the seal is counted as late. State is three numbers a slot, so slots may have any number of rows.
+    Data after the seal is counted as late. State is five values a slot, so slots may have any number of rows; it lapses
+    ``keep_ms`` after the slot's last row.
     """
 
+    def __init__(self, keep_ms: int = KEEP_MS):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("slot", "n_tx long, n_entries long, want_tx long, want_entries long, sealed boolean")
+        self.state = handle.getValueState("slot", "n_tx long, n_entries long, want_tx long, want_entries long, sealed boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         n_tx, n_entries, want_tx, want_entries, sealed = self.state.get() if self.state.exists() else (0, 0, None, None, False)
@@ -61,21 +78,26 @@ class SlotSealer(StatefulProcessor):
         pass
 
 
-def seal_slots(stream: DataFrame) -> DataFrame:
+def seal_slots(stream: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
     """``stream`` (slot, kind, want_tx, want_entries) -> a row when a slot is sealed, and for late data."""
     out = "slot long, sealed boolean, n_tx long, n_entries long, late long"
-    return stream.groupBy("slot").transformWithStateInPandas(SlotSealer(), outputStructType=out, outputMode="Append", timeMode="None")
+    return _stateful(stream, "slot", SlotSealer(keep_ms), out)
 
 
 class Quarantine(StatefulProcessor):
     """The reconnecting client: payload of a sealed slot is held until a block meta of the slot comes again.
 
-    Held rows are a list state of their own and go out or away by the piece.
+    Held rows are a list state of their own. A row of kind ``reconnect`` seals the slot without a hash if it isn't sealed
+    yet; one of kind ``created_bank`` passes and starts the slot anew: its seal and what it holds go. State lapses
+    ``keep_ms`` after the slot was last sealed, or rows were held.
     """
 
+    def __init__(self, keep_ms: int = KEEP_MS):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sealed = handle.getValueState("sealed", "blockhash string")
-        self.held = handle.getListState("held", "seq long, kind string")
+        self.sealed = handle.getValueState("sealed", "is_sealed boolean, blockhash string", self.keep_ms)
+        self.held = handle.getListState("held", "seq long, kind string", self.keep_ms)
 
     def _let_go(self) -> list[tuple]:
         rows = list(self.held.get()) if self.held.exists() else []
@@ -83,22 +105,29 @@ class Quarantine(StatefulProcessor):
         return rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        was = own = self.sealed.get()[0] if self.sealed.exists() else None
+        sealed, own = was = self.sealed.get() if self.sealed.exists() else (False, None)
         out, waiting = [], []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if r.kind == "block_meta":
-                same = own == r.blockhash
-                if own is not None:
+            if r.kind == "created_bank":
+                sealed, own = False, None
+                out += [(key[0], *x, "discard") for x in [*self._let_go(), *waiting]]
+                waiting = []
+                out.append((key[0], r.seq, r.kind, "pass"))
+            elif r.kind == "reconnect":
+                sealed = True
+            elif r.kind == "block_meta":
+                same = own is not None and own == r.blockhash
+                if sealed:
                     out += [(key[0], *x, "discard" if same else "flush") for x in [*self._let_go(), *waiting]]
                     waiting = []
                 out.append((key[0], r.seq, r.kind, "discard" if same else "pass"))
-                own = r.blockhash
-            elif r.kind != "slot" and own is not None:
+                sealed, own = True, r.blockhash
+            elif r.kind != "slot" and sealed:
                 waiting.append((r.seq, r.kind))
             else:
                 out.append((key[0], r.seq, r.kind, "pass"))
-        if own != was:
-            self.sealed.update((own,))
+        if (sealed, own) != tuple(was):
+            self.sealed.update((sealed, own))
         if waiting:
             self.held.appendList(waiting)
         yield pd.DataFrame(out, columns=["slot", "seq", "kind", "verdict"])
@@ -107,20 +136,26 @@ class Quarantine(StatefulProcessor):
         pass
 
 
-def quarantine(stream: DataFrame) -> DataFrame:
-    """``stream`` (slot, seq, kind, blockhash) -> verdicts, as they fall; what is still held has none yet."""
+def quarantine(stream: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+    """``stream`` (slot, seq, kind, blockhash) -> verdicts, as they fall; what is still held has none yet.
+
+    A lost connection is one row of kind ``reconnect`` for each slot in flight.
+    """
     out = "slot long, seq long, kind string, verdict string"
-    return stream.groupBy("slot").transformWithStateInPandas(Quarantine(), outputStructType=out, outputMode="Append", timeMode="None")
+    return _stateful(stream, "slot", Quarantine(keep_ms), out)
 
 
 class Bucket(StatefulProcessor):
-    """A token bucket a key, in whole numbers as in the batch form."""
+    """A token bucket a key, in whole numbers as in the batch form; its state lapses ``keep_ms`` after the last call.
+
+    That must not be less than the window, in which an empty bucket fills.
+    """
 
-    def __init__(self, max_hits: int, window_seconds: int):
-        self.max_hits, self.window = max_hits, window_seconds * 1_000_000
+    def __init__(self, max_hits: int, window_seconds: int, keep_ms: int):
+        self.max_hits, self.window, self.keep_ms = max_hits, window_seconds * 1_000_000, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "level long, last long")
+        self.state = handle.getValueState("bucket", "level long, last long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         level, last = self.state.get() if self.state.exists() else (self.max_hits * self.window, None)
@@ -140,10 +175,10 @@ class Bucket(StatefulProcessor):
 
 
 def token_bucket(stream: DataFrame, max_hits: int, window_seconds: int) -> DataFrame:
-    """``stream`` (key, seq, ts_us) -> decisions."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        Bucket(max_hits, window_seconds), outputStructType="key long, seq long, allowed boolean", outputMode="Append", timeMode="None"
-    )
+    """``stream`` (key of any type, seq, ts_us) -> decisions."""
+    keep_ms = max(IDLE_MS, window_seconds * 1000)
+    out = f"key {stream.schema['key'].dataType.simpleString()}, seq long, allowed boolean"
+    return _stateful(stream, "key", Bucket(max_hits, window_seconds, keep_ms), out)
 
 
 def write(stream: DataFrame, path: str, checkpoint: str, form: str = "parquet") -> DataStreamWriter:

@@ -15,6 +15,7 @@ from ledgerlens.functions.bytestrings import data_slices, token_account_state
 from ledgerlens.functions.cuckoo import Cuckoo, KeySet, TableFull
 from ledgerlens.operators import accounts, blocks, metering, replay, transactions
 from ledgerlens.plans.request import (
+    EmptyFilter,
     AccountFilter, BlockFilter, DataSize, KindLimits, Lamports, Limits, Memcmp, Request, RequestError, SlotFilter, TokenAccountState, TransactionFilter, check,
     check_sketch, check_slices, read_int,
 )
@@ -259,6 +260,7 @@ def run_stream(spark, tmp_path, rows: pd.DataFrame, schema: str, plan, pieces: i
     for i in range(pieces):
         spark.createDataFrame(rows.iloc[i * step : (i + 1) * step], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else state that can lapse keeps the query running
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     pipelines.write(plan(stream), f"{tmp_path}/out", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(240)
     return spark.read.parquet(f"{tmp_path}/out").collect()
@@ -289,6 +291,47 @@ def test_stream_quarantine_is_that_of_batch(spark, tmp_path):
     assert sorted((r.slot, r.seq, r.verdict) for r in got) == sorted((r.slot, r.seq, r.verdict) for r in want.collect())
 
 
+def test_stream_quarantine_of_lost_connections_and_banks(spark, tmp_path):
+    rows = [(1, 1, "account", None), (1, 2, "reconnect", None), (1, 3, "account", None), (1, 4, "block_meta", "x"), (1, 5, "account", None),
+            (1, 6, "created_bank", None), (1, 7, "account", None), (1, 8, "block_meta", "x"), (2, 9, "block_meta", "y"), (2, 10, "reconnect", None), (2, 11, "block_meta", "y")]
+    updates = pd.DataFrame(rows, columns=["slot", "seq", "kind", "blockhash"])
+    got = run_stream(spark, tmp_path, updates, "slot long, seq long, kind string, blockhash string", pipelines.quarantine)
+    want = {1: "pass", 3: "flush", 4: "pass", 5: "discard", 6: "pass", 7: "pass", 8: "pass", 9: "pass", 11: "discard"}
+    assert {r.seq: r.verdict for r in got} == want
+
+
+def test_stream_state_lapses(spark, tmp_path):
+    rows = pd.DataFrame([(1, s, "account" if s % 2 else "block_meta", "x") for s in range(6)], columns=["slot", "seq", "kind", "blockhash"])
+    got = run_stream(spark, tmp_path, rows, "slot long, seq long, kind string, blockhash string", lambda s: pipelines.quarantine(s, keep_ms=1), pieces=3)
+    metas = [r.verdict for r in sorted(got, key=lambda r: r.seq) if r.kind == "block_meta"]
+    assert metas == ["pass"] * 3  # each micro-batch comes after the state of the one before has lapsed
+
+
+def test_stream_buckets_of_text_keys(spark, tmp_path):
+    calls = pd.DataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2), ("a", 4, 10_000_000)], columns=["key", "seq", "ts_us"])
+    got = run_stream(spark, tmp_path, calls, "key string, seq long, ts_us long", lambda s: pipelines.token_bucket(s, 1, 10))
+    assert {(r.key, r.seq): r.allowed for r in got} == {("a", 1): True, ("a", 2): False, ("b", 3): True, ("a", 4): True}
+
+
+def test_own_filter_is_added_and_policies(spark):
+    assert replay.with_internal(Request()).blocks_meta.keys() == {replay.RESERVED_NAME}
+    asked = Request(blocks_meta={"mine": EmptyFilter()})
+    assert replay.with_internal(asked) is asked
+    none = spark.createDataFrame([(1, 5, "account"), (2, 6, "account")], "seq long, slot long, kind string")
+    assert [r.seq for r in replay.after_reconnect(none, 1).collect()] == [2]
+    with pytest.raises(ValueError):
+        replay.after_reconnect(none, 1, "other")
+
+
+def test_billing_bodies(spark):
+    lines = spark.createDataFrame([(f"line {i}",) for i in range(100)] + [(None,)], "value string").repartition(3)
+    bodies = metering.billing_batches(lines, 64).collect()
+    assert sorted(x for b in bodies for x in b.body.splitlines()) == sorted(f"line {i}" for i in range(100))
+    assert all(len(b.body) == b.bytes < 64 + 8 and b.body.count("\n") == b.n_lines for b in bodies)
+    assert sum(b.bytes < 64 for b in bodies) <= 3
+    assert metering.billing_batches(lines.limit(0)).count() == 0
+
+
 def test_stream_buckets_are_those_of_batch(spark, tmp_path):
     calls = queries._calls(queries.Views(spark, SF)).orderBy("ts_us", "seq").toPandas()
     got = run_stream(spark, tmp_path, calls, "key long, seq long, ts_us long", lambda s: pipelines.token_bucket(s, 3, 86400))
