@@ -616,10 +616,12 @@ def resume_slot(v: Views) -> DataFrame:
     return replay.resume_slot(v.updates())
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS from_slot FROM upd WHERE kind = 'block_meta' HAVING arg_max(slot, seq) - 2 < (SELECT max(slot) FROM upd) + 1")
+@query("""WITH r AS (SELECT arg_max(slot, seq) - 2 AS back FROM upd WHERE kind = 'block_meta')
+SELECT 'kept' AS server, back AS from_slot FROM r UNION ALL SELECT 'gone', CASE WHEN back >= (SELECT max(slot) FROM upd) + 1 THEN back END FROM r""")
 def resume_slot_out_of_range(v: Views) -> DataFrame:
-    newest = v.updates().agg(F.max("slot")).first()[0]
-    return replay.resume_slot(v.updates(), (newest or 0) + 1)
+    newest = v.updates().agg(F.max("slot")).first()[0] or 0
+    kept, gone = (replay.resume_slot(v.updates(), oldest) for oldest in (0, newest + 1))
+    return kept.select(F.lit("kept").alias("server"), "from_slot").union(gone.select(F.lit("gone"), "from_slot"))
 
 
 _LOST = "(SELECT max(seq) * 9 // 10 FROM upd)"
