@@ -1,17 +1,20 @@
 """License scans, with DataFrame operations only.
 
 Texts and templates are lower-cased; words are runs of letters, digits and non-ASCII characters; a shingle is five
-words (a text of fewer words: all of them). A template of m shingles is sought in text windows of w shingles, w the
-smallest power of two of at least 2 m, that start every w / 2 shingles, so one of them holds any whole copy. Such a window
-has a Jaccard similarity of at least 1/4 x containment to a template it holds. It is retrieved if one of ``BANDS``
-= 24 MinHash bands of one row is equal: at containment 0.8 or more that has a probability of at least
-1 - (1 - 0.2)^24 = 0.995. A match is then verified exactly: at least 0.8 of the template's distinct shingles are in
-the window. Windows without any shingle of any template cannot meet a band and are not hashed.
-
-Everything happens within the row, so nothing is shuffled. Templates go into the plan as literals, ``BLOCK``
-shingles at a time; more of them take more passes.
-
-Null and empty texts have no matches. Templates without words are left out. Repeated rows give repeated results.
+words (a text of fewer words: all of them). A template of m distinct shingles is sought in text windows of w shingles, w
+the smallest power of two of at least 2 m, that start every w / 2 shingles, so one of them holds any whole copy. As
+w < 4 m, a window that holds the share c of a template has a Jaccard similarity to it of at least c / (5 - c).
+It retrieves the template if one of ``BANDS`` = 64 MinHash bands of one row is equal: at c = 0.8 (similarity 0.19) with
+a probability of at least 1 - 0.81^64 = 0.999998. A match is then verified exactly: at least 0.8 of the template's
+distinct shingles are in the window. Windows with fewer shingles of templates than 0.8 of their smallest template
+cannot match and are not hashed.
+
+Everything happens within the row, so nothing is shuffled. Templates are rows (license, text), by default
+``license_texts.TEMPLATES``; their hashes are part of the plan, looked up in a hash set, so the cost of a text without
+license passages doesn't grow with their number. The set must fit in a plan: some hundred license texts, not a corpus.
+
+Null and empty texts have no matches. Templates without words are left out. Repeated rows give repeated results. Other
+columns of the input, whatever their names, are read only if ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -21,27 +24,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let
+from .license_texts import NOTICES, TEMPLATES
+
+__all__ = ["BANDS", "CONTAINMENT", "NOTICES", "SHINGLE", "TEMPLATES", "read_templates", "scan", "window_size"]
 
 SHINGLE = 5
-BANDS = 24
+BANDS = 64
 CONTAINMENT = 0.8
-BLOCK = 4000
-
-# Short notices by which licenses are commonly named in texts.
-NOTICES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-            " documentation files, to deal in the Software without restriction"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-            " the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-)
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -71,42 +61,34 @@ def window_size(n: int) -> int:
     return w
 
 
-def read_templates(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> list[dict]:
-    """Names with distinct shingles and their band values, as the text side computes them."""
-    own = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "id int, name string, text string")
-    own = own.withColumn("shingles", F.array_distinct(shingle_hashes(F.col("text")))).where(F.size("shingles") > 0)
-    own = own.withColumn("bands", min_hashes(F.col("shingles"))).orderBy("id")
-    return [r.asDict() for r in own.select("id", "name", "shingles", "bands").collect()]
-
-
-def _longs(values) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<bigint>")
-
+def read_templates(spark: SparkSession, templates: DataFrame | Sequence[tuple[str, str]]) -> list[dict]:
+    """Licenses with distinct shingles and their band values, as the text side computes them."""
+    if isinstance(templates, DataFrame):
+        templates = [(r.license, r.text) for r in templates.select("license", "text").collect()]
+    own = spark.createDataFrame(sorted({(name, text or "") for name, text in templates}), "license string, text string").coalesce(1)
+    own = own.select("license", F.array_distinct(shingle_hashes(F.col("text"))).alias("shingles"))
+    own = own.select("license", "shingles", min_hashes(F.col("shingles")).alias("bands"))
+    return [{"id": i, **r.asDict()} for i, r in enumerate(r for r in own.collect() if r.shingles)]
 
-def _finder(templates: list[dict]):
-    """Hashes of a text -> array<struct<template, start, size>> of verified windows."""
-    return lambda hashes: _matches(hashes, templates)
 
+def _longs(values) -> str:
+    """SQL of bigint literals; the smallest bigint can't be written as one."""
+    return ", ".join(f"{v}L" if v > -(1 << 63) else "shiftleft(1L, 63)" for v in values)
 
-def _matches(hashes: Column, templates: list[dict]) -> Column:
-    known = _longs(sorted({h for t in templates for h in t["shingles"]}))
-    sizes = sorted({window_size(len(t["shingles"])) for t in templates})
-    by_size = [[t for t in templates if window_size(len(t["shingles"])) == w] for w in sizes]
-    hits = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(known, F.get(hashes, i)))
-    return F.concat(*[_matches_of_size(hashes, hits, w, own) for w, own in zip(sizes, by_size, strict=True)])
 
+def _matches_of_size(hashes: Column, marked: Column, hits: Column, w: int, templates: list[dict]) -> Column:
+    """Verified windows of ``w`` shingles: array<struct<template, start, size>>.
 
-def _matches_of_size(hashes: Column, hits: Column, w: int, templates: list[dict]) -> Column:
-    """Matches in windows of ``w`` shingles; ``hits`` are the places of shingles that any template has."""
-    listed = F.array(*[
-        F.struct(F.lit(t["id"]).alias("id"), _longs(t["shingles"]).alias("shingles"), _longs(t["bands"]).alias("bands"))
-        for t in templates
-    ])
+    ``hits`` are the places of shingles that any template has; ``marked`` has these shingles, null in other places.
+    """
+    rows = ", ".join(f"struct({t['id']} AS id, array({_longs(t['shingles'])}) AS shingles, array({_longs(t['bands'])}) AS bands)" for t in templates)
+    listed = F.expr(f"array({rows})")
     step = w // 2
+    least = CONTAINMENT * min(len(t["shingles"]) for t in templates)
 
     def meets(bands, part):
         return lambda t: (
-            F.exists(F.arrays_zip(t["bands"].alias("a"), bands.alias("b")), lambda z: z["a"] == z["b"])
+            F.arrays_overlap(t["bands"], bands)  # the band's number is part of its hash
             & (F.size(F.array_intersect(t["shingles"], part)) >= F.lit(CONTAINMENT) * F.size(t["shingles"]))
         )
 
@@ -116,27 +98,36 @@ def _matches_of_size(hashes: Column, hits: Column, w: int, templates: list[dict]
         return let(F.slice(hashes, start + 1, w), lambda part: let(min_hashes(F.array_distinct(part)), verified(part)))
 
     own = lambda i: F.array(*[F.greatest(F.floor(i / step) - back, F.lit(0)).cast("int") * step for back in (0, 1)])
-    return F.flatten(F.transform(F.array_distinct(F.flatten(F.transform(hits, own))), in_window))
+    enough = lambda start: F.size(F.array_distinct(F.array_compact(F.slice(marked, start + 1, w)))) >= least
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(hits, own))), enough)
+    return F.flatten(F.transform(starts, in_window))
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with licenses (names, ascending) and matches (template name, start and size in shingles)."""
-    known = read_templates(docs.sparkSession, templates)
-    blocks, size = [[]], 0
-    for t in known:
-        if size + len(t["shingles"]) > BLOCK and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(t)
-        size += len(t["shingles"])
+def _find(known: list[dict]) -> Column:
+    """Verified windows in the column ``_hashes``: array<struct<template, start, size>>."""
+    hashes = F.col("_hashes")
+    all_known = sorted({h for t in known for h in t["shingles"]})
+    sizes = sorted({window_size(len(t["shingles"])) for t in known})
+    by_size = {w: [t for t in known if window_size(len(t["shingles"])) == w] for w in sizes}
     none = F.array().cast("array<struct<template:int,start:int,size:int>>")
-    out = docs.select(*keep, shingle_hashes(F.coalesce("text", F.lit(""))).alias("_hashes"), none.alias("_matches"))
-    for block in blocks if known else []:
-        out = materialize(out, "shingles") if len(blocks) > 1 else out
-        all_known = _longs(sorted({h for t in block for h in t["shingles"]}))
-        own = let(F.col("_hashes"), _finder(block))
-        out = out.withColumn("_matches", F.concat("_matches", F.when(F.arrays_overlap("_hashes", all_known), own).otherwise(none)))
-    names = F.array(*[F.lit(n) for n, _ in templates]) if templates else F.array().cast("array<string>")
-    named = F.transform("_matches", lambda m: F.struct(F.get(names, m["template"]).alias("license"), m["start"].alias("start"), m["size"].alias("size")))
-    out = out.select(*keep, named.alias("matches"))
-    return out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))))
+    marks = F.expr(f"transform(_hashes, h -> CASE WHEN h IN ({_longs(all_known)}) THEN h END)")
+    places = lambda marked: F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: F.get(marked, i).isNotNull())
+    search = lambda marked: lambda hits: F.concat(*[_matches_of_size(hashes, marked, hits, w, own) for w, own in by_size.items()])
+    return let(marks, lambda marked: let(places(marked), lambda hits: F.when(F.size(hits) > 0, search(marked)(hits)).otherwise(none)))
+
+
+def scan(docs: DataFrame, templates: DataFrame | Sequence[tuple[str, str]] = TEMPLATES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with licenses (names, ascending) and matches (license, start and size in shingles).
+
+    ``templates`` are pairs, or a table with the columns license and text.
+    """
+    known = read_templates(docs.sparkSession, templates)
+    kept = [docs[f"`{c}`"].alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    # generators of one row a row: what they make is computed once, however often it is used after
+    hashed = docs.select(*kept, F.inline(F.array(F.struct(shingle_hashes(F.coalesce(docs["text"], F.lit(""))).alias("_hashes")))))
+    matches = _find(known) if known else F.array().cast("array<struct<template:int,start:int,size:int>>")
+    names = F.array(*[F.lit(t["license"]) for t in known]) if known else F.array().cast("array<string>")
+    named = F.transform(matches, lambda m: F.struct(F.get(names, m["template"]).alias("license"), m["start"].alias("start"), m["size"].alias("size")))
+    licenses = lambda m: F.array_sort(F.array_distinct(F.transform(m, lambda x: x["license"])))
+    found = let(named, lambda m: F.struct(m.alias("matches"), licenses(m).alias("licenses")))
+    return hashed.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.inline(F.array(found)))

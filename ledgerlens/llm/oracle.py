@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import CONTAINMENT, NOTICES, SHINGLE
+from .licenses import CONTAINMENT, SHINGLE, TEMPLATES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,7 +134,7 @@ _SHINGLES = f"""
 #: Containment in every window, without retrieval by MinHash bands; so a window that no band meets would differ.
 OP8 = f"""
 WITH notices(id, name, text) AS (
-  VALUES {", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(NOTICES))}
+  VALUES {", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))}
 ), grams AS (
   SELECT DISTINCT id, gram FROM ({_SHINGLES.format(id="id", table="notices")}) t
 ), templates AS (

@@ -502,13 +502,21 @@ def test_licenses(spark, docs, no_docs):
              (5, text(90, 3) + " " + long.replace("software", "thing", 1) + text(30, 5)), (6, (text(7, 1) + " released UNDER the mit-license! ") * 40),
              (7, " ".join(long.split()[::-1])), (8, "Licensed under the Apache License, Version 2.0. " + licenses.NOTICES[2][1])]
     df = spark.createDataFrame(given, "doc_id long, text string").withColumn("licenses", F.lit("clash"))
-    for block in (4000, 10):
-        licenses.BLOCK, was = block, licenses.BLOCK
-        try:
-            got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
-        finally:
-            licenses.BLOCK = was
-        assert got == {i: brute_licenses(t, licenses.NOTICES) for i, t in given}
+    full = dict(licenses.TEMPLATES[-15:])
+    given += [(20 + i, text(33 + i, i) + "\n# " + t.replace(" ", "\n# ", 40) + "\n" + text(70, i + 1)) for i, t in enumerate(full.values())]
+    given += [(60, " ".join(full.values())), (61, full["zlib"][: len(full["zlib"]) // 2]), (62, full["bsd-2-clause"].replace("DAMAGES", "LOSSES"))]
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("licenses", F.lit("clash"))
+    many = [(f"own-{i}", text(5 + 4 * (i % 20), 1000 + i)) for i in range(200)] + [("none", ""), ("null", None)]
+    listed = spark.createDataFrame([*many, *licenses.TEMPLATES], "license string, text string").withColumn("_hits", F.lit(1))
+    given_many = df.union(spark.createDataFrame([(100 + i, text(20, i) + " " + t + " " + t[:60]) for i, (_, t) in enumerate(many[:40])], "doc_id long, text string").withColumn("licenses", F.lit("")))
+    got_many = {r.doc_id: r.licenses for r in licenses.scan(given_many, listed).collect()}
+    assert got_many == {r.doc_id: brute_licenses(r.text, [t for t in [*many, *licenses.TEMPLATES] if t[1]]) for r in given_many.collect()}
+    assert all(f"own-{i}" in got_many[100 + i] for i in range(40))
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert got == {i: brute_licenses(t, licenses.TEMPLATES) for i, t in given}
+    assert all(name in got[20 + i] for i, name in enumerate(full)) and "zlib" not in got[61] and "bsd-2-clause" in got[62]
+    got = {r.doc_id: r.licenses for r in licenses.scan(df, licenses.NOTICES).collect()}
+    assert got == {i: brute_licenses(t, licenses.NOTICES) for i, t in given}
     assert got[0] == ["cc-by-nc-4.0"] and got[6] == ["mit"] and got[8] == ["apache-2.0", "gpl-3.0"] and got[7] == []
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(df, []).select(F.size("licenses")).distinct().collect()[0][0] == 0
 
