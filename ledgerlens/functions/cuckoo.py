@@ -1,7 +1,8 @@
 """A sketch of a key set for requests: 16-bit fingerprints in buckets of four, SipHash-2-4.
 
 The driver builds a sketch (of a key table, tasks build one for each hash bucket); columns are tested by Arrow batch, all keys of a batch at once. A sketch has no false
-negatives, and about one false positive in ten thousand, so results are checked again with an exact semi join.
+negatives, and about one false positive in ten thousand, so results are checked again: with an exact semi join, or by the
+keys themselves where a filter has a ``KeySet``. A filter with a bare sketch, as a client sends it, lets those few pass.
 """
 
 from __future__ import annotations
@@ -153,8 +154,8 @@ class Cuckoo:
         table = np.frombuffer(data[:whole], "<u2").reshape(-1, SLOTS).copy() if whole else np.zeros((1, SLOTS), "<u2")
         return cls(int(wire.get("hash_seed", 0)), table)
 
-    def matches(self, column: Column) -> Column:
-        """BINARY column -> whether the sketch may hold it; null never."""
+    def matches(self, column: Column, exact: frozenset[bytes] | None = None) -> Column:
+        """BINARY column -> whether the sketch may hold it and, if they are given, it is one of the exact keys; null never."""
         wire = self.to_wire()
 
         @F.pandas_udf("boolean")
@@ -163,6 +164,8 @@ class Cuckoo:
             out = pd.Series(False, index=keys.index)
             if known.any():
                 out[known] = Cuckoo.from_wire(wire).contains(bytes(k) for k in keys[known])
+            if exact is not None:
+                out[out] = [bytes(k) in exact for k in keys[out]]
             return out
 
         return F.coalesce(test(column), F.lit(False))
@@ -217,6 +220,10 @@ class KeySet:
         self.dirty = False
         return self.sketch.to_wire()
 
+    def matches(self, column: Column) -> Column:
+        """BINARY column -> whether it is a key: tested with the sketch, what passes is looked up; null never."""
+        return self.sketch.matches(column, frozenset(self.keys))
+
 
 @dataclass
 class BucketSketches:

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.functions import base58
-from ledgerlens.functions.cuckoo import ALGORITHM, FINGERPRINT_BITS, SLOTS, Cuckoo
+from ledgerlens.functions.cuckoo import ALGORITHM, FINGERPRINT_BITS, SLOTS, Cuckoo, KeySet
 from ledgerlens.schema import COMMITMENTS
 
 # Limits of a request's parts.
@@ -66,7 +66,7 @@ class AccountFilter:
     owner: Sequence[Any] = ()
     state: Sequence[StateFilter] = ()
     nonempty_txn_signature: bool | None = None
-    cuckoo: Cuckoo | None = None
+    cuckoo: Cuckoo | KeySet | None = None
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rendering
-from ledgerlens.functions.cuckoo import BucketSketches, Cuckoo, sketch_then_exact
+from ledgerlens.functions.cuckoo import BucketSketches, Cuckoo, KeySet, sketch_then_exact
 from ledgerlens.operators import accounts, blocks, metering, replay, transactions
 from ledgerlens.plans.evaluate import updates
 from ledgerlens.plans.request import (
@@ -259,6 +259,11 @@ def _sketch(*keys: str) -> Cuckoo:
     return Cuckoo.of([k.encode() for k in keys], max(8, len(keys)), 7)
 
 
+def _key_set(*keys: str) -> KeySet:
+    """A sketch with its keys, so that what it lets pass is checked."""
+    return KeySet(max(8, len(keys)), 7, {k.encode() for k in keys})
+
+
 @query("SELECT slot, pubkey, write_version FROM acc WHERE pubkey % 3 = 0 OR pubkey % 3 = 1")
 def account_token_state_of_padded(v: Views) -> DataFrame:
     """Data made as token accounts: initialised (first third), frozen in the longer form (second), without a state (not one)."""
@@ -286,8 +291,9 @@ def tx_cuckoo_include(v: Views) -> DataFrame:
 
 @query("SELECT slot, pubkey, write_version FROM acc WHERE pubkey IN (1, 5, 9, 40) AND owner IN ('click', 'error')")
 def account_cuckoo(v: Views) -> DataFrame:
+    """Keys of a sketch, then the exact check, beside listed ones."""
     rows = v.account_updates().withColumn("pubkey", F.col("pubkey").cast("string"))
-    found = accounts.match(rows, {"f": AccountFilter(account=("40",), owner=("click", "error"), cuckoo=_sketch("1", "5", "9"))})
+    found = accounts.match(rows, {"f": AccountFilter(account=("40",), owner=("click", "error"), cuckoo=_key_set("1", "5", "9"))})
     return found.select("slot", F.col("pubkey").cast("long").alias("pubkey"), "write_version")
 
 

@@ -416,3 +416,24 @@ def test_whole_requests(spark):
         updates(Request(), tables)
     with pytest.raises(RequestError):
         evaluate(Request(entries={"e": EmptyFilter()}, data_slices=[(5, 1), (0, 1)]), tables)
+
+
+def rows_and_sql(spark, folder, name: str, changes: dict[str, dict]) -> tuple[list, list]:
+    """Rows of a query and of its SQL on the small tables with rows added: each table's first row with the given columns."""
+    import duckdb
+
+    from ledgerlens import queries
+
+    c = duckdb.connect()
+    for t in "events orders lineitem".split():
+        own = spark.read.parquet(f"{SF}/{t}.parquet")
+        more = own.limit(1).withColumns({k: F.lit(x).cast(own.schema[k].dataType) for k, x in changes.get(t, {}).items()})
+        own.union(more).write.parquet(f"{folder}/{t}.parquet")
+        c.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    return plain(queries.QUERIES[name](spark, str(folder)).toPandas()), plain(c.sql(queries.ORACLE_SQL[name]).df())
+
+
+def test_account_cuckoo_checks_what_its_sketch_lets_pass(spark, tmp_path):
+    passing = Cuckoo.of([b"1", b"5", b"9"], 8, 7).contains([b"42862"])
+    got, want = rows_and_sql(spark, tmp_path, "account_cuckoo", {"events": {"event_id": 10**6, "user_id": 42862, "event_type": "click"}})
+    assert passing.all() and want and got == want
