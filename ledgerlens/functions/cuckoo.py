@@ -170,14 +170,16 @@ class Cuckoo:
 
         return F.coalesce(test(column), F.lit(False))
 
-    def matches_any(self, column: Column) -> Column:
-        """ARRAY<BINARY> column -> whether the sketch may hold one of its keys; null never."""
+    def matches_any(self, column: Column, exact: frozenset[bytes] | None = None) -> Column:
+        """ARRAY<BINARY> column -> whether ``matches`` holds for one of its keys; null never."""
         wire = self.to_wire()
 
         @F.pandas_udf("boolean")
         def test(lists: pd.Series) -> pd.Series:
             flat = lists.explode().dropna()
             hits = flat[Cuckoo.from_wire(wire).contains(bytes(k) for k in flat)] if len(flat) else flat
+            if exact is not None:
+                hits = hits[[bytes(k) in exact for k in hits]]
             return pd.Series(lists.index.isin(hits.index), index=lists.index)
 
         return F.coalesce(test(column), F.lit(False))
@@ -224,6 +226,10 @@ class KeySet:
         """BINARY column -> whether it is a key: tested with the sketch, what passes is looked up; null never."""
         return self.sketch.matches(column, frozenset(self.keys))
 
+    def matches_any(self, column: Column) -> Column:
+        """ARRAY<BINARY> column -> whether ``matches`` holds for one of its keys; null never."""
+        return self.sketch.matches_any(column, frozenset(self.keys))
+
 
 @dataclass
 class BucketSketches:

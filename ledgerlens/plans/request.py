@@ -101,7 +101,7 @@ class BlockFilter:
     include_transactions: bool = True
     include_accounts: bool = False
     include_entries: bool = False
-    cuckoo_account_include: Cuckoo | None = None
+    cuckoo_account_include: Cuckoo | KeySet | None = None
 
 
 @dataclass(frozen=True)

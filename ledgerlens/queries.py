@@ -300,8 +300,8 @@ def account_cuckoo(v: Views) -> DataFrame:
 @query("""SELECT m.slot, coalesce(t.n, 0) AS n_transactions, coalesce(e.n, 0) AS n_entries FROM meta m
 LEFT JOIN (SELECT slot, count(*) AS n FROM txk WHERE list_has_any(keys, ['P1', 'P2', 'S3', 'S40']) GROUP BY 1) t USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM entry GROUP BY 1) e USING (slot)""")
 def block_cuckoo(v: Views) -> DataFrame:
-    """Children by the keys of a sketch; every block stays."""
-    f = BlockFilter(account_include=("S40",), include_entries=True, cuckoo_account_include=_sketch("P1", "P2", "S3"))
+    """Children by the keys of a sketch and the exact check; every block stays."""
+    f = BlockFilter(account_include=("S40",), include_entries=True, cuckoo_account_include=_key_set("P1", "P2", "S3"))
     no_accounts = v.account_updates().where(F.lit(False))
     found = blocks.match_blocks(v.block_meta(), v.transactions_with_keys(), no_accounts, v.entries(), {"f": f})
     return found.select("slot", "n_transactions", "n_entries")

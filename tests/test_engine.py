@@ -437,3 +437,10 @@ def test_account_cuckoo_checks_what_its_sketch_lets_pass(spark, tmp_path):
     passing = Cuckoo.of([b"1", b"5", b"9"], 8, 7).contains([b"42862"])
     got, want = rows_and_sql(spark, tmp_path, "account_cuckoo", {"events": {"event_id": 10**6, "user_id": 42862, "event_type": "click"}})
     assert passing.all() and want and got == want
+
+
+def test_block_cuckoo_checks_what_its_sketch_lets_pass(spark, tmp_path):
+    passing = Cuckoo.of([b"P1", b"P2", b"S3"], 8, 7).contains([b"P30637"])
+    more = {"orders": {"o_orderkey": 10**6}, "lineitem": {"l_orderkey": 10**6, "l_partkey": 30637, "l_suppkey": 9}}
+    got, want = rows_and_sql(spark, tmp_path, "block_cuckoo", more)
+    assert passing.all() and want and got == want
