@@ -444,3 +444,10 @@ def test_block_cuckoo_checks_what_its_sketch_lets_pass(spark, tmp_path):
     more = {"orders": {"o_orderkey": 10**6}, "lineitem": {"l_orderkey": 10**6, "l_partkey": 30637, "l_suppkey": 9}}
     got, want = rows_and_sql(spark, tmp_path, "block_cuckoo", more)
     assert passing.all() and want and got == want
+
+
+def test_tx_cuckoo_include_checks_what_its_sketch_lets_pass(spark, tmp_path):
+    passing = Cuckoo.of([b"P1", b"P2", b"S3"], 8, 7).contains([b"P30637", b"S12057"])
+    more = {"orders": {"o_orderkey": 10**6, "o_orderpriority": "5-LOW"}, "lineitem": {"l_orderkey": 10**6, "l_partkey": 30637, "l_suppkey": 12057}}
+    got, want = rows_and_sql(spark, tmp_path, "tx_cuckoo_include", more)
+    assert passing.all() and want and got == want
