@@ -10,10 +10,15 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
-from ledgerlens.functions.base58 import unbase58_keys
+from ledgerlens.functions.base58 import decode_keys
 from ledgerlens.operators.accounts import named
 from ledgerlens.plans.request import DeshredFilter, TransactionFilter
 
@@ -49,25 +54,50 @@ def _key_parts(f: TransactionFilter | DeshredFilter, keys: Column) -> list[Colum
     return parts
 
 
-def _from_balances(balances: Column) -> Column:
-    """array<struct<at, key, amount>> of the balances whose owner is a key, in order."""
-    decoded = unbase58_keys(F.transform(balances, lambda b: b["owner"]))
-    zipped = F.filter(F.arrays_zip(balances.alias("b"), decoded.alias("k")), lambda z: z["k"].isNotNull())
-    made = F.transform(zipped, lambda z: F.struct(z["b"]["account_index"].alias("at"), z["k"].alias("key"), F.coalesce(z["b"]["amount"], F.lit("")).alias("amount")))
-    return F.coalesce(made, F.array().cast("array<struct<at:bigint,key:binary,amount:string>>"))
+_OWNERS = StructType([StructField(name, ArrayType(BinaryType())) for name in ("owners_all", "owners_changed")])
 
 
-def _changed(pre: Column, post: Column) -> Column:
-    """Owners of balances after that are new or differ from the last one before of their index; of those that went, the owner before."""
+def _flat(at: pa.Array, owners: pa.Array, amounts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    rows = np.repeat(np.arange(len(owners)), pc.fill_null(pc.list_value_length(owners), 0))
+    return rows, at.flatten(), owners.flatten(), pc.fill_null(amounts.flatten(), "")
 
-    def last_before(at):
-        own = F.filter(pre, lambda x: x["at"] == at)
-        return F.get(own, F.size(own) - 1)["amount"]
 
-    new = F.filter(post, lambda b: F.coalesce(last_before(b["at"]) != b["amount"], F.lit(True)))
-    same = lambda x: lambda y: x["at"] == y["at"]
-    gone = F.filter(pre, lambda x, i: ~F.exists(post, same(x)) & ~F.exists(F.slice(pre, i + 2, F.size(pre)), same(x)))
-    return F.array_distinct(F.transform(F.concat(new, gone), lambda b: b["key"]))
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each different value, -1 for null, and the values."""
+    coded = values.dictionary_encode()
+    return pc.fill_null(coded.indices, -1).to_numpy().astype(np.int64), coded.dictionary
+
+
+def _lists(n: int, rows: np.ndarray, owners: np.ndarray, keys: pa.Array) -> pa.Array:
+    """The different owners of each of n rows, in order."""
+    first = ~pd.Series(rows * len(keys) + owners).duplicated().to_numpy()
+    rows, owners = rows[first], owners[first]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys.take(pa.array(owners[np.argsort(rows, kind="stable")])))
+
+
+def _token_owners(pre_at: pa.Array, pre_owner: pa.Array, pre_amount: pa.Array, post_at: pa.Array, post_owner: pa.Array, post_amount: pa.Array) -> pa.Array:
+    """Owners of all balances of a row, and of the changed ones: balances after that are new or differ from the last one
+    before of their index, and balances before that went. Owners that aren't keys count for nothing; a null index is like no other."""
+    sides = _flat(pre_at, pre_owner, pre_amount), _flat(post_at, post_owner, post_amount)
+    rows, (at, _), (owners, texts), (amounts, _) = np.concatenate([s[0] for s in sides]), *(_codes(pa.concat_arrays([s[i] for s in sides])) for i in (1, 2, 3))
+    keys = decode_keys(texts)
+    able = np.append(keys.is_valid().to_numpy(zero_copy_only=False), False)[owners]
+    spots = np.where(at < 0, -1 - np.arange(len(at)), rows * (at.max(initial=0) + 1) + at)
+    after = np.arange(len(rows)) >= len(sides[0][0])
+    pre, post = np.flatnonzero(able & ~after), np.flatnonzero(able & after)
+    last = pre[~pd.Series(spots[pre]).duplicated(keep="last").to_numpy()]
+    found = pd.Index(spots[last]).get_indexer(spots[post])
+    same = found >= 0
+    same[same] = amounts[last[found[same]]] == amounts[post[same]]
+    changed = np.concatenate((post[~same], last[~np.isin(spots[last], spots[post])]))
+    n, every = len(pre_at), np.concatenate((pre, post))
+    made = [_lists(n, rows[own], owners[own], keys) for own in (every, changed)]
+    return pa.StructArray.from_arrays(made, ["owners_all", "owners_changed"])
+
+
+#: Called so, it is run once a row; conditions on the owners would otherwise run it again.
+token_owners = F.arrow_udf(_token_owners, _OWNERS).asNondeterministic()
 
 
 def from_raw(raw: DataFrame) -> DataFrame:
@@ -77,12 +107,12 @@ def from_raw(raw: DataFrame) -> DataFrame:
     loaded keys. Owners that aren't base58 of 32 bytes are left out, as if their balance weren't there.
     """
     meta = lambda name: F.col(f"meta.{name}")
-    found = raw.withColumns({"_pre": _from_balances(meta("pre_token_balances")), "_post": _from_balances(meta("post_token_balances"))})
+    balances = [meta(f"{side}_token_balances.{name}") for side in ("pre", "post") for name in ("account_index", "owner", "amount")]
+    found = raw.withColumn("_owners", token_owners(*balances))
     return found.select(
         "slot", "idx", F.get("signatures", F.lit(0)).alias("signature"), "is_vote", meta("err").alias("err"), meta("err").isNotNull().alias("failed"),
         account_keys(F.col("static_keys"), meta("loaded_writable"), meta("loaded_readonly")).alias("keys"),
-        F.array_distinct(F.transform(F.concat("_pre", "_post"), lambda b: b["key"])).alias("owners_all"),
-        _changed(F.col("_pre"), F.col("_post")).alias("owners_changed"),
+        "_owners.owners_all", "_owners.owners_changed",
     )
 
 

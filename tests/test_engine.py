@@ -451,3 +451,27 @@ def test_tx_cuckoo_include_checks_what_its_sketch_lets_pass(spark, tmp_path):
     more = {"orders": {"o_orderkey": 10**6, "o_orderpriority": "5-LOW"}, "lineitem": {"l_orderkey": 10**6, "l_partkey": 30637, "l_suppkey": 12057}}
     got, want = rows_and_sql(spark, tmp_path, "tx_cuckoo_include", more)
     assert passing.all() and want and got == want
+
+
+def test_token_owners_agree_with_a_naive_evaluator(spark):
+    from ledgerlens.schema import TRANSACTIONS
+
+    rng = random.Random(5)
+    keys = [bytes([n]) * 32 for n in range(6)]
+    texts = [*map(base58.encode, keys), "bad", "1" * 31, "z" * 44, "", None]
+    some = lambda: rng.choice([None, [], *[[{"account_index": rng.randrange(4), "owner": rng.choice(texts), "amount": rng.choice(["1", "2", "", None])} for _ in range(rng.randrange(6))]] * 8])
+    rows = [{"slot": 1, "idx": i, "meta": {"pre_token_balances": some(), "post_token_balances": some()}} for i in range(300)]
+
+    def naive(meta):
+        pre, post = ([b for b in meta[f"{s}_token_balances"] or [] if b["owner"] in texts[:6]] for s in ("pre", "post"))
+        last, after = {b["account_index"]: b for b in pre}, {b["account_index"] for b in post}
+        new = [b for b in post if b["account_index"] not in last or (last[b["account_index"]]["amount"] or "") != (b["amount"] or "")]
+        gone = [b for b in pre if b is last[b["account_index"]] and b["account_index"] not in after]
+        return tuple(list(dict.fromkeys(base58.decode(b["owner"]) for b in some)) for some in (pre + post, new + gone))
+
+    found = transactions.from_raw(spark.createDataFrame(rows, TRANSACTIONS).repartition(3))
+    got = {r.idx: ([bytes(k) for k in r.owners_all], [bytes(k) for k in r.owners_changed]) for r in found.collect()}
+    assert got == {r["idx"]: naive(r["meta"]) for r in rows}
+    filters = {m: TransactionFilter(account_include=[keys[1]], account_exclude=[keys[2]], token_accounts=m) for m in ("ALL", "BALANCE_CHANGED")}
+    plan = transactions.match(found, filters)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # owners are found once a row, not again for the condition
