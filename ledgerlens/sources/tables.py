@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.schema import KINDS
@@ -67,16 +67,27 @@ class Views:
         joined = self.transactions().join(self.transaction_keys(), "signature", "left")
         return joined.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
-    def _tokens(self, amount) -> DataFrame:
-        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("signature"), F.col("l_linenumber").alias("account_index"))
-        return lines.agg(F.concat(F.lit("S"), F.max("l_suppkey")).alias("owner"), amount.alias("amount"), F.max("l_returnflag").alias("flag"))
+    def _tokens(self, lines: DataFrame | None = None) -> DataFrame:
+        """Balances of an order's lines, before and after; there is none after for a flag of R.
+
+        The highest flag is taken by its place among those that matter, as numbers are aggregated without sorting.
+        """
+        flag = F.col("l_returnflag")
+        place = F.when(flag > "R", 4).when(flag == "R", 3).when(flag > "A", 2).when(flag == "A", 1).when(flag < "A", 0)
+        lines = self.table("lineitem") if lines is None else lines
+        found = lines.groupBy(F.col("l_orderkey").alias("signature"), F.col("l_linenumber").alias("account_index"))
+        found = found.agg(F.max("l_suppkey").alias("supplier"), F.max("l_quantity").cast("long").alias("before"), F.max(place).alias("place"))
+        after = F.col("before") + F.when(F.col("place") == 1, 1).otherwise(0)
+        return found.select(
+            "signature", "account_index", F.concat(F.lit("S"), "supplier").alias("owner"), F.col("before").cast("string").alias("before"),
+            after.cast("string").alias("after"), (F.col("place") != 3).alias("stays"),
+        )
 
     def token_pre(self) -> DataFrame:
-        return self._tokens(F.max("l_quantity").cast("long").cast("string")).drop("flag")
+        return self._tokens().select("signature", "account_index", "owner", F.col("before").alias("amount"))
 
     def token_post(self) -> DataFrame:
-        bumped = F.max("l_quantity").cast("long") + F.when(F.max("l_returnflag") == "A", 1).otherwise(0)
-        return self._tokens(bumped.cast("string")).where("flag <> 'R'").drop("flag")
+        return self._tokens().where("stays").select("signature", "account_index", "owner", F.col("after").alias("amount"))
 
     @staticmethod
     def _key(name):
@@ -87,15 +98,20 @@ class Views:
         """Orders as transaction messages: parts are keys, suppliers own balances before and after."""
         from ledgerlens.functions.base58 import base58
 
-        def balances(rows: DataFrame, name: str) -> DataFrame:
-            own = rows.withColumn("owner", base58(self._key(F.col("owner"))))
-            one = F.struct(F.col("account_index").cast("long").alias("account_index"), "owner", "amount")
-            return own.groupBy("signature").agg(F.array_sort(F.collect_list(one)).alias(name))
+        def balances(amount: str) -> Column:
+            return F.struct(F.col("account_index").cast("long").alias("account_index"), "owner", F.col(amount).alias("amount"))
+
+        def listed(one: Column, name: str) -> Column:
+            every = F.sort_array(F.collect_list(one))
+            return F.when(F.size(every) > 0, every).alias(name)
 
-        parts = self.table("lineitem").select(F.col("l_orderkey").alias("signature"), F.concat(F.lit("P"), F.col("l_partkey")).alias("part"))
-        keys = parts.groupBy("signature").agg(F.collect_set(self._key(F.col("part"))).alias("static_keys"))
+        lines = self.table("lineitem").repartition("l_orderkey")  # shuffled as they are, before keys and texts make them longer
+        parts = lines.select(F.col("l_orderkey").alias("signature"), F.concat(F.lit("P"), F.col("l_partkey")).alias("part")).distinct()
+        keys = parts.groupBy("signature").agg(F.collect_list(self._key(F.col("part"))).alias("static_keys"))
+        owners = self._tokens(lines).withColumn("owner", base58(self._key(F.col("owner"))))
+        pre, post = listed(balances("before"), "pre_token_balances"), listed(F.when(F.col("stays"), balances("after")), "post_token_balances")
         out = self.transactions()
-        for more in (keys, balances(self.token_pre(), "pre_token_balances"), balances(self.token_post(), "post_token_balances")):
+        for more in (keys, owners.groupBy("signature").agg(pre, post)):
             out = out.join(more, "signature", "left")
         none = F.lit(None).cast("array<binary>")
         meta = F.struct(

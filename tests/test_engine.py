@@ -475,3 +475,23 @@ def test_token_owners_agree_with_a_naive_evaluator(spark):
     filters = {m: TransactionFilter(account_include=[keys[1]], account_exclude=[keys[2]], token_accounts=m) for m in ("ALL", "BALANCE_CHANGED")}
     plan = transactions.match(found, filters)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1  # owners are found once a row, not again for the condition
+
+
+def test_raw_transactions_take_few_shuffles(spark, tmp_path):
+    """Lines are shuffled raw, once for keys and once for balances; flags beside A and R, repeated lines and orders without lines count as in the SQL."""
+    import duckdb
+
+    from ledgerlens.sources.tables import Views
+
+    plan = Views(spark, SF).raw_transactions()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "SortAggregate" not in plan and plan.count("ArrowEvalPython") == 1
+    lines, orders = spark.read.parquet(f"{SF}/lineitem.parquet"), spark.read.parquet(f"{SF}/orders.parquet")
+    flags = F.array(*[F.lit(x) for x in ("0", "A", "B", "N", "R", "Z")], F.lit(None).cast("string"))
+    odd = lines.withColumn("l_returnflag", F.get(flags, (F.xxhash64("l_orderkey", "l_suppkey", "l_partkey") % 7 + 7).cast("int") % 7))
+    odd.union(odd.where("l_orderkey % 3 = 0").withColumn("l_suppkey", F.col("l_suppkey") + 1)).where("l_orderkey % 5 <> 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("tx_from_raw", "tx_token_owner_balance_changed"):
+        assert plain(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(c.sql(queries.ORACLE_SQL[name]).df())
